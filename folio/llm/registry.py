@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from folio.llm import quality, sharding
+from folio.llm import mixing, quality, sharding
 
 QUERIES = {
+    "op6_golden_mix": mixing.op6_golden_mix,
     "op5_stratified_shards": sharding.op5_stratified_shards,
     "op7_adaptive_quality": quality.op7_adaptive_quality,
 }
 
-ORACLE = {**sharding.ORACLE, **quality.ORACLE}
+ORACLE = {**mixing.ORACLE, **sharding.ORACLE, **quality.ORACLE}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from folio.llm import mixing, quality, sharding
+from folio.llm import mixing, near_dedup, quality, sharding
 
 QUERIES = {
+    "op1_bottom_k_near_dedup": near_dedup.op1_bottom_k_near_dedup,
     "op6_golden_mix": mixing.op6_golden_mix,
     "op5_stratified_shards": sharding.op5_stratified_shards,
     "op7_adaptive_quality": quality.op7_adaptive_quality,

@@ -12,6 +12,8 @@ from folio.llm.common import SPACE, materialize, read_table, source_key
 METRICS = {"m_symbols": 5, "m_dup_lines": 10, "m_repeats": 10, "m_word_len": 5, "m_upper": 5}
 FENCE = 4
 MIN_GROUP = 100
+#: stands for all languages; keys of languages begin with a or b
+ALL = "*"
 
 
 def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -102,12 +104,14 @@ def adaptive_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = materialize(rows.withColumns(_metrics()), "quality-rows")
     fine = materialize(sketch(rows.where(~F.col("base_failed")), ["_lang", "_source"]), "quality-sketch")
     merged = fine.groupBy("_lang", "metric", "bin").agg(F.sum("n").alias("n"))
-    total = merged.groupBy("metric", "bin").agg(F.sum("n").alias("n"))
+    total = merged.groupBy("metric", "bin").agg(F.sum("n").alias("n")).withColumn("_lang", F.lit(ALL))
     names = [f"{m}_max" for m in METRICS]
-    by_lang = fences(merged, ["_lang"]).select("_lang", F.col("rows").alias("_lang_rows"), *[F.col(c).alias(f"_l{c}") for c in names])
-    overall = fences(total.withColumn("_all", F.lit(1)), ["_all"]).select("_all", *[F.col(c).alias(f"_a{c}") for c in names])
+    # one small row per language and one for all, which every row gets beside its own
+    levels = fences(merged.unionByName(total), ["_lang"]).withColumnRenamed("rows", "_lang_rows")
+    overall = [F.max(F.when(F.col("_lang") == ALL, F.col(c))).over(W.partitionBy()).alias(f"_a{c}") for c in names]
+    levels = levels.select("_lang", "_lang_rows", *[F.col(c).alias(f"_l{c}") for c in names], *overall)
     pick = lambda c: F.when(F.col("rows") >= MIN_GROUP, F.col(c)).when(F.col("_lang_rows") >= MIN_GROUP, F.col(f"_l{c}")).otherwise(F.col(f"_a{c}"))
-    limits = fences(fine, ["_lang", "_source"]).join(by_lang, "_lang").withColumn("_all", F.lit(1)).join(overall, "_all")
+    limits = fences(fine, ["_lang", "_source"]).join(levels, "_lang")
     limits = materialize(limits.select("_lang", "_source", *[pick(c).alias(c) for c in names]), "quality-limits")
     above = F.greatest(*[F.coalesce((F.col(m) > F.col(f"{m}_max")).cast("int"), F.lit(0)) for m in METRICS]) == 1
     return rows.join(limits, ["_lang", "_source"], "left").select(

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from folio.llm import mixing, near_dedup, pii, quality, sharding
+from folio.llm import langid, media, mixing, near_dedup, pii, quality, sharding
 
 QUERIES = {
     "op1_bottom_k_near_dedup": near_dedup.op1_bottom_k_near_dedup,
     "op3_bootstrapped_pii": pii.op3_bootstrapped_pii,
     "op6_golden_mix": mixing.op6_golden_mix,
+    "op9_wav_fingerprints": media.op9_wav_fingerprints,
+    "op10_kernel_language": langid.op10_kernel_language,
     "op5_stratified_shards": sharding.op5_stratified_shards,
     "op7_adaptive_quality": quality.op7_adaptive_quality,
 }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from folio.llm import langid, media, mixing, near_dedup, pii, quality, sharding
+from folio.llm import langid, media, mixing, near_dedup, pii, quality, sharding, token_files
 
 QUERIES = {
     "op1_bottom_k_near_dedup": near_dedup.op1_bottom_k_near_dedup,
+    "op2_token_files": token_files.op2_token_files,
     "op3_bootstrapped_pii": pii.op3_bootstrapped_pii,
     "op6_golden_mix": mixing.op6_golden_mix,
     "op9_wav_fingerprints": media.op9_wav_fingerprints,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.llm import langid, media, mixing, near_dedup, pii, quality, sharding, token_files
+from folio.llm import langid, media, mixing, near_dedup, pii, quality, sharding, sp_dropout, token_files
 
 QUERIES = {
     "op1_bottom_k_near_dedup": near_dedup.op1_bottom_k_near_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_golden_mix": mixing.op6_golden_mix,
     "op9_wav_fingerprints": media.op9_wav_fingerprints,
     "op10_kernel_language": langid.op10_kernel_language,
+    "op4_merge_dropout": sp_dropout.op4_merge_dropout,
     "op5_stratified_shards": sharding.op5_stratified_shards,
     "op7_adaptive_quality": quality.op7_adaptive_quality,
 }

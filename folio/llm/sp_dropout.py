@@ -30,11 +30,14 @@ VARIANTS = 2
 SEED = 31
 MOST_UNITS = 250_000
 LONG_UNIT = 64
-#: units by which texts can be cut, finest first: letters and others apart, or whole words
-_UNITS = (
-    re.compile(rf"{BLANK}*[^\W\d_]+|{BLANK}*(?:[\d_]|[^\w{BLANK}])+|{BLANK}+"),
-    re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+"),
-)
+#: whole words; `fine_units` cuts further
+_WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+
+
+def fine_units(pieces: list[str]) -> re.Pattern:
+    """Letters apart from all else; what the pieces hold of numerals like a superscript two counts as the latter."""
+    other = re.escape("".join(sorted({c for p in pieces for c in p if re.match(r"[^\W\d_]", c) and not c.isalpha()})))
+    return re.compile(rf"{BLANK}*[^\W\d_{other}]+|{BLANK}*(?:[\d_{other}]|[^\w{BLANK}])+|{BLANK}+")
 
 
 def _keyed(key: int, left: int, stop: int) -> int:
@@ -53,7 +56,8 @@ class Model:
         n = sp.get_piece_size()
         pieces = [sp.id_to_piece(i) for i in range(n)]
         normal = [not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)) for i in range(n)]
-        fitting = [u for u in _UNITS if all(u.fullmatch(p) for p, ok in zip(pieces, normal, strict=True) if ok)]
+        plain = [p for p, ok in zip(pieces, normal, strict=True) if ok]
+        fitting = [u for u in (fine_units(plain), _WORDS) if all(map(u.fullmatch, plain))]
         if not fitting:
             raise ValueError("a piece of this model reaches over a word's border")
         self.units = fitting[0]

@@ -17,6 +17,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from folio.llm.common import materialize, read_table
 
@@ -33,7 +34,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"\S+")
-_SCAN = "doc_id long, base array<struct<k:int,s:bigint,e:bigint>>, candidates array<struct<s:bigint,e:bigint,i:bigint,k:int,p:array<string>>>"
+_SCAN = "doc_id long, text_key long, base array<struct<k:int,s:bigint,e:bigint>>, candidates array<struct<s:bigint,e:bigint,i:bigint,k:int,p:array<string>>>"
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -115,6 +116,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(
             {
                 "doc_id": pdf["doc_id"],
+                "text_key": pdf["text_key"],
                 "base": [[{"k": k, "s": s, "e": e} for k, s, e in b] for b in base],
                 "candidates": [candidates(t, b) for t, b in zip(pdf["text"], base, strict=True)],
             }
@@ -141,13 +143,13 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id, `base` and `spans`, arrays of (k, s, e) in order of kind and start; k is a place in KINDS.
+    """Per row: the id, text_key (xxhash64 of the text), `base` and `spans`, arrays of (k, s, e) in order of kind and start; k is a place in KINDS.
 
     `spans` holds the base spans and what accepted contexts add; an added span overlaps no base span. Null and empty
     texts have none. Repeated rows give repeated rows; an instance counts once in a context however often it is
     repeated. A null id stays null. An empty table gives no rows. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     scanned = rows.mapInPandas(_scan, _SCAN)
     scanned = materialize(scanned.withColumn("_id", F.monotonically_increasing_id()), "pii-scan")
     each = scanned.where("size(candidates) > 0").select("_id", F.explode("candidates").alias("c")).select("_id", "c.*").withColumn("p", F.explode("p"))
@@ -155,7 +157,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     best = each.where("k < 0").join(accepted, "p").groupBy("_id", "s", "e").agg(F.max_by("kind", F.struct("confidence", F.col("kind"))).alias("kind"))
     added = best.groupBy("_id").agg(F.collect_list(F.struct(F.col("kind").alias("k"), "s", "e")).alias("added"))
     return scanned.join(added, "_id", "left").select(
-        "doc_id", "base", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "added"))).alias("spans")
+        "doc_id", "text_key", "base", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "added"))).alias("spans")
     )
 
 
@@ -164,17 +166,32 @@ def span_text(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, x -> concat_ws(':', array({names})[x.k], x.s, x.e)), ',')")
 
 
+def masked_text(text: str, spans: list) -> str:
+    """Of spans that overlap, the one that starts first (then the longest) is replaced; linear in the text."""
+    out, at = [], 0
+    for s, e, k in sorted((x["s"], -x["e"], x["k"]) for x in spans):
+        if s >= at:
+            out += [text[at:s], f"[{KINDS[k].upper()}]"]
+            at = -e
+    return "".join([*out, text[at:]])
+
+
+@F.pandas_udf(StringType())
+def _mask(text: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None or s is None else masked_text(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
+
+
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every span in the text replaced by its kind in brackets; columns and rows stay as they are."""
-    accepted = find_personal_data(docs, id_col, text_col)
-    spans = accepted.where("size(spans) > 0").groupBy("doc_id").agg(F.first("spans").alias("_spans"))
-    names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
-    # of overlapping spans the one that starts first (then the longest) is replaced
-    order = "array_sort(transform(_spans, x -> struct(x.s AS s, -x.e AS e, x.k AS k)))"
-    step = f"CASE WHEN x.s < acc.at THEN acc ELSE struct(concat(acc.out, substring({text_col}, acc.at + 1, int(x.s - acc.at)), array({names})[x.k]) AS out, -x.e AS at) END"
-    masked = f"aggregate({order}, struct('' AS out, 0L AS at), (acc, x) -> {step}, acc -> concat(acc.out, substring({text_col}, int(acc.at) + 1)))"
-    joined = docs.join(spans, docs[id_col] == spans["doc_id"], "left").drop(spans["doc_id"])
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.expr(masked))).select(*docs.columns)
+    """docs with every span in the text replaced by its kind in brackets; columns and rows stay as they are.
+
+    Spans are joined by id and text, so rows that share an id but not a text, and rows without an id, get their own.
+    """
+    found = find_personal_data(docs, id_col, text_col).where("size(spans) > 0")
+    spans = found.groupBy("doc_id", "text_key").agg(F.first("spans").alias("_spans")).withColumnsRenamed({"doc_id": "_doc", "text_key": "_text"})
+    joined = docs.join(spans, (F.xxhash64(docs[text_col]) == F.col("_text")) & docs[id_col].eqNullSafe(F.col("_doc")), "left")
+    some = F.col("_spans").isNotNull()
+    hidden = _mask(F.when(some, docs[text_col]), F.col("_spans"))
+    return joined.select(*[F.when(some, hidden).otherwise(docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
 def op3_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-FLAGSHIP = ""
+from folio.plans import url_queries
+
+QUERIES: dict = {**url_queries.QUERIES}
+ORACLE: dict = {**url_queries.ORACLE}
+FLAGSHIP = 'url_dedup'

@@ -135,10 +135,11 @@ def is_retryable(status: Column, error: Column) -> Column:
 
 def retry_after(header: Column, now: Column) -> Column:
     """Seconds from a number or an HTTP date, at least 0; null for anything else."""
-    seconds = F.greatest(header.try_cast("double"), F.lit(0.0))
+    own = header.try_cast("double")
     date = F.try_to_timestamp(F.regexp_extract(header, r"^\w{3}, (\d{2} \w{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
     until = (F.unix_micros(date) - F.unix_micros(now)) / F.lit(1e6)
-    return F.coalesce(seconds, F.greatest(until, F.lit(0.0)))
+    found = F.coalesce(own, until)
+    return F.when(found.isNotNull(), F.greatest(found, F.lit(0.0)))
 
 
 def backoff_seconds(attempt: Column, base: Column, header_seconds: Column, jitter: Column) -> Column:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from folio.plans import url_queries
+from folio.plans import page_queries, report_queries, url_queries
 
-QUERIES: dict = {**url_queries.QUERIES}
-ORACLE: dict = {**url_queries.ORACLE}
-FLAGSHIP = 'url_dedup'
+QUERIES: dict = {**url_queries.QUERIES, **page_queries.QUERIES, **report_queries.QUERIES}
+ORACLE: dict = {**url_queries.ORACLE, **page_queries.ORACLE, **report_queries.ORACLE}
+FLAGSHIP = "page_outcomes"

@@ -97,7 +97,7 @@ def clean_title(x: str) -> str:
 
 
 def anchor(x: str) -> str:
-    return f"regexp_replace(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}_{WS[1:]}', '', 'g'), '{WS}+', '-', 'g')".replace(WS[1:] + "', ''", WS[1:-1] + "-]', ''")
+    return f"regexp_replace(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}_{WS[1:-1]}-]', '', 'g'), '{WS}+', '-', 'g')"
 
 
 def unescaped(x: str) -> str:

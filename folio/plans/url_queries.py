@@ -13,7 +13,7 @@ from folio.operators import links, urlset
 from folio.plans import sql as S
 
 _FORMS = ["", "#top", "/", "/category/Guide.html?a=1", "/img/logo.PNG", "/docs/api/v2/use.htm#x", "//"]
-_ROWS = f"""urlset AS (
+ROWS = f"""urlset AS (
   SELECT page_id * {len(_FORMS)} + k AS pos, CASE WHEN k < 2 THEN url ELSE regexp_replace(url, '[?#].*$', '') END || [{", ".join(S.quoted(f) for f in _FORMS)}][k + 1] AS url
   FROM pages, (SELECT unnest(range({len(_FORMS)})) AS k))"""
 _BASE, _INCLUDE, _EXCLUDE = "https://h.example/docs/", r"[a-m]\.example", r"/\d*7\d*(/|$)"
@@ -54,7 +54,7 @@ _SCALARS: dict[str, tuple[Callable[[Column], Column], str]] = {
     "site_name_index": (urls.index_site_name, S.site_name("url", C.INDEX_PREFIXES)),
 }
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _scalar(f) for k, (f, _) in _SCALARS.items()}
-ORACLE = {k: f"WITH {_ROWS} SELECT pos, {e} AS value FROM urlset" for k, (_, e) in _SCALARS.items()}
+ORACLE = {k: f"WITH {ROWS} SELECT pos, {e} AS value FROM urlset" for k, (_, e) in _SCALARS.items()}
 
 
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rows(spark, sf_dir).select("pos", urls.scheme(u).alias("scheme"), urls.authority(u).alias("authority"), urls.path(u).alias("path"), urls.query(u).alias("query"), urls.fragment(u).alias("fragment"))
 
 
-ORACLE["url_parts"] = f"WITH {_ROWS} SELECT pos, lower({S.part('url', 1)}) AS scheme, {S.part('url', 2)} AS authority, {_P} AS path, {S.part('url', 4)} AS query, {S.part('url', 5)} AS fragment FROM urlset"
+ORACLE["url_parts"] = f"WITH {ROWS} SELECT pos, lower({S.part('url', 1)}) AS scheme, {S.part('url', 2)} AS authority, {_P} AS path, {S.part('url', 4)} AS query, {S.part('url', 5)} AS fragment FROM urlset"
 
 
 def url_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def url_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FIRST = f"SELECT pos, url FROM (SELECT *, row_number() OVER (PARTITION BY {S.normalize('url')} ORDER BY pos) AS r FROM %s) WHERE r = 1"
-ORACLE["url_dedup"] = f"WITH {_ROWS} {_FIRST % 'urlset'}"
+ORACLE["url_dedup"] = f"WITH {ROWS} {_FIRST % 'urlset'}"
 _SKIP = f"(SELECT {S.normalize('url')} FROM pages WHERE page_id % 7 = 0)"
 
 
@@ -83,7 +83,7 @@ def url_skip_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlset.without_skipped(url_rows(spark, sf_dir), _skip_list(spark, sf_dir))
 
 
-ORACLE["url_skip_antijoin"] = f"WITH {_ROWS} SELECT pos, url FROM urlset WHERE {S.normalize('url')} NOT IN {_SKIP}"
+ORACLE["url_skip_antijoin"] = f"WITH {ROWS} SELECT pos, url FROM urlset WHERE {S.normalize('url')} NOT IN {_SKIP}"
 
 
 def url_limit_before_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ def url_limit_before_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlset.discovered(url_rows(spark, sf_dir), _skip_list(spark, sf_dir), exclude=_EXCLUDE, max_pages=60)
 
 
-ORACLE["url_limit_before_dedup"] = f"""WITH {_ROWS}, kept AS (SELECT * FROM urlset WHERE {S.is_doc('url')} AND NOT regexp_matches(url, {S.quoted(_EXCLUDE)}) ORDER BY pos LIMIT 60)
+ORACLE["url_limit_before_dedup"] = f"""WITH {ROWS}, kept AS (SELECT * FROM urlset WHERE {S.is_doc('url')} AND NOT regexp_matches(url, {S.quoted(_EXCLUDE)}) ORDER BY pos LIMIT 60)
 SELECT pos, url FROM ({_FIRST % 'kept'}) WHERE {S.normalize('url')} NOT IN {_SKIP}"""
 
 
@@ -99,7 +99,7 @@ def url_prefix_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlset.prefix_counts(url_rows(spark, sf_dir))
 
 
-ORACLE["url_prefix_top10"] = f"""WITH {_ROWS} SELECT {S.prefix('url')} AS prefix, count(*) AS pages, min(pos) AS first_pos, '--include "' || rtrim({S.prefix('url')}, '/') || '"' AS filter
+ORACLE["url_prefix_top10"] = f"""WITH {ROWS} SELECT {S.prefix('url')} AS prefix, count(*) AS pages, min(pos) AS first_pos, '--include "' || rtrim({S.prefix('url')}, '/') || '"' AS filter
 FROM urlset GROUP BY {S.prefix('url')} ORDER BY pages DESC, first_pos LIMIT 10"""
 
 _HREFS = "SELECT page_id, url, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<a\\s[^>]*?href=\"([^\"]*)\"', 1)) AS href, generate_subscripts(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<a\\s[^>]*?href=\"([^\"]*)\"', 1), 1) - 1 AS pos FROM pages"

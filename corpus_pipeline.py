@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import materialize, read_table
+from folio.llm.common import fresh, materialize, read_table
 from folio.llm.mixing import mix_sources
 from folio.llm.near_dedup import near_duplicates
 from folio.llm.pii import mask
@@ -19,8 +19,9 @@ from folio.llm.sp_dropout import default_model, encode_pieces
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of docs whose id (null or not) a kept row has."""
-    ids = kept.where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    own = fresh(docs, "_kept")
+    ids = kept.where("kept").select(F.col("doc_id").alias(own))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids[own]), "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +43,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document appears as often as the mix takes it, rounded to whole copies (0, 1 or 2)."""
-    taken = mix_sources(docs).where("size > 0").select(F.col("doc_id").alias("_mixed"), F.expr("(2 * taken + size) div (2 * size)").alias("_copies"))
-    copies = taken.groupBy("_mixed").agg(F.max("_copies").alias("_copies")).where("_copies > 0")
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_mixed")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    own, n, copy = (fresh(docs, c) for c in ("_mixed", "_copies", "_copy"))
+    taken = mix_sources(docs).where("size > 0").select(F.col("doc_id").alias(own), F.expr("(2 * taken + size) div (2 * size)").cast("int").alias(n))
+    copies = taken.groupBy(own).agg(F.max(n).alias(n)).where(F.col(n) > 0)
+    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies[own]))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[docs[c] for c in docs.columns])
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

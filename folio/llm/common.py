@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folio.storage import materialize, shared_path
+
+__all__ = ["fresh", "given_id", "held_id", "hex_number", "materialize", "read_table", "running_totals", "shared_path", "shuffle_key", "source_key"]
+
 SPACE = r"\x20\x09-\x0D"
 
 
@@ -16,24 +17,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='folio-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+NO_ID = -(2**63)
+
+
+def held_id(col: str) -> Column:
+    """The id, with the least 64-bit number for null: pandas would make floating-point numbers of ids beside nulls."""
+    return F.coalesce(F.col(col).cast("long"), F.lit(NO_ID)).alias("doc_id")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/folio-{name}-{uuid.uuid4().hex}"
+def given_id(col: str = "doc_id") -> Column:
+    """The id that held_id holds."""
+    return F.when(F.col(col) != NO_ID, F.col(col)).alias("doc_id")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it back, so a lost executor only repeats later work."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def source_key(source: Column) -> Column:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import read_table
+from folio.llm.common import given_id, held_id, read_table
 
 #: hashed presence columns for n-grams of 1, 2 and 3 characters
 WIDTHS = (1 << 9, 1 << 12, 1 << 14)
@@ -108,16 +108,16 @@ def identify_language(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int
     The classifier is fitted on about per_lang labelled rows of each language (1.5 times as many at most), taken by a
     seeded hash of the id from the rows that are not held out; only their packed presence bits reach the driver.
     All rows are scored over their whole texts. Texts that are null or without letters are `und` with score 0, as are
-    all where no row is labelled. A null id is not held out and stays null. Repeated rows give repeated rows. An empty
+    all where no row is labelled. A row with a null id is not held out, isn't learnt from, and keeps it. Repeated rows give repeated rows. An empty
     table gives no rows. Other columns are ignored.
     """
     rows = docs.select(
-        F.col(id_col).alias("doc_id"),
+        held_id(id_col),
         F.col(text_col).alias("text"),
         F.col(lang_col).alias("lang"),
         F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False)).alias("held_out"),
     )
-    labelled = rows.where(~F.col("held_out") & F.col("lang").isNotNull())
+    labelled = rows.where(~F.col("held_out") & F.col("lang").isNotNull() & given_id().isNotNull())
     share = labelled.groupBy("lang").agg((per_lang / F.count("*")).alias("share"))
     uniform = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = labelled.withColumn("order", uniform).join(share, "lang").where(F.col("order") < 1.5 * F.col("share"))
@@ -131,7 +131,8 @@ def identify_language(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int
         scorer = _scorer(np.packbits(marks, axis=1).tobytes(), len(marks), weights, langs)
     else:
         scorer = _scorer(b"", 0, np.zeros((0, 0)), [])
-    return rows.select("doc_id", "held_out", "text").mapInPandas(scorer, "doc_id long, held_out boolean, lang_pred string, score double")
+    scored = rows.select("doc_id", "held_out", "text").mapInPandas(scorer, "doc_id long, held_out boolean, lang_pred string, score double")
+    return scored.withColumn("doc_id", given_id())
 
 
 def op10_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import materialize, read_table
+from folio.llm.common import given_id, held_id, materialize, read_table
 
 UNIT = 192
 RATE = 8000
@@ -95,14 +95,15 @@ def store_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null and empty texts become one unit of spaces. Repeated rows give repeated rows; a null id stays null. An empty
     table gives no rows. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return materialize(rows.mapInPandas(_stored, "doc_id long, n_bytes long, media binary"), "media")
+    rows = docs.select(held_id(id_col), F.col(text_col).alias("text"))
+    return materialize(rows.mapInPandas(_stored, "doc_id long, n_bytes long, media binary").withColumn("doc_id", given_id()), "media")
 
 
 def audio_features(media: DataFrame) -> DataFrame:
     """What is read back from each stored WAV: payload digests and the time-coded fingerprint array."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, fingerprint array<long>"
-    return media.mapInPandas(_featured, schema)
+    held = media.withColumn("doc_id", held_id("doc_id"))
+    return held.mapInPandas(_featured, schema).withColumn("doc_id", given_id())
 
 
 def op9_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from folio.llm.common import materialize, read_table
+from folio.llm.common import fresh, given_id, held_id, materialize, read_table
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -149,9 +149,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts have none. Repeated rows give repeated rows; an instance counts once in a context however often it is
     repeated. A null id stays null. An empty table gives no rows. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    rows = docs.select(held_id(id_col), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     scanned = rows.mapInPandas(_scan, _SCAN)
-    scanned = materialize(scanned.withColumn("_id", F.monotonically_increasing_id()), "pii-scan")
+    scanned = materialize(scanned.withColumn("doc_id", given_id()).withColumn("_id", F.monotonically_increasing_id()), "pii-scan")
     each = scanned.where("size(candidates) > 0").select("_id", F.explode("candidates").alias("c")).select("_id", "c.*").withColumn("p", F.explode("p"))
     accepted = bootstrap(each.select("p", "i", "k"))
     best = each.where("k < 0").join(accepted, "p").groupBy("_id", "s", "e").agg(F.max_by("kind", F.struct("confidence", F.col("kind"))).alias("kind"))
@@ -187,10 +187,11 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Spans are joined by id and text, so rows that share an id but not a text, and rows without an id, get their own.
     """
     found = find_personal_data(docs, id_col, text_col).where("size(spans) > 0")
-    spans = found.groupBy("doc_id", "text_key").agg(F.first("spans").alias("_spans")).withColumnsRenamed({"doc_id": "_doc", "text_key": "_text"})
-    joined = docs.join(spans, (F.xxhash64(docs[text_col]) == F.col("_text")) & docs[id_col].eqNullSafe(F.col("_doc")), "left")
-    some = F.col("_spans").isNotNull()
-    hidden = _mask(F.when(some, docs[text_col]), F.col("_spans"))
+    doc, key, own = (fresh(docs, n) for n in ("_doc", "_text", "_spans"))
+    spans = found.groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).agg(F.first("spans").alias(own))
+    joined = docs.join(spans, (F.xxhash64(docs[text_col]) == spans[key]) & docs[id_col].eqNullSafe(spans[doc]), "left")
+    some = F.col(own).isNotNull()
+    hidden = _mask(F.when(some, docs[text_col]), F.col(own))
     return joined.select(*[F.when(some, hidden).otherwise(docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 

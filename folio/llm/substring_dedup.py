@@ -33,6 +33,7 @@ WINDOW = 100
 GRAM = 24
 CLASS = 8
 CORE = WINDOW - CLASS + 1
+NO_DOC = 2**63 - 1
 #: texts are scanned in blocks of so many windows; places within a block have 20 bits
 BLOCK = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
@@ -86,13 +87,13 @@ def _noted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Texts go on where spans may repeat; of the others, and of copies, the digest is final."""
     for pdf in batches:
         rows = []
-        for doc_id, d, th, text, copy, at in zip(*(pdf[c] for c in ("doc_id", "d", "th", "text", "copy", "at")), strict=True):
+        for d, th, text, copy, at in zip(*(pdf[c] for c in ("d", "th", "text", "copy", "at")), strict=True):
             data = _bytes(text)
             gone = bool(copy) and len(data) >= WINDOW
             more = not gone and at is not None and len(at) > 0
             digest = None if more else hashlib.sha256(b"" if gone else data.tobytes()).hexdigest()
-            rows.append((doc_id, d, th, len(data), len(data) if gone else 0, digest, data.tobytes() if more else None, at if more else None))
-        yield pd.DataFrame(rows, columns=["doc_id", "d", "th", "n_bytes", "n_removed", "sha", "data", "at"]).astype({"doc_id": "Int64"})
+            rows.append((d, th, len(data), len(data) if gone else 0, digest, data.tobytes() if more else None, at if more else None))
+        yield pd.DataFrame(rows, columns=["d", "th", "n_bytes", "n_removed", "sha", "data", "at"])
 
 
 def _digest(data: bytes) -> tuple[int, int]:
@@ -261,7 +262,7 @@ def _sorted_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for doc_id, n, removed, sha, data, ranges in zip(*(pdf[c] for c in ("doc_id", "n_bytes", "n_removed", "sha", "data", "ranges")), strict=True):
+        for d, n, removed, sha, data, ranges in zip(*(pdf[c] for c in ("d", "n_bytes", "n_removed", "sha", "data", "ranges")), strict=True):
             spans = int(removed > 0)
             if data is not None:
                 cover = np.zeros(n + 1, np.int64)
@@ -271,8 +272,8 @@ def _final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 gone = np.cumsum(cover[:n]) > 0
                 removed, spans = int(gone.sum()), len(_runs(gone))
                 sha = hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes()).hexdigest()
-            rows.append((doc_id, n, removed, spans, sha))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
+            rows.append((d, n, removed, spans, sha))
+        yield pd.DataFrame(rows, columns=["d", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def _later(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -299,8 +300,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("d"),
+        # null ids come last
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_DOC)).alias("d"),
         F.xxhash64(text).bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("th"),
         text.alias("text"),
     )
@@ -317,8 +318,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     noted = places.groupBy("d", "th").agg(F.collect_list("at").alias("at")).withColumn("copy", F.lit(False))
     noted = noted.unionByName(copies.withColumn("at", F.lit(None).cast("array<long>")))
     noted = noted.groupBy("d", "th").agg(F.first("at", ignorenulls=True).alias("at"), F.max("copy").alias("copy"))
-    noted = rows.join(noted, ["d", "th"], "left").select("doc_id", "d", "th", "text", "copy", "at")
-    texts = materialize(noted.mapInPandas(_noted, "doc_id long, d long, th int, n_bytes long, n_removed long, sha string, data binary, at array<long>"), "texts")
+    noted = rows.join(noted, ["d", "th"], "left").select("d", "th", "text", "copy", "at")
+    texts = materialize(noted.mapInPandas(_noted, "d long, th int, n_bytes long, n_removed long, sha string, data binary, at array<long>"), "texts")
     spans = texts.where("data IS NOT NULL").select("d", "th", "data", "at")
     spans = materialize(spans.mapInPandas(_span_rows, "h long, g long, a long, d long, th int, s long, n int, off int, data binary"), "spans")
     cut = lambda t: t.select("d", "th", F.col("s").alias("b"), (F.col("s") + F.col("n") + (WINDOW - 1)).alias("e"))
@@ -334,8 +335,9 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ordered = contested.select("ch", "cg", "d", "th", "s", "n", "lead", "data").repartition("ch", "cg").sortWithinPartitions("ch", "cg")
     sorted_ = ordered.mapInPandas(_sorted_rows, "d long, th int, b long, e long")
     ranges = cut(later).unionByName(cut(later_segments)).unionByName(sorted_).groupBy("d", "th").agg(F.collect_list(F.struct("b", "e")).alias("ranges"))
-    last = texts.join(ranges, ["d", "th"], "left").select("doc_id", "n_bytes", "n_removed", "sha", "data", "ranges")
-    return last.mapInPandas(_final, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    last = texts.join(ranges, ["d", "th"], "left").select("d", "n_bytes", "n_removed", "sha", "data", "ranges")
+    final = last.mapInPandas(_final, "d long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return final.select(F.when(F.col("d") != NO_DOC, F.col("d")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.llm import range_coder
-from folio.llm.common import read_table, shared_path
+from folio.llm.common import given_id, held_id, read_table, shared_path
 
 MAGIC, VERSION = b"FSEG", 1
 BLOCK_IDS = 2048
@@ -163,8 +163,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = E
     id come first (kept under the least 64-bit number) and are null again when read. An empty table
     gives an empty table of segments. Other columns are ignored.
     """
-    key = F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("doc_id")
-    rows = docs.select(key, F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(held_id(id_col), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     rows.mapInPandas(_segments(tokenizer, end_id), "part int, place int, n_ids long, data binary").write.parquet(out)
 
 
@@ -174,8 +173,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     before = W.orderBy("part", "place").rowsBetween(W.unboundedPreceding, -1)
     offsets = segments.select("part", "place", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("_offset"))
     rows = segments.select("part", "place", "data").mapInPandas(_documents, "part int, place int, doc_id long, within long, n_tokens long, ids_crc32 long")
-    name = F.when(F.col("doc_id") != -(2**63), F.col("doc_id")).alias("doc_id")
-    return rows.join(offsets, ["part", "place"]).select(name, (F.col("_offset") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(offsets, ["part", "place"]).select(given_id(), (F.col("_offset") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

@@ -65,9 +65,8 @@ class Extractor:
         size = len(node.text(" ", strip=True)) if node else 0
         if not node or not size or size < min(self.least, 100):
             for method, way in (("trafilatura", by_density), ("readability", by_paragraphs)):
-                node = way(root)
+                node = way(self._allowed(_copy(root)))
                 if node is not None:
-                    node = self._allowed(node)
                     if method == "trafilatura" and meta is not None:
                         description = meta.attrs.get("content")
                     text = node.text(" ", strip=True)

@@ -115,7 +115,9 @@ def output_path(url: Column) -> Column:
     # depth after each segment; below 0 is outside
     step = lambda acc, s: F.when(acc < 0, acc).when(s == "..", acc - 1).when(s.isin("", "."), acc).otherwise(acc + 1)
     outside = F.aggregate(F.split(p, "/"), F.lit(0), step) < 0
-    return F.when(outside, F.replace(F.replace(p, F.lit(".."), F.lit("_")), F.lit("/"), F.lit("_"))).otherwise(p)
+    walk = lambda acc, s: F.when(s.isin("", "."), acc).when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s)))
+    inside = F.array_join(F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), walk), "/")
+    return F.when(outside, F.replace(F.replace(p, F.lit(".."), F.lit("_")), F.lit("/"), F.lit("_"))).otherwise(inside)
 
 
 def file_name(url: Column) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
 import os
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from folio.plans.registry import FLAGSHIP, ORACLE, QUERIES
@@ -16,7 +16,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's ta
 
 
 def plain(value):
-    if value is None or isinstance(value, float) and math.isnan(value):
+    if pd.isna(value):
         return None
     return round(float(value), 6) if isinstance(value, float) else value
 

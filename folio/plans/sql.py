@@ -59,7 +59,8 @@ def _md(p: str) -> str:
 
 
 def output_path(url: str) -> str:
-    return _md(f"regexp_replace({without_extensions(_or_index(path(url)))}, '[:?*<>|\"]', '_', 'g')")
+    safe = f"regexp_replace({without_extensions(_or_index(path(url)))}, '[:?*<>|\"]', '_', 'g')"
+    return f"regexp_replace({_md(safe)}, '/{{2,}}', '/', 'g')"
 
 
 def file_name(url: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,3 +27,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote and that nothing reads any more, and let Spark drop the shuffle files
+    of plans that are gone."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            if "/folio-" in path:
+                place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files go when the driver's garbage collectors find that no plan needs them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

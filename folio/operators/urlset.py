@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,3 +45,18 @@ def prefix_counts(found: DataFrame, top: int = 10) -> DataFrame:
     counted = found.withColumn("prefix", urls.prefix(F.col("url"))).groupBy("prefix").agg(F.count("*").alias("pages"), F.min("pos").alias("first_pos"))
     best = counted.orderBy(F.desc("pages"), "first_pos").limit(top)
     return best.withColumn("filter", F.concat(F.lit('--include "'), F.rtrim(F.col("prefix"), F.lit("/")), F.lit('"')))
+
+
+def _valid(pattern: str | None) -> str | None:
+    try:
+        return pattern if pattern and re.compile(pattern) else None
+    except re.error:
+        return None
+
+
+def refine(found: DataFrame, include: str | None = None, exclude: str | None = None, most: int = 0) -> DataFrame:
+    """What a user narrows discovered URLs to; a pattern that is none is left out. most: the first so many, 0 for all."""
+    include, exclude = _valid(include), _valid(exclude)
+    kept = found.where(F.col("url").rlike(include)) if include else found
+    kept = kept.where(~F.col("url").rlike(exclude)) if exclude else kept
+    return limit_discovered(kept, most)

@@ -249,6 +249,21 @@ l AS (SELECT url, url AS href FROM p UNION SELECT p.url, regexp_replace(b.url, '
 SELECT l.url, href, target FROM l JOIN keys ON k = {S.match_key("regexp_replace(href, '#.*$', '')")} WHERE {S.part('href', 2)} = {S.part('l.url', 2)}"""
 
 
+def _relative(at: str, target: str) -> str:
+    here, there = f"list_slice(string_split({at}, '/'), 1, len(string_split({at}, '/')) - 1)", f"string_split({target}, '/')"
+    shared = f"least(len(list_filter(range(1, len({here}) + 1), lambda i: list_slice({here}, 1, i) = list_slice({there}, 1, i))), len({there}) - 1)"
+    return f"(repeat('../', (len({here}) - {shared})::BIGINT) || array_to_string(list_slice({there}, {shared} + 1, len({there})), '/'))"
+
+
+_BEFORE = "regexp_replace(b.url, '[?#].*$', '') || '.html'"
+ORACLE["link_rewrite"] = f"""WITH p AS (SELECT page_id, url, {S.output_path('url')} AS path, row_number() OVER (ORDER BY url) AS pos FROM pages),
+keys AS (SELECT {S.match_key('url')} AS k, arg_max(path, pos) AS target FROM p GROUP BY ALL),
+l AS (SELECT p.url, p.path, own.target AS t, {_BEFORE} AS b, CASE WHEN {S.part('p.url', 2)} = {S.part('b.url', 2)} THEN old.target END AS tb
+  FROM p JOIN keys own ON own.k = {S.match_key("regexp_replace(p.url, '#.*$', '')")} LEFT JOIN p b ON b.page_id = p.page_id - 1 LEFT JOIN keys old ON old.k = {S.match_key(_BEFORE)})
+SELECT url, path, '[own](' || {_relative('path', 't')} || regexp_extract(url, '#.*$') || ') and [before](' || CASE WHEN tb IS NOT NULL THEN {_relative('path', 'tb')} || '#part' ELSE coalesce(b || '#part', '#top') END
+  || ') or ![away](http://else.example/x) [mail](mailto:a@b.c) [top](#top)' AS body FROM l"""
+
+
 def link_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.rewrite_links(_linked(spark, sf_dir)).select("url", "path", "body")
 

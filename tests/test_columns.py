@@ -189,3 +189,27 @@ def test_stream_gives_each_page_once(spark, tmp_path):
 def test_report_edges(spark):
     empty = spark.createDataFrame([], "status string")
     assert summary.outcome_counts(empty).first().asDict() == {"pages": 0, "errors": 0, "skipped": 0, "total": 0}
+
+
+def test_refining(spark):
+    found = spark.createDataFrame([(0, "http://h/a"), (1, "http://h/b"), (2, "http://h/c")], "pos int, url string")
+    assert [r.pos for r in urlset.refine(found, "[ab]$", "(", 1).collect()] == [0]
+    assert urlset.refine(found, None, "/b$").count() == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from folio.__main__ import main
+
+    page = "<title>T{0} | Site</title><article><p>" + "word " * 60 + '<a href="/docs/b">b</a></p></article>'
+    rows = [{"url": f"http://docs.acme.io/docs/{x}", "final_url": "", "html": page.format(x), "status_code": 200} for x in ("a", "b", "c.png", "b/")]
+    rows.append({"url": "http://docs.acme.io/docs/bad", "final_url": "", "html": "", "status_code": 500})
+    (tmp_path / "in.json").write_text("\n".join(map(json.dumps, rows)))
+    (tmp_path / "skip.txt").write_text("# none\n")
+    given = ["extract", "http://docs.acme.io/docs", "--fetched", f"{tmp_path}/in.json", "--skip-urls", f"{tmp_path}/skip.txt"]
+    main([*given, "-o", f"{tmp_path}/all.txt"])
+    assert "pages: 2\nerrors: 1" in capsys.readouterr().out
+    assert "- [Ta](#ta)\n- [Tb](#tb)" in (tmp_path / "all.md").read_text()
+    main([*given, "-m", "multi", "-o", f"{tmp_path}/site"])
+    assert "[b](b.md)" in (tmp_path / "site/docs/a.md").read_text()
+    main(["list-patterns"])
+    assert "vitepress" in capsys.readouterr().out

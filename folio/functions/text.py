@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folio.functions import constants as C
+from folio.functions.urls import let
 
 _WS = r"[\s\x1c-\x1f]"
 
@@ -37,15 +38,16 @@ def _h1(line: Column) -> Column:
 
 def dedup_h1(markdown: Column) -> Column:
     """Lines that repeat the first H1, as heading or as text, go."""
+
+    def kept(lines: Column, at: Column) -> Column:
+        title = F.get(lines, (at - 1).cast("int"))["t"]
+        # before the first H1 nothing goes; a body line goes only if the title isn't empty
+        keep = lambda t: F.filter(lines, lambda x, i: (at == 0) | (i < at) | ~F.coalesce(x["t"], F.when(t != "", strip(x["x"]))).eqNullSafe(t))
+        return F.array_join(F.transform(let(title, keep), lambda x: x["x"]), "\n")
+
     titled = F.transform(F.split(markdown, "\n", -1), lambda x: F.struct(x.alias("x"), _h1(x).alias("t")))
-    at = F.array_position(F.transform(titled, lambda x: x["t"].isNotNull()), True)
-    title = F.get(titled, (at - 1).cast("int"))["t"]
-    # before the first H1 nothing goes; a body line goes only if the title isn't empty
-    keep = F.filter(
-        titled,
-        lambda x, i: (at == 0) | (i < at) | ~F.coalesce(x["t"], F.when(title != "", strip(x["x"]))).eqNullSafe(title),
-    )
-    return F.array_join(F.transform(keep, lambda x: x["x"]), "\n")
+    first = lambda lines: F.array_position(F.transform(lines, lambda x: x["t"].isNotNull()), True)
+    return let(titled, lambda lines: let(first(lines), lambda at: kept(lines, at)))
 
 
 def clean_markdown(markdown: Column) -> Column:
@@ -107,8 +109,8 @@ def is_crash(html: Column) -> Column:
 def is_category_page(markdown: Column) -> Column:
     """Over 70 % of the lines that are no headings, rules or blanks are list items of one link."""
     lines = F.filter(F.transform(F.split(markdown, "\n", -1), strip), lambda x: (x != "") & ~x.startswith("#") & (x != "---"))
-    links = F.filter(lines, lambda x: x.rlike(r"(?Ud)^[-*][\s\x1c-\x1f]+(\*\*)?(\[.+?\]\(.+?\))(\*\*)?[\s\x1c-\x1f]*$"))
-    return (F.size(lines) > 0) & (10 * F.size(links) > 7 * F.size(lines))
+    links = lambda x: x.rlike(r"(?Ud)^[-*][\s\x1c-\x1f]+(\*\*)?(\[.+?\]\(.+?\))(\*\*)?[\s\x1c-\x1f]*$")
+    return let(lines, lambda found: (F.size(found) > 0) & (10 * F.size(F.filter(found, links)) > 7 * F.size(found)))
 
 
 def is_login_gate(text: Column) -> Column:

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +16,11 @@ from folio.functions import constants as C
 RFC = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#([\s\S]*))?"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, RFC, group)
 
@@ -114,10 +120,12 @@ def output_path(url: Column) -> Column:
     p = _markdown_name(F.translate(p, ':?*<>|"', "_______"))
     # depth after each segment; below 0 is outside
     step = lambda acc, s: F.when(acc < 0, acc).when(s == "..", acc - 1).when(s.isin("", "."), acc).otherwise(acc + 1)
-    outside = F.aggregate(F.split(p, "/"), F.lit(0), step) < 0
     walk = lambda acc, s: F.when(s.isin("", "."), acc).when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s)))
-    inside = F.array_join(F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), walk), "/")
-    return F.when(outside, F.replace(F.replace(p, F.lit(".."), F.lit("_")), F.lit("/"), F.lit("_"))).otherwise(inside)
+    plain = lambda q: ~q.rlike(r"(^|/)\.{0,2}(/|$)")  # noqa: E731  most paths have no dots or empty segments to walk
+    outside = lambda q: F.aggregate(F.split(q, "/"), F.lit(0), step) < 0
+    flat = lambda q: F.replace(F.replace(q, F.lit(".."), F.lit("_")), F.lit("/"), F.lit("_"))
+    inside = lambda q: F.array_join(F.aggregate(F.split(q, "/"), F.array().cast("array<string>"), walk), "/")
+    return let(p, lambda q: F.when(plain(q), q).when(outside(q), flat(q)).otherwise(inside(q)))
 
 
 def file_name(url: Column) -> Column:

@@ -33,6 +33,10 @@ def resolve(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([_joined(b, h) for b, h in zip(base, href, strict=True)], dtype=object)
 
 
+# computed once though a filter and later columns read it
+resolve = resolve.asNondeterministic()
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def hrefs(html: pd.Series, base: pd.Series) -> pd.Series:
     """Absolute targets, without fragments, of all links of any page, in document order."""

@@ -83,4 +83,4 @@ def page_status(formatted: DataFrame) -> DataFrame:
         .when(text.is_login_gate(c["text"]), "login gate")
         .when(text.is_category_page(F.col("markdown")), "category page")
     )
-    return formatted.withColumn("reason", reason).withColumn("status", F.when(reason.isNull(), "done").otherwise("skipped"))
+    return formatted.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "done").otherwise("skipped"))

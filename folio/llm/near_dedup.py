@@ -5,9 +5,13 @@
 2. Inverted lists of retained values: sketches of a linked pair share half their values or more (at the threshold
    they share about 0.9), so the pair meets in the list of at least one of the K / 2 + 1 rarest values of either.
    Only these rarest values are listed: values of passages that many documents share stay out of the lists.
-3. Short lists give all their pairs; from longer ones a few pivots are compared with the members outside their
-   component. As components merge, lists fall away; pivots grow fourfold a round, until no list has members of two
-   components left to compare. Members that are connected anyway are never compared.
+3. Lists of up to SHORT_LIST members give all their pairs. Members of longer ones are listed anew by the rarest values
+   of their full sets, as few as a linked pair must share one of. Each such member has U values that no other member
+   has, and counts of its other values in parts of the hash space; what intersection and union can be at best, given
+   these, rules out nearly all pairs without a link before they become rows. From each list the members with the least
+   U are compared with those outside their component; these are what others link to, if to anything. As components
+   merge and members are ruled out, lists fall away; the compared members grow sixteenfold a round until none is
+   left.
 4. The union sketch of a pair estimates its similarity; pairs that may be linked are confirmed on full sets.
 5. Components by large-star / small-star rounds of joins.
 """
@@ -24,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.llm import hashing
-from folio.llm.common import materialize, read_table
+from folio.llm.common import given_id, held_id, materialize, read_table
 
 SHINGLE = 5
 K = 32
@@ -32,6 +36,8 @@ PERCENT = 85
 #: estimates below this are over five deviations from the threshold
 LEAST_ESTIMATE = 0.5
 SHORT_LIST = 8
+#: parts of the hash space in which shared values are counted
+BLOCKS = 32
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -84,14 +90,17 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def _lists(reps: DataFrame) -> DataFrame:
-    """Entries (v, rep) of each class's rarest retained values, where another class retains the value too."""
-    entries = reps.select("rep", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
+def _rarest(owners: DataFrame, values: str, room: str) -> DataFrame:
+    """Entries (v, rep, n, u, blocks) of each owner's rarest values as far as others have them too: `room` of n
+    values, the u that are nobody else's counting first. blocks: how many of the shared values are in each of BLOCKS
+    parts of the hash space."""
+    entries = owners.select("rep", F.size(values).alias("n"), F.explode(values).alias("v"))
     shared = materialize(entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared-values")
-    mine = entries.join(shared, "v").groupBy("rep").agg(F.first("m").alias("m"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s"))
-    # m - size(s) values are nobody else's: the rarest of all
-    room = F.expr("m - greatest(1, (m + 1) div 2) + 1 - (m - size(s))")
-    return mine.select("rep", F.explode(F.slice("s", F.lit(1), F.greatest(room, F.lit(0)))).alias("e")).select("e.v", "rep")
+    parts = [F.count_if(F.col("v") % BLOCKS == k).cast("int").alias(f"b{k}") for k in range(BLOCKS)]
+    mine = entries.join(shared, "v").groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s"), *parts)
+    left = mine.withColumn("u", F.expr("n - size(s)")).withColumn("blocks", F.array(*[f"b{k}" for k in range(BLOCKS)]))
+    listed = F.explode(F.expr(f"slice(s, 1, greatest({room} - u, 0))"))
+    return left.select("rep", "n", "u", "blocks", listed.alias("e")).select("e.v", "rep", "n", "u", "blocks")
 
 
 def _estimate() -> Column:
@@ -109,43 +118,59 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     a null component and are kept. An empty table gives no rows. Other columns are ignored. Hashes have 63 bits and
     stand for the shingles; sets are compared whole.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = materialize(rows.mapInPandas(_sketched, "doc_id long, n_shingles long, set_id string, sketch array<long>"), "sketches")
+    rows = docs.select(held_id(id_col), F.col(text_col).alias("text"))
+    sketched = rows.mapInPandas(_sketched, "doc_id long, n_shingles long, set_id string, sketch array<long>")
+    sketched = materialize(sketched.withColumn("doc_id", given_id()), "sketches")
     linked = sketched.where("doc_id IS NOT NULL AND set_id IS NOT NULL")
     reps = linked.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     reps = materialize(reps, "classes")
-    lists = materialize(_lists(reps), "lists")
-    met = lists.select("rep").distinct()
+    lists = materialize(_rarest(reps, "sketch", "n - greatest(1, (n + 1) div 2) + 1").select("v", "rep"), "lists")
+    met = materialize(lists.select("rep").distinct(), "met")
     whole = rows.select(F.col("doc_id").alias("rep"), "text").join(met, "rep", "left_semi")
     sets = materialize(whole.mapInPandas(_full_sets, "rep long, hashes array<long>"), "sets")
     sketches = reps.select("rep", "sketch").join(met, "rep", "left_semi")
-    links, roots, done, pivots = None, None, 0, 1
+    sides = lambda t, c: t.select(F.col("rep").alias(c[-1]), F.col(t.columns[1]).alias(c))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Links (u, v) among the pairs (a, b)."""
+        likely = pairs.distinct().join(sides(sketches, "sa"), "a").join(sides(sketches, "sb"), "b").where(_estimate() >= LEAST_ESTIMATE)
+        likely = materialize(likely.select("a", "b"), "likely-pairs")
+        both = F.size(F.array_intersect("ha", "hb"))
+        equal = likely.join(sides(sets, "ha"), "a").join(sides(sets, "hb"), "b").where(100 * both >= percent * (F.size("ha") + F.size("hb") - both))
+        return materialize(equal.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+
+    pair = [F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")]
+    lengths = lists.groupBy("v").agg(F.count("*").alias("m")).where("m > 1")
+    short = lists.join(lengths.where(f"m <= {SHORT_LIST}"), "v")
+    short = short.select("v", "rep")
+    links = confirmed(short.join(short.select("v", F.col("rep").alias("b")), "v").where("rep < b").select(*pair))
+    roots = components(links)
+    long_ = lists.join(lengths.where(f"m > {SHORT_LIST}"), "v", "left_semi").select("rep").distinct()
+    lists = materialize(_rarest(sets.join(long_, "rep", "left_semi"), "hashes", f"n - ({percent} * n + 99) div 100 + 1"), "long-lists")
+    done, pivots = 0, 1
     while True:
-        entries = lists.withColumn("c", F.col("rep"))
-        if roots is not None:
-            entries = lists.join(roots, lists["rep"] == roots["node"], "left").select("v", "rep", F.coalesce("root", "rep").alias("c"))
-        open_ = entries.groupBy("v").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-        if done:
-            open_ = open_.where(f"m > {max(SHORT_LIST, done)}")
-        open_ = materialize(entries.join(open_.select("v", "m"), "v"), "open-lists")
+        now = lists.join(roots, lists["rep"] == roots["node"], "left").select("v", "rep", "n", "u", "blocks", F.coalesce("root", "rep").alias("c"))
+        now = materialize(now, "now")
+        one = now.groupBy("v").agg(F.count("*").alias("m"), F.min(F.struct("u", "c")).alias("low"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+        mixed = now.join(one.where(f"c0 < c1 AND m > {done}").select("v", "low"), "v")
+        other = mixed.where("c <> low.c").groupBy("v").agg(F.min("u").alias("u2"))
+        # the best that a member can still meet is the least u outside its component
+        open_ = mixed.join(other, "v").where(f"100 * (n - u) >= {percent} * (n + if(c = low.c, u2, low.u))").select("v", "rep", "n", "u", "blocks", "c")
+        open_ = materialize(open_, "open-lists")
         if open_.isEmpty():
             break
-        rank = F.row_number().over(W.partitionBy("v").orderBy(F.xxhash64("rep"), "rep"))
-        leads = open_.withColumn("_r", rank).where(f"_r <= {max(pivots, SHORT_LIST)}").where(f"_r > {done} AND (_r <= {pivots} OR m <= {SHORT_LIST})").select("v", F.col("rep").alias("b"), F.col("c").alias("cb"))
-        pairs = open_.join(leads, "v").where("c <> cb").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-        sides = lambda t, c: t.select(F.col("rep").alias(c[-1]), F.col(t.columns[1]).alias(c))
-        likely = pairs.join(sides(sketches, "sa"), "a").join(sides(sketches, "sb"), "b").where(_estimate() >= LEAST_ESTIMATE).select("a", "b")
-        likely = materialize(likely, "likely-pairs")
-        both = F.size(F.array_intersect("ha", "hb"))
-        confirmed = likely.join(sides(sets, "ha"), "a").join(sides(sets, "hb"), "b").where(100 * both >= percent * (F.size("ha") + F.size("hb") - both))
-        found = materialize(confirmed.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        rank = F.row_number().over(W.partitionBy("v").orderBy("u", F.xxhash64("rep"), "rep"))
+        leads = now.withColumn("_r", rank).where(f"_r <= {pivots}").where(f"_r > {done}")
+        leads = leads.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"), F.col("blocks").alias("bb"), F.col("c").alias("cb"))
+        # no pair has more in common than the lesser of its counts in each part
+        most = "aggregate(zip_with(blocks, bb, (x, y) -> least(x, y)), 0, (s, x) -> s + x)"
+        possible = f"100 * least(n - u, nb - ub) >= {percent} * greatest(n + ub, nb + u) AND {100 + percent} * {most} >= {percent} * (n + nb)"
+        found = confirmed(open_.join(leads, "v").where(f"c <> cb AND {possible}").select(*pair))
         if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
+            links = links.unionByName(found)
             roots = components(links)
-        done, pivots = pivots, 4 * pivots
-    classes = reps.select("set_id", "rep")
-    if roots is not None:
-        classes = reps.join(roots, reps["rep"] == roots["node"], "left").select("set_id", F.coalesce("root", "rep").alias("rep"))
+        done, pivots = pivots, 16 * pivots
+    classes = reps.join(roots, reps["rep"] == roots["node"], "left").select("set_id", F.coalesce("root", "rep").alias("rep"))
     with_class = sketched.join(classes, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
     return with_class.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

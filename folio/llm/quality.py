@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from folio.llm.common import SPACE, materialize, read_table, source_key
 
 #: metric: the least spread (same unit) that the upper fence allows for
-METRICS = {"m_symbols": 5, "m_dup_lines": 10, "m_repeats": 10, "m_word_len": 5, "m_upper": 5}
+METRICS = {"m_symbols": 5, "m_dup_lines": 10, "m_repeats": 10, "m_stutter": 5, "m_word_len": 5, "m_upper": 5}
 FENCE = 4
 MIN_GROUP = 100
 #: stands for all languages; keys of languages begin with a or b
@@ -31,6 +31,7 @@ def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace("_t", r"[^A-Z]+", "")).cast("long").alias("n_upper"),
+        F.expr("size(filter(_w, (x, i) -> i > 0 AND x = get(_w, i - 1)))").cast("long").alias("n_stutter"),
         lines.alias("_l"),
     )
     hashed = counted.withColumn("_g", F.expr(f"CASE WHEN size(_w) >= 9 THEN transform(sequence(0, size(_w) - 8), i -> xxhash64({window})) END"))
@@ -49,6 +50,7 @@ def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "word_chars",
         "n_symbols",
         "n_upper",
+        "n_stutter",
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
@@ -61,6 +63,7 @@ def _metrics() -> dict[str, Column]:
         "m_symbols": F.expr("100 * n_symbols div greatest(n_words, 1)"),
         "m_dup_lines": F.expr("100 * n_dup_lines div greatest(n_lines, 1)"),
         "m_repeats": F.expr("100 * n_repeat_words div greatest(n_words, 1)"),
+        "m_stutter": F.expr("100 * n_stutter div greatest(n_words, 1)"),
         "m_word_len": F.expr("10 * word_chars div greatest(n_words, 1)"),
         "m_upper": F.expr("100 * n_upper div greatest(word_chars, 1)"),
     }
@@ -91,7 +94,7 @@ def fences(sketched: DataFrame, keys: list[str]) -> DataFrame:
 def adaptive_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Base counts of every text, the base verdict and the adaptive one.
 
-    Each (language, source) has mergeable quantile sketches of five measures; a document that no base rule fails is
+    Each (language, source) has mergeable quantile sketches of six measures; a document that no base rule fails is
     rejected if a measure lies above its group's upper fence. Groups under MIN_GROUP rows use the sketches merged
     over their language, and those under it the sketches merged over all. Null languages and sources are groups of
     their own. Null and empty texts count 0 words, fail the base rules and stay out of the sketches, as do all rows
@@ -135,6 +138,7 @@ def _oracle() -> str:
         "m_symbols": "100 * n_symbols // greatest(n_words, 1)",
         "m_dup_lines": "100 * n_dup_lines // greatest(n_lines, 1)",
         "m_repeats": "100 * n_repeat_words // greatest(n_words, 1)",
+        "m_stutter": "100 * n_stutter // greatest(n_words, 1)",
         "m_word_len": "10 * word_chars // greatest(n_words, 1)",
         "m_upper": "100 * n_upper // greatest(word_chars, 1)",
     }
@@ -152,17 +156,17 @@ def _oracle() -> str:
 WITH words AS (
   SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS i FROM documents
 ), grams AS (
-  SELECT doc_id, i, w, {" || ' ' || ".join(["w", *[f"lead(w, {k}) OVER o" for k in range(1, 8)]])} AS g FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+  SELECT doc_id, i, w, {" || ' ' || ".join(["w", *[f"lead(w, {k}) OVER o" for k in range(1, 8)]])} AS g, lag(w) OVER o AS p FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)
 ), dups AS (
-  SELECT doc_id, i, w, coalesce(g IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g) > 1, false) AS d FROM grams
+  SELECT doc_id, i, w, p, coalesce(g IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g) > 1, false) AS d FROM grams
 ), counted AS (
-  SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (WHERE d8) AS n_repeat_words
+  SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (WHERE d8) AS n_repeat_words, count(*) FILTER (WHERE w = p) AS n_stutter
   FROM (SELECT *, bool_or(d) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS d8 FROM dups) GROUP BY doc_id
 ), lined AS (
   SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents
 ), base AS (
   SELECT doc_id, CASE WHEN lang IS NULL THEN 'b' ELSE 'a' || lang END AS lk, CASE WHEN source IS NULL THEN 'b' ELSE 'a' || source END AS sk,
-    coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+    coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_stutter, 0)::BIGINT AS n_stutter,
     length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(coalesce(text, ''), '[^A-Z]', '', 'g'))::BIGINT AS n_upper,
     len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
     coalesce(n_words, 0) < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * coalesce(n_words, 0) AS base_failed

@@ -315,13 +315,14 @@ def test_quality_counts_and_adaptive_verdicts(make):
     rows = [(k, t, "en", "s") for k, t in enumerate(clean)]
     rows += [(500, " ".join(f"{w}&&&" for w in clean[0].split()), "en", "s"), (501, "ONE TWO " * 30, "en", "s"), (502, clean[1] + "\n" + clean[2] + "\n" + clean[1], "en", "t")]
     rows += [(503, " ".join(w.upper() for w in clean[3].split()), "en", "s")]
+    rows += [(504, " ".join(f"{w} {w} {w}" for w in dict.fromkeys(clean[4].split())), "en", "s")]
     got = {r.doc_id: r for r in quality.adaptive_quality(make(rows)).collect()}
     for i, t, _, _ in rows:
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base_counts(t)
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
     assert all(got[k].kept for k in range(400))
-    assert not got[500].kept and got[501].base_failed and not got[501].kept and not got[503].kept
+    assert not got[500].kept and got[501].base_failed and not got[501].kept and not got[503].kept and not got[504].kept
 
 
 def test_sketches_merge(spark, make):

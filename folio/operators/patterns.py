@@ -29,21 +29,24 @@ class SitePattern:
 
 _TABS = '.openapi-tabs__code-container [role="tab"]'
 # The known frameworks
-_DOCUSAURUS_REMOVED = (
-    ".theme-doc-sidebar-container", '[class*="docSidebarContainer"]', "aside", 'nav[aria-label="Main"]', ".navbar",
-    ".theme-doc-breadcrumbs", ".pagination-nav", ".theme-doc-toc-mobile", ".theme-doc-footer", ".theme-edit-this-page",
-)
 KNOWN = [
     SitePattern(
         "docusaurus", "Docusaurus documentation sites",
         ("article.markdown", ".docMainContent", 'main[class*="docMainContainer"]', "main .col", "main .container article", '[class*="docItemContainer"]'),
-        (*_DOCUSAURUS_REMOVED, '[class*="tocCollapsible"]', "footer"),
+        (
+            ".theme-doc-sidebar-container", '[class*="docSidebarContainer"]', "aside", 'nav[aria-label="Main"]', ".navbar", ".theme-doc-breadcrumbs",
+            ".pagination-nav", ".theme-doc-toc-mobile", ".theme-doc-footer", ".theme-edit-this-page", '[class*="tocCollapsible"]', "footer",
+        ),
         requires_js=True, wait_selector="article.markdown", click_tabs_selector=_TABS,
     ),
     SitePattern(
         "docusaurus-openapi", "Docusaurus sites with docusaurus-openapi-docs plugin",
         ("article .theme-doc-markdown", "article.markdown", 'main[class*="docMainContainer"]', "main .col", "article"),
-        (".openapi-explorer__request-form", ".openapi-explorer__response-container", *_DOCUSAURUS_REMOVED, ".breadcrumbs", '[class*="tocCollapsible"]', "footer"),
+        (
+            ".openapi-explorer__request-form", ".openapi-explorer__response-container", ".theme-doc-sidebar-container", '[class*="docSidebarContainer"]', "aside",
+            'nav[aria-label="Main"]', ".navbar", ".theme-doc-breadcrumbs", ".pagination-nav", ".theme-doc-toc-mobile", ".theme-doc-footer", ".theme-edit-this-page",
+            ".breadcrumbs", '[class*="tocCollapsible"]', "footer",
+        ),
         requires_js=True, wait_selector=".openapi-left-panel__container, article.markdown", wait_time_ms=500, click_tabs_selector=_TABS,
     ),
     SitePattern(

@@ -54,7 +54,6 @@ def test_flagship_is_registered():
 
 @needs_data
 def test_url_filter_reaches_the_scan(spark):
-    from folio.functions import urls
     from folio.operators.pages import extract_pages
     from pyspark.sql import functions as F
 
@@ -62,4 +61,3 @@ def test_url_filter_reaches_the_scan(spark):
     plan = pages.where(F.col("url").startswith("http://")).select("url")._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(url,http://)" in plan
     assert "html" not in plan.split("ReadSchema")[1]
-    assert urls is not None

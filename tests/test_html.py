@@ -104,7 +104,7 @@ API = """<h1 class="openapi__heading">Get it</h1><div class="openapi__method-end
 </ul></details>
 <div role="tabpanel"><div class="openapi-schema__list-item"><strong class="openapi-schema__property">other</strong></div></div>
 <div class="openapi-security__details"><div class="openapi-security__summary-header">Auth: oauth2</div><pre><span><strong>name:</strong> key</span><span><strong>flows:</strong> <code>{"a": {"tokenUrl": "http://t"}}</code></span></pre></div>
-<div class="openapi-tabs__code-container"><div class="doc-retrieval-captured-tab" data-tab-label="curl"><code><span class="token-line">curl x</span><span class="token-line"> -d</span></code></div></div>"""
+<div class="openapi-tabs__code-container"><div data-tab-label="curl"><code><span class="token-line">curl x</span><span class="token-line"> -d</span></code></div></div>"""
 
 
 def test_api_schema():

@@ -12,9 +12,9 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,14 +22,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import read_table
+from folio.llm.common import given_id, held_id, read_table
 
 BLANK = "▁"
 DROPOUT = 0.1
 VARIANTS = 2
 SEED = 31
-MOST_UNITS = 250_000
+MOST_UNITS = 600_000
 LONG_UNIT = 64
+#: a candidate's hash is the upper half of its unit's keyed digest times an odd number made of its place
+M64 = 2**64 - 1
+#: up to here the agenda is a plain list
+SHORT_UNIT = 32
 #: whole words; `fine_units` cuts further
 _WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
@@ -40,12 +44,6 @@ def fine_units(pieces: list[str]) -> re.Pattern:
     return re.compile(rf"{BLANK}*[^\W\d_{other}]+|{BLANK}*(?:[\d_{other}]|[^\w{BLANK}])+|{BLANK}+")
 
 
-def _keyed(key: int, left: int, stop: int) -> int:
-    """32 bits from the unit's keyed digest and the candidate's place."""
-    h = (key ^ (left << 32 | stop)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
-    return ((h ^ h >> 29) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF) >> 32
-
-
 class Model:
     """Pieces, merges and a bounded cache of segmented units."""
 
@@ -67,10 +65,42 @@ class Model:
         back = {i: b for b, i in self.bytes.items()}
         self.data = [bytes([back[i]]) if i in back else p.replace(BLANK, " ").encode() if normal[i] else b"" for i, p in enumerate(pieces)]
         self.below, self.seed = int(dropout * 2**32), seed
-        self.known: list[dict[str, tuple[int, ...]]] = [{} for _ in range(VARIANTS if self.below else 1)]
+        self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS if self.below else 1)]
 
-    def segment(self, unit: str, variant: int) -> tuple[int, ...]:
-        """Agenda processing of one unit; without dropout, what the library's encoder gives."""
+    def segment(self, unit: str, variant: int) -> bytes:
+        """Ids (little-endian, 32 bits) of one unit; without dropout, what the library's encoder gives."""
+        parts = self._short(unit, variant) if len(unit) <= SHORT_UNIT else self._long(unit, variant)
+        ids, out = self.ids, []
+        for piece in parts:
+            if (i := ids.get(piece)) is not None:
+                out.append(i)
+            else:
+                out += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
+        return array("i", out).tobytes()
+
+    def _key(self, unit: str, variant: int) -> int:
+        return xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass"), self.seed + variant) if self.below else 0
+
+    def _short(self, unit: str, variant: int) -> list[str]:
+        """The agenda as a list beside the symbols: its least rank, leftmost first, is the next candidate."""
+        rank, below, key = self.rank.get, self.below, self._key(unit, variant)
+        parts, starts, none = list(unit), list(range(len(unit) + 1)), 1e18
+        agenda = [rank(a + b, none) for a, b in zip(unit, unit[1:])]
+        while agenda and (least := min(agenda)) < none:
+            k = agenda.index(least)
+            if below and (key * (starts[k] << 33 | starts[k + 2] << 1 | 1) & M64) >> 32 < below:
+                agenda[k] = none
+                continue
+            parts[k] += parts.pop(k + 1)
+            del starts[k + 1], agenda[k]
+            if k:
+                agenda[k - 1] = rank(parts[k - 1] + parts[k], none)
+            if k < len(agenda):
+                agenda[k] = rank(parts[k] + parts[k + 1], none)
+        return parts
+
+    def _long(self, unit: str, variant: int) -> list[str]:
+        """The same with a heap, for units of any length."""
         rank, n, push, pop = self.rank, len(unit), heapq.heappush, heapq.heappop
         end = list(range(1, n + 1))  # of the symbol that starts here; 0 once it is part of an earlier one
         before = list(range(-1, n))
@@ -79,30 +109,25 @@ class Model:
             if (r := rank.get(unit[left : left + 2])) is not None:
                 agenda.append((r, left, left + 1, left + 2))
         heapq.heapify(agenda)
-        key = xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass"), self.seed + variant) if self.below else 0
+        key = self._key(unit, variant)
         while agenda:
             _, left, right, stop = pop(agenda)
             if end[left] != right or end[right] != stop:
                 continue
-            if key and _keyed(key, left, stop) < self.below:
+            if self.below and (key * (left << 33 | stop << 1 | 1) & M64) >> 32 < self.below:
                 continue
             end[left], end[right], before[stop] = stop, 0, left
             if left and (r := rank.get(unit[before[left] : stop])) is not None:
                 push(agenda, (r, before[left], left, stop))
             if stop < n and (r := rank.get(unit[left : end[stop]])) is not None:
                 push(agenda, (r, left, stop, end[stop]))
-        ids = self.ids
         out, at = [], 0
         while at < n:
-            piece = unit[at : end[at]]
-            if (i := ids.get(piece)) is not None:
-                out.append(i)
-            else:
-                out.extend(self.bytes[b] for b in piece.encode("utf-8", "surrogatepass"))
+            out.append(unit[at : end[at]])
             at = end[at]
-        return tuple(out)
+        return out
 
-    def _new(self, unit: str, variant: int) -> tuple[int, ...]:
+    def _new(self, unit: str, variant: int) -> bytes:
         known, out = self.known[variant], self.segment(unit, variant)
         if len(unit) <= LONG_UNIT:
             if len(known) >= MOST_UNITS:
@@ -110,22 +135,20 @@ class Model:
             known[unit] = out
         return out
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> np.ndarray:
         """Ids of the whole text. A blank mark that stands in the text itself becomes bytes, so decoding is lossless."""
         if not text:
-            return []
-        if BLANK in text:
-            mark = [self.bytes[b] for b in BLANK.encode()]
-            parts = [self._run((BLANK if k == 0 else "") + p.replace(" ", BLANK)) for k, p in enumerate(text.split(BLANK))]
-            return list(chain(parts[0], *[mark + p for p in parts[1:]]))
-        return self._run(BLANK + text.replace(" ", BLANK))
-
-    def _run(self, marked: str) -> list[int]:
+            return np.empty(0, np.int32)
+        parts = [(BLANK if k == 0 else "") + p.replace(" ", BLANK) for k, p in enumerate(text.split(BLANK))]
+        mark = array("i", [self.bytes[b] for b in BLANK.encode()]).tobytes()
+        return np.frombuffer(mark.join(map(self._run, parts)), np.int32)
+
+    def _run(self, marked: str) -> bytes:
         units, n = self.units.findall(marked), len(self.known)
-        out: list = [()] * len(units)
+        out = [b""] * len(units)
         for v, known in enumerate(self.known):
             out[v::n] = [known.get(u) or self._new(u, v) for u in units[v::n]]
-        return list(chain.from_iterable(out))
+        return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> str:
         data = b"".join(map(self.data.__getitem__, ids))
@@ -149,10 +172,10 @@ def encode_pieces(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: in
         for pdf in batches:
             for a in range(0, len(pdf), 512):
                 rows = pdf.iloc[a : a + 512]
-                yield pd.DataFrame({"doc_id": rows["doc_id"], "ids": [np.array(bpe.encode(t), np.int32) for t in rows["text"]]})
+                yield pd.DataFrame({"doc_id": rows["doc_id"], "ids": [bpe.encode(t) for t in rows["text"]]})
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, ids array<int>")
+    rows = docs.select(held_id(id_col), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, "doc_id long, ids array<int>").withColumn("doc_id", given_id())
 
 
 def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
@@ -171,7 +194,8 @@ def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
                 }
             )
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, n_pieces long, ids_crc32 long, text string")
+    held = encoded.select(held_id("doc_id"), "ids")
+    return held.mapInPandas(run, "doc_id long, n_pieces long, ids_crc32 long, text string").withColumn("doc_id", given_id())
 
 
 def default_model() -> str:

@@ -118,9 +118,11 @@ def identify_language(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int
         F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False)).alias("held_out"),
     )
     labelled = rows.where(~F.col("held_out") & F.col("lang").isNotNull() & given_id().isNotNull())
-    share = labelled.groupBy("lang").agg((per_lang / F.count("*")).alias("share"))
+    # one number a language, of which the model keeps a column of weights each: texts needn't move to be sampled
+    counts = labelled.groupBy("lang").count().collect()
     uniform = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = labelled.withColumn("order", uniform).join(share, "lang").where(F.col("order") < 1.5 * F.col("share"))
+    most = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], 1.5 * per_lang / r["count"])]) if counts else F.lit(None).cast("map<string,double>")
+    sample = labelled.withColumn("order", uniform).where(F.col("order") < F.element_at(most, F.col("lang")))
     found = sample.select("order", "lang", "text").mapInPandas(_packed, "order double, lang string, bits binary")
     # the least hashes of each language, per_lang of them: a bounded number of rows of fixed size
     pdf = found.where("bits IS NOT NULL").groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("order", "bits"))), 1, per_lang).alias("s"))

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.storage import materialize, shared_path
+from folio.storage import discard, materialize, release, shared_path
 
-__all__ = ["fresh", "given_id", "held_id", "hex_number", "materialize", "read_table", "running_totals", "shared_path", "shuffle_key", "source_key"]
+__all__ = ["discard", "fresh", "given_id", "held_id", "hex_number", "materialize", "read_table", "release", "running_totals", "shared_path", "shuffle_key", "source_key"]
 
 SPACE = r"\x20\x09-\x0D"
 

@@ -28,7 +28,7 @@ BLANK = "▁"
 DROPOUT = 0.1
 VARIANTS = 2
 SEED = 31
-MOST_UNITS = 600_000
+MOST_UNITS = 400_000
 LONG_UNIT = 64
 #: a candidate's hash is the upper half of its unit's keyed digest times an odd number made of its place
 M64 = 2**64 - 1

@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import hashing
-from folio.llm.common import materialize, read_table
+from folio.llm.common import discard, read_table, release, shared_path
 
 WINDOW = 100
 GRAM = 24
@@ -83,27 +84,16 @@ def _place_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"a": a, "d": np.repeat(pdf["d"].to_numpy(), sizes), "th": np.repeat(pdf["th"].to_numpy(), sizes), "at": start << 16 | n << 8 | (place - start)})
 
 
-def _noted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts go on where spans may repeat; of the others, and of copies, the digest is final."""
-    for pdf in batches:
-        rows = []
-        for d, th, text, copy, at in zip(*(pdf[c] for c in ("d", "th", "text", "copy", "at")), strict=True):
-            data = _bytes(text)
-            gone = bool(copy) and len(data) >= WINDOW
-            more = not gone and at is not None and len(at) > 0
-            digest = None if more else hashlib.sha256(b"" if gone else data.tobytes()).hexdigest()
-            rows.append((d, th, len(data), len(data) if gone else 0, digest, data.tobytes() if more else None, at if more else None))
-        yield pd.DataFrame(rows, columns=["d", "th", "n_bytes", "n_removed", "sha", "data", "at"])
-
-
 def _digest(data: bytes) -> tuple[int, int]:
-    return tuple(int.from_bytes(hashlib.blake2b(data, digest_size=16).digest()[k : k + 8], "little", signed=True) for k in (0, 8))
+    x = xxhash.xxh3_128_intdigest(data)
+    return (x >> 64) - 2**63, (x & 2**64 - 1) - 2**63
 
 
 def _span_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for d, th, data, at in zip(pdf["d"], pdf["th"], pdf["data"], pdf["at"], strict=True):
+        for d, th, text, at in zip(pdf["d"], pdf["th"], pdf["text"], pdf["at"], strict=True):
+            data = text.encode("utf-8", "surrogatepass")
             for x in np.unique(at):
                 start, n, off = int(x) >> 16, int(x) >> 8 & 255, int(x) & 255
                 content = data[start : start + n + WINDOW - 1]
@@ -262,32 +252,49 @@ def _sorted_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for d, n, removed, sha, data, ranges in zip(*(pdf[c] for c in ("d", "n_bytes", "n_removed", "sha", "data", "ranges")), strict=True):
-            spans = int(removed > 0)
-            if data is not None:
-                cover = np.zeros(n + 1, np.int64)
-                for x in ranges if ranges is not None else ():
-                    cover[x["b"]] += 1
-                    cover[x["e"]] -= 1
-                gone = np.cumsum(cover[:n]) > 0
-                removed, spans = int(gone.sum()), len(_runs(gone))
-                sha = hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes()).hexdigest()
-            rows.append((d, n, removed, spans, sha))
+        for d, text, copy, ranges in zip(*(pdf[c] for c in ("d", "text", "copy", "ranges")), strict=True):
+            data = _bytes(text)
+            cover = np.zeros(len(data) + 1, np.int64)
+            for x in [{"b": 0, "e": len(data)}] if copy else ranges if ranges is not None else ():
+                cover[x["b"]] += 1
+                cover[x["e"]] -= 1
+            gone = np.cumsum(cover[: len(data)]) > 0
+            rows.append((d, len(data), int(gone.sum()), len(_runs(gone)), hashlib.sha256(data[~gone].tobytes()).hexdigest()))
         yield pd.DataFrame(rows, columns=["d", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _later(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows that have an equal by the keys earlier in the corpus, the keys' first places)."""
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """As common.materialize, packed closer; the shuffle files of what was written go at once, not some time later."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    release(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _firsts(rows: DataFrame, keys: list[str], *carried: str) -> DataFrame:
+    """Of rows with equal keys, the first place in the corpus, and whether there are others."""
     place = F.struct("d", "th", "s")
-    firsts = materialize(rows.groupBy(*keys).agg(F.min(place).alias("first"), F.max(place).alias("_last")), "firsts")
-    many = firsts.where("first <> _last").select(*keys, "first")
-    return rows.join(many, keys).where((F.col("d") != F.col("first.d")) | (F.col("th") != F.col("first.th")) | (F.col("s") != F.col("first.s"))), firsts
+    found = rows.groupBy(*keys).agg(F.min(place).alias("first"), (F.min(place) != F.max(place)).alias("many"), *[F.first(c).alias(c) for c in carried])
+    return materialize(found, "firsts")
+
+
+def _later(rows: DataFrame, firsts: DataFrame, keys: list[str]) -> DataFrame:
+    """Ranges of the rows that have an equal earlier in the corpus."""
+    found = rows.join(firsts.where("many").select(*keys, "first"), keys).where("d <> first.d OR th <> first.th OR s <> first.s")
+    return materialize(found.select("d", "th", F.col("s").alias("b"), (F.col("s") + F.col("n") + (WINDOW - 1)).alias("e")), "ranges")
+
+
+def _leading(rows: DataFrame, firsts: DataFrame, group: list[str]) -> DataFrame:
+    """The first of equal rows, where their group has rows with other keys too. Rows' bytes are dealt out once."""
+    several = firsts.groupBy(*group).agg(F.count("*").alias("_n")).where("_n > 1").select(*group)
+    places = firsts.join(several, group).select("first.d", "first.th", "first.s")
+    return rows.join(materialize(places, "leading"), ["d", "th", "s"], "left_semi")
 
 
-def _leading(rows: DataFrame, firsts: DataFrame, keys: list[str]) -> DataFrame:
-    """Of rows with equal keys, the first in the corpus."""
-    own = (F.col("d") == F.col("first.d")) & (F.col("th") == F.col("first.th")) & (F.col("s") == F.col("first.s"))
-    return rows.join(firsts.select(*keys, "first"), keys).where(own).drop("first").dropDuplicates([*keys])
+def _several(firsts: DataFrame) -> DataFrame:
+    """First segments of cores that have more than one kind."""
+    cores = firsts.groupBy("ch", "cg").agg(F.count("*").alias("_n")).where("_n > 1").select("ch", "cg")
+    return firsts.join(cores, ["ch", "cg"]).select("ch", "cg", "h", "g", "first.d", "first.th", "first.s")
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,33 +316,40 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     digests = materialize(rows.where(F.octet_length("text") >= WINDOW).select("d", "th", F.md5(F.col("text").cast("binary")).alias("md5")), "digests")
     original = materialize(digests.groupBy("md5").agg(F.min(F.struct("d", "th")).alias("o"), F.max(F.struct("d", "th")).alias("_l")).where("o <> _l").select("md5", "o"), "originals")
     copies = digests.join(original, "md5").where("d <> o.d OR th <> o.th").select("d", "th").distinct()
-    copies = materialize(copies.withColumn("copy", F.lit(True)), "copies")
+    copies = materialize(copies, "copies")
+    discard(digests, original)
     # anchors of more than one text, or twice in one
     seen = rows.select("th", "text").mapInPandas(_anchor_rows, "a long, th int, n int")
     shared = seen.groupBy("a").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), F.max("n").alias("n")).where("lo < hi OR n > 1").select("a")
     shared = materialize(shared, "shared-anchors")
     places = rows.select("d", "th", "text").mapInPandas(_place_rows, "a long, d long, th int, at long").join(shared, "a", "left_semi")
-    noted = places.groupBy("d", "th").agg(F.collect_list("at").alias("at")).withColumn("copy", F.lit(False))
-    noted = noted.unionByName(copies.withColumn("at", F.lit(None).cast("array<long>")))
-    noted = noted.groupBy("d", "th").agg(F.first("at", ignorenulls=True).alias("at"), F.max("copy").alias("copy"))
-    noted = rows.join(noted, ["d", "th"], "left").select("d", "th", "text", "copy", "at")
-    texts = materialize(noted.mapInPandas(_noted, "d long, th int, n_bytes long, n_removed long, sha string, data binary, at array<long>"), "texts")
-    spans = texts.where("data IS NOT NULL").select("d", "th", "data", "at")
+    noted = places.groupBy("d", "th").agg(F.collect_list("at").alias("at")).join(copies, ["d", "th"], "left_anti")
+    noted = materialize(noted, "places")
+    discard(shared)
+    spans = rows.join(noted, ["d", "th"]).dropDuplicates(["d", "th"]).select("d", "th", "text", "at")
     spans = materialize(spans.mapInPandas(_span_rows, "h long, g long, a long, d long, th int, s long, n int, off int, data binary"), "spans")
-    cut = lambda t: t.select("d", "th", F.col("s").alias("b"), (F.col("s") + F.col("n") + (WINDOW - 1)).alias("e"))
-    later, firsts = _later(spans.select("h", "g", "d", "th", "s", "n"), ["h", "g"])
-    varied = spans.select("a", "h", "g").distinct().groupBy("a").agg(F.count("*").alias("_n")).where("_n > 1").select("a")
-    leading = _leading(spans.join(materialize(varied, "varied"), "a", "left_semi"), firsts, ["h", "g"])
-    segments = leading.select("d", "th", "s", "n", "off", "data").mapInPandas(_segment_rows, "ch long, cg long, h long, g long, d long, th int, s long, n int, lead int, data binary")
+    discard(noted)
+    firsts = _firsts(spans.select("h", "g", "a", "d", "th", "s"), ["h", "g"], "a")
+    gone = [_later(spans.select("h", "g", "d", "th", "s", "n"), firsts, ["h", "g"])]
+    leading = _leading(spans.select("d", "th", "s", "n", "off", "data"), firsts, ["a"])
+    segments = leading.mapInPandas(_segment_rows, "ch long, cg long, h long, g long, d long, th int, s long, n int, lead int, data binary")
     segments = materialize(segments, "segments")
+    discard(spans, firsts)
+    # most cores stand in one place only
+    cores = materialize(segments.groupBy("ch", "cg").agg(F.count("*").alias("_n")).where("_n > 1").select("ch", "cg"), "cores")
+    contested = materialize(segments.join(cores, ["ch", "cg"], "left_semi"), "contested")
+    discard(segments, cores)
     keys = ["ch", "cg", "h", "g"]
-    later_segments, first_segments = _later(segments.select(*keys, "d", "th", "s", "n"), keys)
-    cores = materialize(first_segments.groupBy("ch", "cg").agg(F.count("*").alias("_n")).where("_n > 1").select("ch", "cg"), "cores")
-    contested = _leading(segments.join(cores, ["ch", "cg"], "left_semi"), first_segments, keys)
-    ordered = contested.select("ch", "cg", "d", "th", "s", "n", "lead", "data").repartition("ch", "cg").sortWithinPartitions("ch", "cg")
-    sorted_ = ordered.mapInPandas(_sorted_rows, "d long, th int, b long, e long")
-    ranges = cut(later).unionByName(cut(later_segments)).unionByName(sorted_).groupBy("d", "th").agg(F.collect_list(F.struct("b", "e")).alias("ranges"))
-    last = texts.join(ranges, ["d", "th"], "left").select("d", "n_bytes", "n_removed", "sha", "data", "ranges")
+    firsts = _firsts(contested.select(*keys, "d", "th", "s"), keys)
+    gone.append(_later(contested.select(*keys, "d", "th", "s", "n"), firsts, keys))
+    # a span has several segments at one place, so the core is part of it
+    leading = contested.join(_several(firsts), [*keys, "d", "th", "s"], "left_semi")
+    ordered = leading.select("ch", "cg", "d", "th", "s", "n", "lead", "data").repartition("ch", "cg").sortWithinPartitions("ch", "cg")
+    gone.append(materialize(ordered.mapInPandas(_sorted_rows, "d long, th int, b long, e long"), "ranges"))
+    discard(contested, firsts)
+    ranges = gone[0].unionByName(gone[1]).unionByName(gone[2]).groupBy("d", "th").agg(F.collect_list(F.struct("b", "e")).alias("ranges"))
+    notes = ranges.withColumn("copy", F.lit(False)).unionByName(copies.select("d", "th", F.lit(None).cast("array<struct<b:bigint,e:bigint>>").alias("ranges"), F.lit(True).alias("copy")))
+    last = rows.join(notes, ["d", "th"], "left").select("d", "text", "copy", "ranges")
     final = last.mapInPandas(_final, "d long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return final.select(F.when(F.col("d") != NO_DOC, F.col("d")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 

@@ -1,7 +1,8 @@
 """Personal data: base patterns, and identifiers found by bootstrapped lexical contexts.
 
-Base spans (e-mail, ip, card, phone) are the seeds. Every identifier-like token, seed or not, has contexts: the words
-before it and around it. Spark keeps the bipartite graph of contexts and instances (hashes of the identifiers) and
+Base spans (e-mail, ip, card, phone) are the seeds. Everything identifier-like, seed or not, has contexts: the words
+before it and around it. That is each token with a digit or an @, each run of groups of digits on a line, and each
+address with a spelt at. Spark keeps the bipartite graph of contexts and instances (hashes of the identifiers) and
 scores it in rounds: a context's confidence for a kind is the mean score of its distinct instances, an unknown
 instance's score is the noisy-or of the accepted contexts it stands in; instances with high scores are seeds of the
 next round. Unknown identifiers in accepted contexts become spans of that kind.
@@ -10,8 +11,9 @@ next round. Unknown identifiers in accepted contexts become spans of that kind.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import xxhash
@@ -34,6 +36,13 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"\S+")
+_EDGE = "\"'()[]{}<>.,;:!?*#$%&|"
+#: no base kind has more
+MOST_DIGITS = 19
+_GROUP = re.compile(r"[^\w@]*[0-9](?:[0-9]|[^\w@])*")
+_JOINT = re.compile(r"[-\u2013\u2014/.+()\[\]]{1,2}")
+_AT = re.compile(r"(?i)[(\[{<]\s?at\s?[)\]}>]|(?<!\S)(?:at|@)(?=\s+[\w-]+(?:\.\w|\s+(?:dot\s|[(\[{<]\s?dot)))")
+_DOT = re.compile(r"(?i)[(\[{<]?dot[)\]}>]?")
 _SCAN = "doc_id long, text_key long, base array<struct<k:int,s:bigint,e:bigint>>, candidates array<struct<s:bigint,e:bigint,i:bigint,k:int,p:array<string>>>"
 
 
@@ -78,34 +87,88 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return out
 
 
+def _core(text: str, s: int, e: int) -> tuple[int, int]:
+    """The span without the marks around it, but with a bracket whose other half is inside."""
+    word = text[s:e]
+    core = word.strip(_EDGE)
+    a = s + len(word) - len(word.lstrip(_EDGE)) if core else s
+    b = a + len(core)
+    for opening, closing in ("()", "[]"):
+        if (more := core.count(closing) - core.count(opening)) > 0 and a > s and text[a - 1] == opening:
+            a -= 1
+        elif more < 0 and b < e and text[b] == closing:
+            b += 1
+    return a, b
+
+
+def _runs(text: str, tokens: list[tuple[int, int]], groups: dict[int, int]) -> Iterator[tuple[int, int]]:
+    """From each group of digits (its token: how many) as far as more follow on its line, up to MOST_DIGITS."""
+    for first, digits in groups.items():
+        last = first
+        while text[tokens[last][1] - 1] not in ",;:!?.\"'|":
+            follower = last + 1
+            if follower not in groups and follower < len(tokens) and _JOINT.fullmatch(text, *tokens[follower]):
+                follower += 1
+            digits += groups.get(follower, MOST_DIGITS)
+            if digits > MOST_DIGITS or follower not in groups or text[tokens[last][1] : tokens[follower][0]].splitlines()[1:]:
+                break
+            last = follower
+        if last > first:
+            yield _core(text, tokens[first][0], tokens[last][1])
+
+
+def _spelt(text: str, tokens: list[tuple[int, int]], starts: list[int]) -> Iterator[tuple[int, int]]:
+    """Addresses like `jane (at) mail.example` or `jane at mail dot example`."""
+    for m in _AT.finditer(text):
+        first, last = bisect_right(starts, m.start()) - 1, bisect_right(starts, m.end() - 1) - 1
+        first -= tokens[first][0] == m.start()
+        last += not re.search(r"\w", text[m.end() : tokens[last][1]])
+        if first < 0 or last >= len(tokens):
+            continue
+        while last + 2 < len(tokens) and _DOT.fullmatch(text, *tokens[last + 1]):
+            last += 2
+        yield _core(text, tokens[first][0], tokens[last][1])
+
+
 def candidates(text: str | None, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Identifiers with their contexts: every base span, and other tokens with an @ or four digits."""
-    if not text or not (base or _DIGIT.search(text)):
+    """Identifiers with their contexts: every base span, and what else is identifier-like and overlaps none.
+
+    Of those with the same start, the longest alone has the context of the words before.
+    """
+    if not text or not (base or "@" in text or _DIGIT.search(text) or _AT.search(text)):
         return []
-    found = [(s, e, k) for k, s, e in base]
     taken = sorted((s, e) for _, s, e in base)
     tokens = [m.span() for m in _TOKEN.finditer(text)]
-    nxt = 0
-    for s, e in tokens:
+    starts = [s for s, _ in tokens]
+    others, groups, nxt = set(), {}, 0
+    for k, (s, e) in enumerate(tokens):
         while nxt < len(taken) and taken[nxt][1] <= s:
             nxt += 1
         word = text[s:e]
-        if not _DIGIT.search(word) and "@" not in word or nxt < len(taken) and taken[nxt][0] < e:
+        digits = len(_DIGIT.findall(word))
+        if not digits and "@" not in word or nxt < len(taken) and taken[nxt][0] < e:
             continue
-        core = word.strip("\"'()[]{}<>.,;:!?*#$%&|")
-        if core and ("@" in core or sum(c.isdigit() for c in core) >= 4):
-            at = s + word.index(core)
-            found.append((at, at + len(core), -1))
-    if not found:
-        return []
-    starts, out = [s for s, _ in tokens], []
+        others.add(_core(text, s, e))
+        if digits and _GROUP.fullmatch(word):
+            groups[k] = digits
+    others.update(_runs(text, tokens, groups))
+    ends = list(accumulate((e for _, e in taken), max))
+    for s, e in _spelt(text, tokens, starts):
+        before = bisect_left(taken, (e,))
+        if not before or ends[before - 1] <= s:
+            others.add((s, e))
+    longest = dict(sorted(others))
+    found = [(s, e, k) for k, s, e in base] + [(s, e, -1) for s, e in sorted(others) if s < e]
+    out = []
     norm = lambda i: re.sub(r"[0-9]+", "0", text[slice(*tokens[i])].lower()) if 0 <= i < len(tokens) else "^"
     for s, e, k in found:
         at = bisect_right(starts, s) - 1
         after = bisect_right(starts, e - 1)
         lead = text[tokens[at][0] : s].lower()
         one, two = norm(at - 1), norm(at - 2)
-        patterns = [f"{norm(at - 3)} {two} {one} {lead}_", f"{two} {one} {lead}_ {norm(after)}"]
+        patterns = [f"{two} {one} {lead}_ {norm(after)}"]
+        if k >= 0 or longest[s] == e:
+            patterns.append(f"{norm(at - 3)} {two} {one} {lead}_")
         out.append({"s": s, "e": e, "i": xxhash.xxh3_64_intdigest(text[s:e]) >> 1, "k": k, "p": patterns})
     return out
 

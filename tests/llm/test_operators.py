@@ -184,6 +184,20 @@ def test_contexts_find_unseen_identifiers(make):
     assert got[101].spans == [] and len(got[0].spans) == len(got[0].base) == 1
 
 
+def test_contexts_find_identifiers_of_several_tokens(make):
+    forms = {100: "(555) 010-2000", 101: "555 010 2000", 102: "555 - 0102", 103: "5-01"}
+    rows = [(k, f"{w} please call me at +1 (555) 555-{1000 + k} today", "en", "s") for k, w in enumerate(texts(4, 40, size=(3, 9)))]
+    rows += [(50 + k, f"{w} or write to jane{k}@mail.example soon", "en", "s") for k, w in enumerate(texts(5, 40, size=(3, 9)))]
+    rows += [(k, f"hello please call me at {x} today", "en", "s") for k, x in forms.items()]
+    spelt = {110: "jane (at) mail.example", 111: "jane at mail dot example", 112: "jane@localhost"}
+    rows += [(k, f"now or write to {x} soon", "en", "s") for k, x in spelt.items()]
+    got = {r.doc_id: [(x.k, x.s, x.e) for x in r.spans] for r in pii.find_personal_data(make(rows)).collect()}
+    assert {k: got[k] for k in forms} == {k: [(3, 24, 24 + len(x))] for k, x in forms.items()}
+    assert {k: got[k] for k in spelt} == {k: [(0, 16, 16 + len(x))] for k, x in spelt.items()}
+    for unit in ("1 ", "(1) ", "a at b.c ", "a at b dot ", "1 - "):
+        pii.candidates(unit * 20_000, [])
+
+
 def test_masking_of_hard_rows(hard, empty):
     rows = pii.mask(hard).collect()
     assert ids(rows) == HARD_IDS and rows[0].asDict().keys() == hard.first().asDict().keys()

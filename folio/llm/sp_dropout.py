@@ -2,17 +2,22 @@
 
 The model file's pieces and scores are read through the sentencepiece library; segmentation is this module's own. A
 text is cut into units (a run of spaces and the letters or other characters behind it): it is checked that no piece of
-the model reaches over such a border, so each unit is segmented alone. A unit's agenda holds candidate merges by score, then place; a candidate taken from it
-is skipped if the keyed hash of (seed, variant, unit, place, end) falls below the dropout. The variant cycles with
-the unit's place in its document, so a word is cut in several ways over a corpus, and each rerun cuts it the same way.
+the model reaches over such a border, so each unit is segmented alone. A unit's agenda holds candidate merges by score,
+then place; each candidate taken from it is skipped with the dropout's probability. Which ones are, counted in the order
+taken, is drawn for each occurrence: gaps between skips come from the keyed hash of (seed, row, the unit's ordinal),
+where a row is its id, its text and its number among equal rows. So every occurrence is cut on its own, and each rerun
+cuts it the same way. A cache holds segmentations by unit and skips, never by unit alone.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
 from array import array
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,12 +31,12 @@ from folio.llm.common import given_id, held_id, read_table
 
 BLANK = "▁"
 DROPOUT = 0.1
-VARIANTS = 2
 SEED = 31
 MOST_UNITS = 400_000
 LONG_UNIT = 64
-#: a candidate's hash is the upper half of its unit's keyed digest times an odd number made of its place
-M64 = 2**64 - 1
+M64, M32 = 2**64 - 1, 2**32 - 1
+#: odd constants of the SplitMix64 generator
+_STEP, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 #: up to here the agenda is a plain list
 SHORT_UNIT = 32
 #: whole words; `fine_units` cuts further
@@ -44,6 +49,18 @@ def fine_units(pieces: list[str]) -> re.Pattern:
     return re.compile(rf"{BLANK}*[^\W\d_{other}]+|{BLANK}*(?:[\d_{other}]|[^\w{BLANK}])+|{BLANK}+")
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """SplitMix64's output function."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(_MIX1)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(_MIX2)
+    return x ^ x >> np.uint64(31)
+
+
+def bits(marks: bytes) -> int:
+    """Bit k is set if marks[k] is a one."""
+    return int.from_bytes(np.packbits(np.frombuffer(marks, np.uint8) == 49, bitorder="little").tobytes(), "little")
+
+
 class Model:
     """Pieces, merges and a bounded cache of segmented units."""
 
@@ -64,44 +81,52 @@ class Model:
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(pieces) if sp.is_byte(i)}
         back = {i: b for b, i in self.bytes.items()}
         self.data = [bytes([back[i]]) if i in back else p.replace(BLANK, " ").encode() if normal[i] else b"" for i, p in enumerate(pieces)]
-        self.below, self.seed = int(dropout * 2**32), seed
-        self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS if self.below else 1)]
-
-    def segment(self, unit: str, variant: int) -> bytes:
-        """Ids (little-endian, 32 bits) of one unit; without dropout, what the library's encoder gives."""
-        parts = self._short(unit, variant) if len(unit) <= SHORT_UNIT else self._long(unit, variant)
+        self.dropout, self.seed = dropout, seed
+        # a gap of g candidates before the next skip has the probability (1 - dropout)**g * dropout
+        most = int(-23 / np.log1p(-dropout)) + 1 if 0 < dropout < 1 else 0
+        self.gaps = np.array([round((1 - (1 - dropout) ** g) * 2**32) for g in range(1, most + 1)], np.uint64)
+        self.gap_list = self.gaps.tolist()
+        #: by unit: (candidates taken, ids) without a skip; by (unit, skips): the same with these
+        self.known: dict[str, tuple[int, bytes]] = {}
+        self.cut: dict[tuple, tuple[int, bytes]] = {}
+
+    def segment(self, unit: str, skips: int = 0) -> tuple[int, bytes]:
+        """Candidates taken, and ids (little-endian, 32 bits) of one unit; without skips, what the library's encoder gives.
+
+        Bit k of skips is set if the k-th candidate taken is skipped.
+        """
+        taken, parts = self._short(unit, skips) if len(unit) <= SHORT_UNIT else self._long(unit, skips)
         ids, out = self.ids, []
         for piece in parts:
             if (i := ids.get(piece)) is not None:
                 out.append(i)
             else:
                 out += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
-        return array("i", out).tobytes()
+        return taken, array("i", out).tobytes()
 
-    def _key(self, unit: str, variant: int) -> int:
-        return xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass"), self.seed + variant) if self.below else 0
-
-    def _short(self, unit: str, variant: int) -> list[str]:
+    def _short(self, unit: str, skips: int = 0) -> tuple[int, list[str]]:
         """The agenda as a list beside the symbols: its least rank, leftmost first, is the next candidate."""
-        rank, below, key = self.rank.get, self.below, self._key(unit, variant)
-        parts, starts, none = list(unit), list(range(len(unit) + 1)), 1e18
+        rank, none, taken = self.rank.get, 1e18, 0
+        parts = list(unit)
         agenda = [rank(a + b, none) for a, b in zip(unit, unit[1:])]
         while agenda and (least := min(agenda)) < none:
             k = agenda.index(least)
-            if below and (key * (starts[k] << 33 | starts[k + 2] << 1 | 1) & M64) >> 32 < below:
+            taken += 1
+            if skips >> taken - 1 & 1:
                 agenda[k] = none
                 continue
             parts[k] += parts.pop(k + 1)
-            del starts[k + 1], agenda[k]
+            del agenda[k]
             if k:
                 agenda[k - 1] = rank(parts[k - 1] + parts[k], none)
             if k < len(agenda):
                 agenda[k] = rank(parts[k] + parts[k + 1], none)
-        return parts
+        return taken, parts
 
-    def _long(self, unit: str, variant: int) -> list[str]:
+    def _long(self, unit: str, skips: int = 0) -> tuple[int, list[str]]:
         """The same with a heap, for units of any length."""
-        rank, n, push, pop = self.rank, len(unit), heapq.heappush, heapq.heappop
+        rank, n, push, pop, taken = self.rank, len(unit), heapq.heappush, heapq.heappop, 0
+        skipped = bin(skips)[:1:-1]
         end = list(range(1, n + 1))  # of the symbol that starts here; 0 once it is part of an earlier one
         before = list(range(-1, n))
         agenda = []
@@ -109,12 +134,12 @@ class Model:
             if (r := rank.get(unit[left : left + 2])) is not None:
                 agenda.append((r, left, left + 1, left + 2))
         heapq.heapify(agenda)
-        key = self._key(unit, variant)
         while agenda:
             _, left, right, stop = pop(agenda)
             if end[left] != right or end[right] != stop:
                 continue
-            if self.below and (key * (left << 33 | stop << 1 | 1) & M64) >> 32 < self.below:
+            taken += 1
+            if skipped[taken - 1 : taken] == "1":
                 continue
             end[left], end[right], before[stop] = stop, 0, left
             if left and (r := rank.get(unit[before[left] : stop])) is not None:
@@ -125,29 +150,67 @@ class Model:
         while at < n:
             out.append(unit[at : end[at]])
             at = end[at]
-        return out
+        return taken, out
 
-    def _new(self, unit: str, variant: int) -> bytes:
-        known, out = self.known[variant], self.segment(unit, variant)
+    def _kept(self, cache: dict, key: str | tuple, unit: str, skips: int) -> tuple[int, bytes]:
+        out = self.segment(unit, skips)
         if len(unit) <= LONG_UNIT:
-            if len(known) >= MOST_UNITS:
-                known.clear()
-            known[unit] = out
+            if len(cache) >= MOST_UNITS:
+                cache.clear()
+            cache[key] = out
         return out
 
-    def encode(self, text: str | None) -> np.ndarray:
+    def _skipping(self, unit: str, first: int, second: int, key: int) -> bytes:
+        """Ids of a unit of which at least one candidate is skipped; key is its occurrence's."""
+        cut, skips, following = self.cut, 1 << first, second
+        if len(unit) > LONG_UNIT:  # all skips at once; an agenda is less than three times as long as its unit
+            marks, k = bytearray(b"0" * 3 * len(unit)), 0
+            marks[first] = 49
+            while following < len(marks):
+                marks[following] = 49
+                following += 1 + self._gap(key, k)
+                k += 1
+            return self.segment(unit, bits(marks))[1]
+        k = 0
+        while True:
+            taken, ids = cut.get((unit, skips)) or self._kept(cut, (unit, skips), unit, skips)
+            if following >= taken:
+                return ids
+            skips |= 1 << following
+            following += 1 + self._gap(key, k)
+            k += 1
+
+    def _gap(self, key: int, k: int) -> int:
+        """The k-th gap behind the second skip of the occurrence that has this key."""
+        return bisect_right(self.gap_list, xxhash.xxh3_64_intdigest(key.to_bytes(8, "little"), k) >> 32)
+
+    def encode(self, text: str | None, doc_id: int = 0, text_key: int = 0, copy: int = 0) -> np.ndarray:
         """Ids of the whole text. A blank mark that stands in the text itself becomes bytes, so decoding is lossless."""
         if not text:
             return np.empty(0, np.int32)
         parts = [(BLANK if k == 0 else "") + p.replace(" ", BLANK) for k, p in enumerate(text.split(BLANK))]
         mark = array("i", [self.bytes[b] for b in BLANK.encode()]).tobytes()
-        return np.frombuffer(mark.join(map(self._run, parts)), np.int32)
-
-    def _run(self, marked: str) -> bytes:
-        units, n = self.units.findall(marked), len(self.known)
-        out = [b""] * len(units)
-        for v, known in enumerate(self.known):
-            out[v::n] = [known.get(u) or self._new(u, v) for u in units[v::n]]
+        key = xxhash.xxh3_64_intdigest(struct.pack("<qqq", doc_id, text_key, copy), self.seed)
+        out, ordinal = [], 0
+        for part in parts:
+            units = self.units.findall(part)
+            out.append(self._run(units, key, ordinal))
+            ordinal += len(units)
+        return np.frombuffer(mark.join(out), np.int32)
+
+    def _run(self, units: list[str], key: int, ordinal: int) -> bytes:
+        known, kept = self.known, self._kept
+        get = known.get
+        if not self.dropout:
+            return b"".join([(get(u) or kept(known, u, u, 0))[1] for u in units])
+        keys = mixed(np.arange(ordinal + 1, ordinal + 1 + len(units), dtype=np.uint64) * np.uint64(_STEP) + np.uint64(key))
+        first = np.searchsorted(self.gaps, keys >> np.uint64(32), "right")
+        second = first + 1 + np.searchsorted(self.gaps, keys & np.uint64(M32), "right")
+        out = []
+        add, skipping = out.append, self._skipping
+        for u, a, b, key in zip(units, first.tolist(), second.tolist(), keys.tolist(), strict=True):
+            taken, ids = get(u) or kept(known, u, u, 0)
+            add(ids if a >= taken else skipping(u, a, b, key))
         return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -163,18 +226,23 @@ def model(path: str, dropout: float = DROPOUT, seed: int = SEED) -> Model:
 def encode_pieces(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>): each whole text's piece ids. Null and empty texts have none.
 
-    Repeated rows give repeated, equal rows; a null id stays null. An empty table gives no rows. Other columns are
-    ignored.
+    Repeated rows give repeated rows, each cut on its own: equal ones meet in one task, which numbers them. A null id
+    stays null. An empty table gives no rows. Other columns are ignored.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = model(path, dropout, seed)
+        bpe, copies = model(path, dropout, seed), Counter()
         for pdf in batches:
             for a in range(0, len(pdf), 512):
-                rows = pdf.iloc[a : a + 512]
-                yield pd.DataFrame({"doc_id": rows["doc_id"], "ids": [bpe.encode(t) for t in rows["text"]]})
-
-    rows = docs.select(held_id(id_col), F.col(text_col).alias("text"))
+                rows, ids = pdf.iloc[a : a + 512], []
+                for row in zip(rows["text"], rows["doc_id"].tolist(), rows["text_key"].tolist(), strict=True):
+                    ids.append(bpe.encode(*row, copies[row[1:]]))
+                    copies[row[1:]] += 1
+                yield pd.DataFrame({"doc_id": rows["doc_id"], "ids": ids})
+
+    rows = docs.select(held_id(id_col), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    if dropout:
+        rows = rows.repartition("doc_id", "text_key")
     return rows.mapInPandas(run, "doc_id long, ids array<int>").withColumn("doc_id", given_id())
 
 

@@ -234,6 +234,57 @@ def test_dropout_varies_and_decodes(pieces):
     assert all(model._short(u, 1) == model._long(u, 1) for u in units)
 
 
+def skipped_plainly(model, unit, draws):
+    """Merge-dropout by definition: the best candidate not skipped yet, until none is left."""
+    parts, out = list(unit), set()
+    while True:
+        ranked = [(model.rank[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in model.rank]
+        ends = np.cumsum([0, *map(len, parts)]).tolist()
+        left = [(r, k) for r, k in ranked if (ends[k], ends[k + 1], ends[k + 2]) not in out]
+        if not left:
+            return parts
+        k = min(left)[1]
+        if next(draws):
+            out.add((ends[k], ends[k + 1], ends[k + 2]))
+        else:
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+
+def by_word(model, ids):
+    """The ids of each word, which begins with a blank."""
+    out = []
+    for i in ids.tolist():
+        if model.data[i].startswith(b" "):
+            out.append([])
+        out[-1].append(i)
+    return [np.array(x, "<i4").tobytes() for x in out]
+
+
+def test_any_skips_are_merge_dropout(pieces):
+    rng, model = random.Random(3), sp_dropout.Model(pieces, 0.3)
+    for u in [u for t in [*texts(8, 20), "international representation " * 3] for u in model.units.findall("▁" + t.replace(" ", "▁"))]:
+        skips = sum(1 << k for k in range(100) if rng.random() < 0.3)
+        want = skipped_plainly(model, u, (skips >> k & 1 for k in range(10**6)))
+        assert model._short(u, skips)[1] == model._long(u, skips)[1] == want
+
+
+def test_dropout_is_drawn_per_occurrence(make, pieces):
+    word, n = "representation", 3000
+    model = sp_dropout.Model(pieces)
+    text = " ".join([word] * n)
+    (unit,) = set(model.units.findall(sp_dropout.BLANK + word))
+    whole, rng = model._short(unit)[1], random.Random(4)
+    same = sum(skipped_plainly(model, unit, iter(lambda: rng.random() < 0.1, None)) == whole for _ in range(n))
+    seen = Counter(by_word(model, model.encode(text, 1)))
+    assert len(seen) > 10
+    assert abs(seen[model.segment(unit)[1]] - same) < 5 * (n / 2) ** 0.5
+    rows = [(1, text, "en", "s"), (1, text, "en", "s"), (2, text, "en", "s"), (None, text, "en", "s"), (None, text, "en", "s")]
+    first, again = (sorted(tuple(r.ids) for r in sp_dropout.encode_pieces(make(rows).repartition(k), pieces).collect()) for k in (1, 4))
+    assert first == again and len(set(first)) == 5
+    assert sp_dropout.bits(b"0100000000001") == 1 << 1 | 1 << 12
+    assert len(set(model.encode("z" * 100_000, k).tobytes() for k in range(3))) == 3
+
+
 def test_pieces_of_hard_rows(hard, empty, pieces):
     rows = sp_dropout.decode_pieces(sp_dropout.encode_pieces(hard, pieces), pieces).collect()
     assert ids(rows) == HARD_IDS

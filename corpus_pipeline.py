@@ -6,7 +6,9 @@ of documents. Between stages, rows are written as Parquet in the shared folder a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.common import fresh, materialize, read_table
@@ -17,22 +19,40 @@ from folio.llm.quality import adaptive_quality
 from folio.llm.sp_dropout import default_model, encode_pieces
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose id (null or not) a kept row has."""
-    own = fresh(docs, "_kept")
-    ids = kept.where("kept").select(F.col("doc_id").alias(own))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids[own]), "left_semi")
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or their group's adaptive thresholds reject go.
 
+    A verdict goes with id, language, source and text (by a 64-bit hash), so rows without an id or with the same one get
+    their own.
+    """
+    row, own = fresh(docs, "_row"), fresh(docs, "_kept")
+    key = F.struct("doc_id", "lang", "source", F.xxhash64("text").alias("text"))
+    keyed = docs.withColumn(row, key)
+    kept = adaptive_quality(keyed, row).where("kept").select(F.col("doc_id").alias(own))
+    same = [F.col(f"{row}.{c}").eqNullSafe(F.col(f"{own}.{c}")) for c in ("doc_id", "lang", "source", "text")]
+    return keyed.join(kept, reduce(Column.__and__, same), "left_semi").drop(row)
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or their group's adaptive thresholds reject go."""
-    return _only(docs, adaptive_quality(docs))
+
+def _nodes(docs: DataFrame, node: str) -> DataFrame:
+    """docs with a number for each pair of id and text: the id itself, where no other text has it.
+
+    Of several texts with one id, one keeps it; the others and those without an id get numbers from 2**62 up, made of a
+    hash of 62 bits.
+    """
+    key, own, least, most = (fresh(docs, c) for c in ("_text_key", "_own", "_least", "_most"))
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    texts = keyed.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(own)).agg(F.min(key).alias(least), F.max(key).alias(most))
+    joined = keyed.join(texts.where(F.col(least) < F.col(most)).drop(most), F.col("doc_id") == F.col(own), "left")
+    other = F.lit(2**62) + F.shiftrightunsigned(F.xxhash64("doc_id", key), 2)
+    return joined.withColumn(node, F.when(F.col("doc_id").isNull() | (F.col(key) > F.col(least)), other).otherwise(F.col("doc_id"))).drop(key, own, least)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays; of rows with the same id, one. Rows without an id stay."""
-    kept = _only(docs, near_duplicates(docs))
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    """One document of each group of near-duplicates stays; of rows with the same id (or none) and text, one."""
+    node, own = fresh(docs, "_node"), fresh(docs, "_kept")
+    rows = _nodes(docs, node)
+    kept = near_duplicates(rows, id_col=node).where("kept").select(F.col("doc_id").alias(own))
+    return rows.join(kept, F.col(node) == F.col(own), "left_semi").dropDuplicates([node]).drop(node)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

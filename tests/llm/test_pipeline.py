@@ -11,7 +11,7 @@ import pytest
 import corpus_pipeline
 from folio.llm import near_dedup, quality
 from folio.llm.registry import ORACLE, QUERIES
-from tests.llm.test_operators import components
+from tests.llm.test_operators import components, texts
 from tests.test_queries import rows
 
 DATA = "/root/testdata/sf0.001"
@@ -71,3 +71,17 @@ def test_pipeline_of_hard_rows(spark, hard, empty):
             assert out.columns == docs.columns
             docs = out
         assert corpus_pipeline.STAGES[-1][1](spark, docs, "").columns == ["doc_id", "ids"]
+
+
+def test_rows_without_an_id_of_their_own_get_their_own_verdict(spark, make):
+    many = texts(12, 8, size=(60, 60))
+    stutter = "again " * 60
+    rows = [(None, many[0], "en", "s"), (None, stutter, "en", "s"), (None, many[1], "en", "s"), (None, many[1] + " end", "en", "s")]
+    rows += [(1, many[2], "en", "s"), (1, stutter, "en", "s"), (2, many[3], "en", "s"), (2, many[4], "en", "s"), (2, many[4], "en", "s")]
+    rows += [(3, many[4] + " end", "en", "s"), (4, many[5], "en", "s"), (5, many[5], "en", "s")]
+    good = corpus_pipeline.quality(spark, make(rows), "")
+    left = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    assert left(good) == sorted(((i, t) for i, t, _, _ in rows if t != stutter), key=repr)
+    unique = left(corpus_pipeline.near_dedup(spark, good, ""))
+    assert (None, many[0]) in unique and (1, many[2]) in unique and (2, many[3]) in unique and (4, many[5]) in unique
+    assert len({t.removesuffix(" end") for _, t in unique}) == len(unique) == 6

@@ -1,9 +1,11 @@
 """Adaptive context-mixing range coder for token ids, many blocks in lockstep.
 
-Blocks are independent: each starts from an empty model. The next id is predicted by order 2 (the id that last
-followed the two before), order 1 (that last followed the one before) and order 0 (adaptive frequencies of the id's
-high byte, the low byte at even odds). How far each is trusted is mixed by adaptive counts for each pair of the two
-candidates' confidence states. All blocks of a call advance by one id per step, as numpy vectors over the blocks.
+Blocks are independent: each starts from an empty model. The next id is predicted by order 2 and order 1 (the id that
+followed most of late in the context, with a count) and by order 0 (frequencies of whole ids). How far each order is
+trusted is mixed by adaptive counts for each pair of the two candidates' counts. An id that is neither candidate is
+coded by order 0, whose table is dealt anew from the block's counts as it grows; one that the table doesn't hold yet
+by an escape and a fixed prior that falls with the id, since tokenizers number pieces by merge rank. All blocks of a
+call advance by one id per step, as numpy vectors over the blocks.
 
 The range coder keeps 48 bits; it puts out 16 bits at a time, at most once per coded symbol. A put-out digit may hold
 a carry (17 bits), which is passed on at the end.
@@ -14,126 +16,174 @@ from __future__ import annotations
 import numpy as np
 
 MOST_IDS = 1 << 16
-TABLE = 1 << 11
+TABLE1, TABLE2 = 1 << 12, 1 << 13
+#: a candidate's count is at most STATES - 1; 0 is no candidate
 STATES = 8
 #: counts of a mixing context are halved above this; with a step of MIX_STEP
 MIX_LIMIT, MIX_STEP = 1 << 12, 24
-#: slots of the order-0 table and the ids after which it is dealt anew
-SLOTS, REFRESH = 1 << 11, 128
+#: slots of the order-0 table, which is dealt anew after FIRST ids, then twice as many, in the end every REFRESH ids
+SLOTS, FIRST, REFRESH = 1 << 14, 32, 1024
 _TOP = np.int64(1 << 32)
 _FIRST = np.int64(1 << 48)
+#: the prior of ids that a block hasn't seen, out of _PRIOR_SUM: falling as 1 / (id + 16)
+_PRIOR_SUM = 1 << 20
+_prior = 1 + ((_PRIOR_SUM - MOST_IDS) * (1 / (np.arange(MOST_IDS) + 16)) / (1 / (np.arange(MOST_IDS) + 16)).sum()).astype(np.int64)
+_prior[0] += _PRIOR_SUM - _prior.sum()
+_PRIOR_START = np.cumsum(_prior) - _prior
+
+
+def _dealt(step: int) -> bool:
+    """Whether the order-0 table is dealt anew before this step."""
+    return step >= FIRST and (step % REFRESH == 0 or step < REFRESH and step & (step - 1) == 0)
 
 
 class _Model:
-    """The state of n blocks; rows are blocks."""
+    """The state of n blocks; rows are blocks. Only the first `live` of them go on."""
 
     def __init__(self, n: int) -> None:
         self.rows = np.arange(n)
-        # entries: id << 3 | confidence; confidence 0 is no candidate
-        self.order1 = np.zeros(n * TABLE, np.int32)
-        self.order2 = np.zeros(n * TABLE, np.int32)
-        self.base = self.rows * TABLE
-        start = np.array([1, 1, 62], np.int64)
-        self.mix = np.tile(start, (n * STATES * STATES, 1))
-        self.high = np.ones((n, 256), np.int32)
+        # entries: id << 3 | count; -8 is empty
+        self.order1 = np.full(n * TABLE1, -8, np.int32)
+        self.order2 = np.full(n * TABLE2, -8, np.int32)
+        self.mix = np.tile(np.array([1, 1, 62], np.int64), n * STATES * STATES)
+        # order 0: a block's ids are numbered from 1 as the table is dealt; 0 is the escape
+        self.number = np.zeros(n * MOST_IDS, np.uint16)
+        self.known = np.zeros(n, np.int64)
+        self.name = np.zeros((n, 1), np.int32)
+        self.count = np.zeros((n, 1), np.int64)
         self.last = np.zeros(n, np.int64)
-        self.before = np.zeros(n, np.int64)
-        self.refresh()
-
-    def refresh(self) -> None:
-        """Deal SLOTS among the high bytes by their counts, one at least to each."""
-        total = self.high.sum(1, keepdims=True)
-        share = 1 + self.high * (SLOTS - 256) // total
-        share[self.rows, self.high.argmax(1)] += SLOTS - share.sum(1)
-        self.share = share
-        self.start = np.cumsum(share, 1) - share
-        self.symbol = np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(share)), share.ravel()).reshape(len(share), SLOTS)
+        self.mark = np.zeros(n, np.int64)
+        self.shrink(n)
+        self.refresh(np.empty((0, n), np.uint16))
+
+    def shrink(self, live: int) -> None:
+        self.live = live
+        rows = self.rows[:live]
+        self.base1, self.base2, self.base_mix = rows * TABLE1, rows * TABLE2, rows * (STATES * STATES)
+        self.last, self.mark = self.last[:live], self.mark[:live]
+
+    def refresh(self, ids: np.ndarray) -> None:
+        """Count the ids (steps x live blocks) that came since, and deal SLOTS among the known ids by their counts: one
+        at least to each, and to the escape what those seen once would get."""
+        live = self.live
+        place = (self.rows[:live] * MOST_IDS + ids).ravel()
+        new = np.unique(place[self.number[place] == 0])
+        owner, id_ = new // MOST_IDS, new % MOST_IDS
+        many = np.bincount(owner, minlength=live)
+        self.number[new] = self.known[owner] + 1 + np.arange(len(new)) - np.repeat(np.cumsum(many) - many, many)
+        known = self.known[:live] = self.known[:live] + many
+        used = int(known.max(initial=0)) + 1
+        grown = max(0, used - self.name.shape[1])
+        self.name, self.count = np.pad(self.name, ((0, 0), (0, grown))), np.pad(self.count, ((0, 0), (0, grown)))
+        self.name[owner, self.number[new]] = id_
+        room = self.name.shape[1]
+        at = place // MOST_IDS * room + self.number[place]
+        self.count[:live] += np.bincount(at, minlength=live * room).reshape(live, room)
+        count = self.count[:live, :used]
+        total, once = count.sum(1), np.maximum((count == 1).sum(1), 1)
+        escape = np.where(total > 0, np.maximum(SLOTS // 64, once * (SLOTS - known) // (total + once)), SLOTS)
+        rest = np.where(total > 0, SLOTS - escape - known, 0)
+        upto = np.cumsum(count, 1) * rest[:, None] // np.maximum(total, 1)[:, None] + np.minimum(np.arange(used), known[:, None])
+        self.end = upto + escape[:, None]
+        self.start = np.concatenate([np.zeros((live, 1), np.int64), self.end[:, :-1]], 1)
+
+    def symbols(self) -> None:
+        """By slot, the number of its id: what a decoder needs beside the table."""
+        sizes = (self.end - self.start).ravel()
+        self.symbol = np.repeat(np.tile(np.arange(self.end.shape[1], dtype=np.uint16), len(self.end)), sizes)
 
     def look(self) -> None:
         """The candidates of each block and the counts by which they are mixed."""
-        rows = self.rows[: len(self.last)]
-        self.at1 = self.base[: len(rows)] + ((self.last * 40503 >> 4) & (TABLE - 1))
-        self.at2 = self.base[: len(rows)] + (((self.last * 40503 + self.before * 30011) >> 3) & (TABLE - 1))
-        e1, e2 = self.order1[self.at1], self.order2[self.at2]
-        self.s1, self.s2 = e1 & 7, e2 & 7
-        self.c1, self.c2 = e1 >> 3, e2 >> 3
-        self.ctx = (rows * STATES + self.s2) * STATES + self.s1
-        counts = self.mix[self.ctx]
-        self.f2, self.f1 = counts[:, 0], counts[:, 1]
+        mark = self.last * 40503
+        self.at1 = (mark >> 4 & TABLE1 - 1) + self.base1
+        self.at2 = (mark + 5 * self.mark >> 3 & TABLE2 - 1) + self.base2
+        self.mark = mark
+        self.e1, self.e2 = self.order1[self.at1], self.order2[self.at2]
+        self.s1, self.s2 = self.e1 & 7, self.e2 & 7
+        self.c1, self.c2 = self.e1 >> 3, self.e2 >> 3
+        self.ctx = 3 * (self.base_mix + (self.s2 << 3 | self.s1))
+        self.f2, self.f1, rest = self.mix[self.ctx], self.mix[self.ctx + 1], self.mix[self.ctx + 2]
         self.f21 = self.f2 + self.f1
-        self.total = self.f21 + counts[:, 2]
-
-    def learn(self, ids: np.ndarray, slot: np.ndarray) -> None:
-        """slot: 0 the order-2 candidate, 1 the order-1 candidate, 2 neither."""
-        self.mix[self.ctx, slot] += MIX_STEP
-        if (full := np.flatnonzero(self.total > MIX_LIMIT)).size:
-            at = self.ctx[full]
-            self.mix[at] = (self.mix[at] + 1) >> 1
-        for order, at, c, s in ((self.order1, self.at1, self.c1, self.s1), (self.order2, self.at2, self.c2, self.s2)):
-            hit = (c == ids) & (s > 0)
-            order[at] = ids << 3 | np.where(hit, np.minimum(s + 1, STATES - 1), 1)
-        self.high[self.rows[: len(ids)], ids >> 8] += 16
-        self.before, self.last = self.last, ids
-
-    def shrink(self, n: int) -> None:
-        """Only the first n blocks go on."""
-        if n < len(self.last):
-            self.last, self.before = self.last[:n], self.before[:n]
+        self.rest, self.total = rest, self.f21 + rest
+
+    def learn(self, ids: np.ndarray, slot: np.ndarray, size: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """slot: 0 the order-2 candidate, 1 the order-1 candidate, 2 neither; size: its count."""
+        self.mix[self.ctx + slot] = size + MIX_STEP
+        if self.total.max() > MIX_LIMIT:
+            at = self.ctx[self.total > MIX_LIMIT]
+            for k in range(3):
+                self.mix[at + k] = (self.mix[at + k] + 1) >> 1
+        fresh = ids << 3 | 1
+        for order, at, e, s, hit in ((self.order1, self.at1, self.e1, self.s1, hit1), (self.order2, self.at2, self.e2, self.s2, hit2)):
+            # another id takes one from the candidate's count, and its place once that is used up
+            order[at] = np.where(hit, e + (s < STATES - 1), np.where(s > 1, e - 1, fresh))
+        self.last = ids
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """The coded bytes of each block of ids below 2^16; results in the blocks' order."""
+    """The coded bytes of each block of ids below MOST_IDS (a block has fewer than SLOTS // 2 of them); results in the blocks' order."""
     order = np.argsort([-len(b) for b in blocks], kind="stable")
     sizes = np.array([len(blocks[k]) for k in order])
-    if not len(blocks) or sizes[0] >= 1 << 31:
+    if not len(blocks):
         return []
+    if 2 * sizes[0] > SLOTS:
+        raise ValueError(f"a block of {sizes[0]} ids is too long")
     n, steps = len(blocks), int(sizes[0])
-    ids = np.zeros((steps, n), np.int64)
+    ids = np.zeros((steps, n), np.uint16)
     for k, o in enumerate(order):
         ids[: sizes[k], k] = blocks[o]
     model, low, width = _Model(n), np.zeros(n, np.int64), np.full(n, _FIRST)
-    digits, filled = np.zeros((n, 2 * steps + 8), np.int32), np.zeros(n, np.int64)
+    room = 2 * steps + 8
+    digits = np.zeros(n * room, np.int32)
+    cursor = np.arange(n) * room
 
     def put(at: np.ndarray | slice, start: np.ndarray, size: np.ndarray, total: np.ndarray | int) -> None:
         r = width[at] // total
         low[at] += r * start
-        width[at] = r * size
-        small = width[at] < _TOP
-        if small.any():
-            which = np.flatnonzero(small) if isinstance(at, slice) else at[small]
-            digits[which, filled[which]] = low[which] >> 32
-            filled[which] += 1
+        width[at] = r = r * size
+        if (which := np.flatnonzero(r < _TOP)).size:
+            which = which if isinstance(at, slice) else at[which]
+            digits[cursor[which]] = low[which] >> 32
+            cursor[which] += 1
             low[which] = (low[which] & (_TOP - 1)) << 16
             width[which] <<= 16
 
+    every, since = slice(0, n), 0
     for t in range(steps):
-        live = int(np.searchsorted(-sizes, -t, "left"))
-        model.shrink(live)
-        if t and t % REFRESH == 0:
-            model.refresh()
+        if sizes[every.stop - 1] <= t:
+            model.shrink(int(np.searchsorted(-sizes, -t, "left")))
+            every = slice(0, model.live)
+        if _dealt(t):
+            model.refresh(ids[since:t, every])
+            since = t
         model.look()
-        x = ids[t, :live]
-        hit2, hit1 = (model.c2 == x) & (model.s2 > 0), (model.c1 == x) & (model.s1 > 0)
+        x = ids[t, every].astype(np.int64)
+        hit2, hit1 = model.c2 == x, model.c1 == x
         slot = np.where(hit2, 0, np.where(hit1, 1, 2))
         start = np.where(hit2, 0, np.where(hit1, model.f2, model.f21))
-        size = np.where(hit2, model.f2, np.where(hit1, model.f1, model.total - model.f21))
-        put(slice(0, live), start, size, model.total)
+        size = np.where(hit2, model.f2, np.where(hit1, model.f1, model.rest))
+        put(every, start, size, model.total)
         if (out := np.flatnonzero(slot == 2)).size:
-            high, rest = x[out] >> 8, x[out] & 255
-            put(out, model.start[out, high], model.share[out, high], SLOTS)
-            put(out, rest, 1, 256)
-        model.learn(x, slot)
+            named = x[out]
+            number = model.number[out * MOST_IDS + named]
+            start = model.start[out, number]
+            put(out, start, model.end[out, number] - start, SLOTS)
+            if (escaped := np.flatnonzero(number == 0)).size:
+                named = named[escaped]
+                put(out[escaped], _PRIOR_START[named], _prior[named], _PRIOR_SUM)
+        model.learn(x, slot, size, hit2, hit1)
     for _ in range(3):
-        digits[np.arange(n), filled] = low >> 32
-        filled += 1
+        digits[cursor] = low >> 32
+        cursor += 1
         low = (low & (_TOP - 1)) << 16
-    for j in range(digits.shape[1] - 1, 0, -1):
+    filled, digits = cursor - np.arange(n) * room, digits.reshape(n, room)
+    for j in range(room - 1, 0, -1):
         digits[:, j - 1] += digits[:, j] >> 16
     words = (digits & 0xFFFF).astype("<u2")
-    out: list[bytes] = [b""] * n
+    out_bytes: list[bytes] = [b""] * n
     for k, o in enumerate(order):
-        out[o] = words[k, : filled[k]].tobytes()
-    return out
+        out_bytes[o] = words[k, : filled[k]].tobytes()
+    return out_bytes
 
 
 def decode(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
@@ -143,49 +193,58 @@ def decode(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     if not len(coded):
         return []
     n, steps = len(coded), int(many[0])
-    words = np.zeros((n, max(len(c) for c in coded) // 2 + 4), np.int64)
+    room = max(len(c) for c in coded) // 2 + 4
+    words = np.zeros((n, room), np.uint16)
     for k, o in enumerate(order):
         w = np.frombuffer(coded[o], "<u2")
         words[k, : len(w)] = w
-    code = words[:, 0] << 32 | words[:, 1] << 16 | words[:, 2]
-    model, width, at_word = _Model(n), np.full(n, _FIRST), np.full(n, 3)
+    first = words[:, :3].astype(np.int64)
+    code = first[:, 0] << 32 | first[:, 1] << 16 | first[:, 2]
+    words = words.ravel()
+    model, width, cursor = _Model(n), np.full(n, _FIRST), np.arange(n) * room + 3
+    model.symbols()
     ids = np.zeros((steps, n), np.uint16)
 
     def take(at: np.ndarray | slice, r: np.ndarray, start: np.ndarray, size: np.ndarray | int) -> None:
         code[at] -= r * start
-        width[at] = r * size
-        small = width[at] < _TOP
-        if small.any():
-            which = np.flatnonzero(small) if isinstance(at, slice) else at[small]
-            code[which] = code[which] << 16 | words[which, at_word[which]]
-            at_word[which] += 1
+        width[at] = r = r * size
+        if (which := np.flatnonzero(r < _TOP)).size:
+            which = which if isinstance(at, slice) else at[which]
+            code[which] = code[which] << 16 | words[cursor[which]]
+            cursor[which] += 1
             width[which] <<= 16
 
+    every, since = slice(0, n), 0
     for t in range(steps):
-        live = int(np.searchsorted(-many, -t, "left"))
-        model.shrink(live)
-        if t and t % REFRESH == 0:
-            model.refresh()
+        if many[every.stop - 1] <= t:
+            model.shrink(int(np.searchsorted(-many, -t, "left")))
+            every = slice(0, model.live)
+        if _dealt(t):
+            model.refresh(ids[since:t, every])
+            model.symbols()
+            since = t
         model.look()
-        every = slice(0, live)
         r = width[every] // model.total
         v = np.minimum(code[every] // r, model.total - 1)
-        slot = (v >= model.f2).astype(np.int64) + (v >= model.f21)
-        start = np.where(slot == 0, 0, np.where(slot == 1, model.f2, model.f21))
-        size = np.where(slot == 0, model.f2, np.where(slot == 1, model.f1, model.total - model.f21))
+        hit2, other = v < model.f2, v >= model.f21
+        slot = np.where(hit2, 0, np.where(other, 2, 1))
+        start = np.where(hit2, 0, np.where(other, model.f21, model.f2))
+        size = np.where(hit2, model.f2, np.where(other, model.rest, model.f1))
         take(every, r, start, size)
-        x = np.where(slot == 0, model.c2, model.c1).astype(np.int64)
-        if (out := np.flatnonzero(slot == 2)).size:
-            r = width[out] >> 11
-            v = np.minimum(code[out] // r, SLOTS - 1)
-            high = model.symbol[out, v].astype(np.int64)
-            take(out, r, model.start[out, high], model.share[out, high])
-            r = width[out] >> 8
-            rest = np.minimum(code[out] // r, 255)
-            take(out, r, rest, 1)
-            x[out] = high << 8 | rest
-        model.learn(x, slot)
-        ids[t, :live] = x
+        x = np.where(hit2, model.c2, model.c1).astype(np.int64)
+        if (out := np.flatnonzero(other)).size:
+            r = width[out] // SLOTS
+            number = model.symbol[out * SLOTS + np.minimum(code[out] // r, SLOTS - 1)]
+            start = model.start[out, number]
+            take(out, r, start, model.end[out, number] - start)
+            x[out] = model.name[out, number]
+            if (escaped := out[number == 0]).size:
+                r = width[escaped] // _PRIOR_SUM
+                named = np.searchsorted(_PRIOR_START, np.minimum(code[escaped] // r, _PRIOR_SUM - 1), "right") - 1
+                take(escaped, r, _PRIOR_START[named], _prior[named])
+                x[escaped] = named
+        model.learn(x, slot, size, hit2, model.c1 == x)
+        ids[t, every] = x
     out_ids: list[np.ndarray] = [np.empty(0, np.uint16)] * n
     for k, o in enumerate(order):
         out_ids[o] = ids[: many[k], k].copy()

@@ -18,15 +18,14 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.llm import range_coder
-from folio.llm.common import given_id, held_id, read_table, shared_path
+from folio.llm.common import given_id, held_id, read_table, running_totals, shared_path
 
 MAGIC, VERSION = b"FSEG", 1
-BLOCK_IDS = 2048
-SEGMENT_IDS = 1 << 22
+BLOCK_IDS = 8192
+SEGMENT_IDS = 1 << 23
 END_ID = 2
 MOST_WORDS = 400_000
 _HEAD, _BLOCK = struct.Struct("<4sIII"), struct.Struct("<IIII")
@@ -36,15 +35,17 @@ class Encoder:
     """A byte-level BPE tokenizer with a bounded cache of words.
 
     Byte-level BPE never joins across a single space between two other characters, so a text is cut there and each
-    distinct piece goes through the tokenizer once. A text with any other run of white space beside a space is
-    encoded whole.
+    distinct piece goes through the tokenizer once. A text with any other run of white space beside a space, or with
+    an added token's own spelling in it, is encoded whole. Ids have 16 bits in the files, so a tokenizer with more is refused.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        if (size := self.tokenizer.get_vocab_size()) > range_coder.MOST_IDS:
+            raise ValueError(f"a tokenizer of {size} ids; token files hold {range_coder.MOST_IDS}")
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     def _encode(self, pieces: list[str]) -> Iterator[bytes]:
@@ -57,7 +58,10 @@ class Encoder:
         cut, whole = [], []
         for k, text in enumerate(texts):
             parts = text.split(" ")
-            if len(parts) > 1 and all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
+            if any(x in text for x in self.added):
+                parts = []
+                whole.append(k)
+            elif len(parts) > 1 and all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
                 parts[1:] = [" " + p for p in parts[1:]]
             else:
                 parts = [text] if len(parts) == 1 else []
@@ -168,12 +172,15 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = E
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) decoded from the files; start counts the ids of all documents before."""
+    """(doc_id, start, n_tokens, ids_crc32) decoded from the files; start counts the ids of all documents before.
+
+    Ids that were null are null again, and first; an empty table of segments gives no rows. A block or its coded bytes
+    that fail their checksum raise ValueError.
+    """
     segments = spark.read.parquet(path)
-    before = W.orderBy("part", "place").rowsBetween(W.unboundedPreceding, -1)
-    offsets = segments.select("part", "place", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("_offset"))
+    offsets = running_totals(segments.select("part", "place", "n_ids"), [], "part", ["place"], F.col("n_ids"), "_before", "_all").select("part", "place", "_before")
     rows = segments.select("part", "place", "data").mapInPandas(_documents, "part int, place int, doc_id long, within long, n_tokens long, ids_crc32 long")
-    return rows.join(offsets, ["part", "place"]).select(given_id(), (F.col("_offset") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(offsets, ["part", "place"]).select(given_id(), (F.col("_before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

@@ -101,6 +101,28 @@ def test_coder_learns():
     assert len(range_coder.encode([block])[0]) < len(block) // 2
 
 
+def test_coder_beats_zlib_on_real_ids(tokenizer):
+    """Blocks that start empty, heads included, against one zlib stream over all the ids."""
+    from tokenizers import Tokenizer
+
+    table = pytest.importorskip("pyarrow.parquet").read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])
+    plain = Tokenizer.from_file(tokenizer)
+    docs = [np.append(np.array(x.ids, np.uint16), np.uint16(2)) for x in plain.encode_batch([t or "" for t in table["text"].to_pylist()[:400]], add_special_tokens=False)]
+    ids = np.concatenate(docs)
+    packed = token_files.pack_segment([0], [ids])
+    assert len(packed) < len(zlib.compress(ids.tobytes(), 9))
+    assert 8 * len(packed) / len(ids) < 9
+    assert (token_files.unpack_segment(packed)[1][0] == ids).all()
+
+
+def test_ids_wider_than_the_files_are_refused(tokenizer, monkeypatch):
+    monkeypatch.setattr(range_coder, "MOST_IDS", 1000)
+    with pytest.raises(ValueError, match="token files hold"):
+        token_files.Encoder(tokenizer)
+    with pytest.raises(ValueError, match="too long"):
+        range_coder.encode([np.zeros(range_coder.SLOTS, np.uint16)])
+
+
 def test_damaged_segments_are_refused():
     data = token_files.pack_segment([7], [np.arange(100, dtype=np.uint16)])
     assert token_files.unpack_segment(data)[0].tolist() == [7]
@@ -117,9 +139,11 @@ def tokenizer():
 
 
 def test_cached_pieces_encode_as_whole_texts(tokenizer):
-    encode = token_files.Encoder(tokenizer)
-    given = ["", "  x", "a  b", "a \n b", "a\n\n b\t c", "it's we'll  don't", "x \u0085y", "<|endoftext|> a", " a b ", "\x1c a", *texts(3, 20)]
-    assert [x.tolist() for x in encode(given)] == [x.ids for x in encode.tokenizer.encode_batch(given, add_special_tokens=False)]
+    from tokenizers import Tokenizer
+
+    encode, plain = token_files.Encoder(tokenizer), Tokenizer.from_file(tokenizer)
+    given = ["", "  x", "a  b", "a <|endoftext|> b", "a<|endoftext|>", "a <|endo ftext|> b", "a \n b", "a\n\n b\t c", "it's we'll  don't", "x \u0085y", "<|endoftext|> a", " a b ", "\x1c a", *texts(3, 20)]
+    assert [x.tolist() for x in encode(given)] == [x.ids for x in plain.encode_batch(given, add_special_tokens=False)]
 
 
 def test_token_files_of_hard_rows(spark, hard, empty, tokenizer):
@@ -128,10 +152,12 @@ def test_token_files_of_hard_rows(spark, hard, empty, tokenizer):
     rows = token_files.read_token_files(spark, out).collect()
     assert ids(rows) == HARD_IDS
     given = {r.doc_id: r.text for r in hard.collect() if r.doc_id is not None}
-    encode = token_files.Encoder(tokenizer)
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer)
     for r in rows:
         if r.doc_id is not None:
-            want = np.append(encode([given[r.doc_id] or ""])[0], 2).astype("<u4")
+            want = np.append(plain.encode(given[r.doc_id] or "", add_special_tokens=False).ids, 2).astype("<u4")
             assert (r.n_tokens, r.ids_crc32) == (len(want), zlib.crc32(want.tobytes()))
     inner = sorted((r.start, r.n_tokens, r.doc_id) for r in rows)
     assert all(a + n == b for (a, n, _), (b, _, _) in zip(inner, inner[1:], strict=False)) and inner[0][0] == 0

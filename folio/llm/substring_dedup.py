@@ -11,15 +11,21 @@
 4. Suffix sort. The segments that share a core are laid end to end, and their windows' suffixes are merge-sorted. Two
    suffixes are compared by their common extension, found by binary search over prefix polynomial hashes in
    logarithmic steps. Neighbours with an extension of WINDOW bytes are equal; that is verified byte by byte. Each
-   window but the first of its equals is a repeat.
+   window but the first of its equals is a repeat. A core with more than MOST_SEGMENTS kinds of segments isn't held by
+   one worker: its windows are dealt out by their own bytes, and of equal ones, again, only the first isn't a repeat.
 
 Whatever is hot is aggregated before it is dealt out; no step emits pairs.
+
+What is taken on trust: equal 128-bit hashes (xxh3, md5 for whole texts) of spans, segments, windows of large cores and
+whole texts stand for equal bytes, and an anchor is shared if two 64-bit hashes of the texts that hold it differ. Equality
+that the sort finds is confirmed byte by byte.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,6 +41,8 @@ GRAM = 24
 CLASS = 8
 CORE = WINDOW - CLASS + 1
 NO_DOC = 2**63 - 1
+#: kinds of segments of one core that a worker sorts
+MOST_SEGMENTS = 4096
 #: texts are scanned in blocks of so many windows; places within a block have 20 bits
 BLOCK = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
@@ -72,7 +80,10 @@ def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = [np.unique(anchors(_bytes(t))[3], return_counts=True) for t in pdf["text"]]
         sizes = [len(a) for a, _ in found]
         if sum(sizes):
-            yield pd.DataFrame({"a": np.concatenate([a for a, _ in found]), "th": np.repeat(pdf["th"].to_numpy(), sizes), "n": np.minimum(np.concatenate([n for _, n in found]), 2).astype(np.int32)})
+            a, n = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+            th = np.repeat(pdf["th"].to_numpy(), sizes)
+            # an anchor that stands twice in a text counts as another text's as well
+            yield pd.DataFrame({"a": np.concatenate([a, a[n > 1]]), "th": np.concatenate([th, ~th[n > 1]])})
 
 
 def _place_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,7 +92,7 @@ def _place_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sizes = [len(x[0]) for x in found]
         if sum(sizes):
             start, n, place, a = (np.concatenate([x[k] for x in found]) for k in range(4))
-            yield pd.DataFrame({"a": a, "d": np.repeat(pdf["d"].to_numpy(), sizes), "th": np.repeat(pdf["th"].to_numpy(), sizes), "at": start << 16 | n << 8 | (place - start)})
+            yield pd.DataFrame({"a": a, "d": np.repeat(pdf["d"].to_numpy(), sizes), "v": np.repeat(pdf["v"].to_numpy(), sizes), "at": start << 16 | n << 8 | (place - start)})
 
 
 def _digest(data: bytes) -> tuple[int, int]:
@@ -92,21 +103,21 @@ def _digest(data: bytes) -> tuple[int, int]:
 def _span_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for d, th, text, at in zip(pdf["d"], pdf["th"], pdf["text"], pdf["at"], strict=True):
+        for d, v, text, at in zip(pdf["d"], pdf["v"], pdf["text"], pdf["at"], strict=True):
             data = text.encode("utf-8", "surrogatepass")
             for x in np.unique(at):
                 start, n, off = int(x) >> 16, int(x) >> 8 & 255, int(x) & 255
                 content = data[start : start + n + WINDOW - 1]
                 a = data[start + off : start + off + GRAM]
                 # the offset tells apart windows whose anchors stand at other places
-                rows.append((*_digest(bytes([off, n]) + content), _digest(a)[0], d, th, start, n, off, content))
-        yield pd.DataFrame(rows, columns=["h", "g", "a", "d", "th", "s", "n", "off", "data"])
+                rows.append((*_digest(bytes([off, n]) + content), _digest(a)[0], d, v, start, n, off, content))
+        yield pd.DataFrame(rows, columns=["h", "g", "a", "d", "v", "s", "n", "off", "data"])
 
 
 def _segment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for d, th, s, n, off, data in zip(*(pdf[c] for c in ("d", "th", "s", "n", "off", "data")), strict=True):
+        for d, v, s, n, off, data in zip(*(pdf[c] for c in ("d", "v", "s", "n", "off", "data")), strict=True):
             for c in range((off - n + 1) // CLASS, off // CLASS + 1):
                 # windows at offsets c * CLASS .. c * CLASS + CLASS - 1, as far as the span has them
                 first, last = max(0, off - c * CLASS - CLASS + 1), min(n - 1, off - c * CLASS)
@@ -114,8 +125,8 @@ def _segment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 begin = off - c * CLASS  # where the last window of the class starts; all of the class reach CORE bytes on
                 core = data[begin : begin + CORE]
                 lead = begin - first
-                rows.append((*_digest(bytes([c]) + core), *_digest(bytes([lead, last - first + 1]) + seg), d, th, s + first, last - first + 1, lead, seg))
-        yield pd.DataFrame(rows, columns=["ch", "cg", "h", "g", "d", "th", "s", "n", "lead", "data"])
+                rows.append((*_digest(bytes([c]) + core), *_digest(bytes([lead, last - first + 1]) + seg), d, v, s + first, last - first + 1, lead, seg))
+        yield pd.DataFrame(rows, columns=["ch", "cg", "h", "g", "d", "v", "s", "n", "lead", "data"])
 
 
 class Suffixes:
@@ -224,12 +235,12 @@ def _sorted_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def done(pdf: pd.DataFrame) -> pd.DataFrame:
         group = pdf.groupby(["ch", "cg"], sort=False).ngroup().to_numpy(np.int64)
         order = np.empty(len(pdf), np.int64)
-        order[np.lexsort((pdf["s"], pdf["th"], pdf["d"]))] = np.arange(len(pdf))
+        order[np.lexsort((pdf["s"], pdf["v"], pdf["d"]))] = np.arange(len(pdf))
         count = pdf["n"].to_numpy(np.int64)
         mask = repeated_windows(list(pdf["data"]), group, pdf["lead"].to_numpy(np.int64), count, order)
         parts = np.split(mask, np.cumsum(count)[:-1])
-        rows = [(d, th, s + a, s + b + WINDOW) for d, th, s, m in zip(pdf["d"], pdf["th"], pdf["s"], parts, strict=True) for a, b in _runs(m)]
-        return pd.DataFrame(rows, columns=["d", "th", "b", "e"])
+        rows = [(d, v, s + a, s + b + WINDOW) for d, v, s, m in zip(pdf["d"], pdf["v"], pdf["s"], parts, strict=True) for a, b in _runs(m)]
+        return pd.DataFrame(rows, columns=["d", "v", "b", "e"])
 
     kept: list[pd.DataFrame] = []
     for pdf in batches:
@@ -273,28 +284,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def _firsts(rows: DataFrame, keys: list[str], *carried: str) -> DataFrame:
     """Of rows with equal keys, the first place in the corpus, and whether there are others."""
-    place = F.struct("d", "th", "s")
+    place = F.struct("d", "v", "s")
     found = rows.groupBy(*keys).agg(F.min(place).alias("first"), (F.min(place) != F.max(place)).alias("many"), *[F.first(c).alias(c) for c in carried])
     return materialize(found, "firsts")
 
 
 def _later(rows: DataFrame, firsts: DataFrame, keys: list[str]) -> DataFrame:
     """Ranges of the rows that have an equal earlier in the corpus."""
-    found = rows.join(firsts.where("many").select(*keys, "first"), keys).where("d <> first.d OR th <> first.th OR s <> first.s")
-    return materialize(found.select("d", "th", F.col("s").alias("b"), (F.col("s") + F.col("n") + (WINDOW - 1)).alias("e")), "ranges")
+    found = rows.join(firsts.where("many").select(*keys, "first"), keys).where("d <> first.d OR v <> first.v OR s <> first.s")
+    return materialize(found.select("d", "v", F.col("s").alias("b"), (F.col("s") + F.col("n") + (WINDOW - 1)).alias("e")), "ranges")
 
 
 def _leading(rows: DataFrame, firsts: DataFrame, group: list[str]) -> DataFrame:
-    """The first of equal rows, where their group has rows with other keys too. Rows' bytes are dealt out once."""
-    several = firsts.groupBy(*group).agg(F.count("*").alias("_n")).where("_n > 1").select(*group)
-    places = firsts.join(several, group).select("first.d", "first.th", "first.s")
-    return rows.join(materialize(places, "leading"), ["d", "th", "s"], "left_semi")
+    """The first of equal rows, where their group has rows with other keys too. Rows' bytes are dealt out once.
+
+    Groups are counted in a table of their own, so that the join after it can split a hot group.
+    """
+    several = materialize(firsts.groupBy(*group).agg(F.count("*").alias("_n")).where("_n > 1").select(*group), "several")
+    places = firsts.join(several, group).select("first.d", "first.v", "first.s")
+    return rows.join(materialize(places, "leading"), ["d", "v", "s"], "left_semi")
 
 
-def _several(firsts: DataFrame) -> DataFrame:
-    """First segments of cores that have more than one kind."""
-    cores = firsts.groupBy("ch", "cg").agg(F.count("*").alias("_n")).where("_n > 1").select("ch", "cg")
-    return firsts.join(cores, ["ch", "cg"]).select("ch", "cg", "h", "g", "first.d", "first.th", "first.s")
+def _window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for d, v, s, n, lead, data in zip(*(pdf[c] for c in ("d", "v", "s", "n", "lead", "data")), strict=True):
+            # the place of the core tells apart windows of other anchors, as a segment's does
+            rows += [(*_digest(bytes([lead - k]) + data[k : k + WINDOW]), d, v, s + k, 1) for k in range(n)]
+        yield pd.DataFrame(rows, columns=["h", "g", "d", "v", "s", "n"])
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,30 +326,35 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(
         # null ids come last
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_DOC)).alias("d"),
-        F.xxhash64(text).bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("th"),
+        F.xxhash64(text).alias("th"),
         text.alias("text"),
     )
+    digests = materialize(rows.select("d", "th", F.when(F.octet_length("text") >= WINDOW, F.md5(F.col("text").cast("binary"))).alias("md5")), "digests")
+    # v tells apart rows that share an id; where none do, it needs no room
+    alone = digests.groupBy("d").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo < hi").isEmpty()
+    version = F.lit(0).cast("long") if alone else F.col("th")
+    rows = rows.withColumn("v", version)
+    digests_v = digests.where("md5 IS NOT NULL").withColumn("v", version)
     # copies of whole texts
-    digests = materialize(rows.where(F.octet_length("text") >= WINDOW).select("d", "th", F.md5(F.col("text").cast("binary")).alias("md5")), "digests")
-    original = materialize(digests.groupBy("md5").agg(F.min(F.struct("d", "th")).alias("o"), F.max(F.struct("d", "th")).alias("_l")).where("o <> _l").select("md5", "o"), "originals")
-    copies = digests.join(original, "md5").where("d <> o.d OR th <> o.th").select("d", "th").distinct()
+    original = materialize(digests_v.groupBy("md5").agg(F.min(F.struct("d", "v")).alias("o"), F.max(F.struct("d", "v")).alias("_l")).where("o <> _l").select("md5", "o"), "originals")
+    copies = digests_v.join(original, "md5").where("d <> o.d OR v <> o.v").select("d", "v").distinct()
     copies = materialize(copies, "copies")
     discard(digests, original)
     # anchors of more than one text, or twice in one
-    seen = rows.select("th", "text").mapInPandas(_anchor_rows, "a long, th int, n int")
-    shared = seen.groupBy("a").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), F.max("n").alias("n")).where("lo < hi OR n > 1").select("a")
+    seen = rows.select("th", "text").mapInPandas(_anchor_rows, "a long, th long")
+    shared = seen.groupBy("a").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo < hi").select("a")
     shared = materialize(shared, "shared-anchors")
-    places = rows.select("d", "th", "text").mapInPandas(_place_rows, "a long, d long, th int, at long").join(shared, "a", "left_semi")
-    noted = places.groupBy("d", "th").agg(F.collect_list("at").alias("at")).join(copies, ["d", "th"], "left_anti")
+    places = rows.select("d", "v", "text").mapInPandas(_place_rows, "a long, d long, v long, at long").join(shared, "a", "left_semi")
+    noted = places.groupBy("d", "v").agg(F.collect_list("at").alias("at")).join(copies, ["d", "v"], "left_anti")
     noted = materialize(noted, "places")
     discard(shared)
-    spans = rows.join(noted, ["d", "th"]).dropDuplicates(["d", "th"]).select("d", "th", "text", "at")
-    spans = materialize(spans.mapInPandas(_span_rows, "h long, g long, a long, d long, th int, s long, n int, off int, data binary"), "spans")
+    spans = rows.join(noted, ["d", "v"]).dropDuplicates(["d", "v"]).select("d", "v", "text", "at")
+    spans = materialize(spans.mapInPandas(_span_rows, "h long, g long, a long, d long, v long, s long, n int, off int, data binary"), "spans")
     discard(noted)
-    firsts = _firsts(spans.select("h", "g", "a", "d", "th", "s"), ["h", "g"], "a")
-    gone = [_later(spans.select("h", "g", "d", "th", "s", "n"), firsts, ["h", "g"])]
-    leading = _leading(spans.select("d", "th", "s", "n", "off", "data"), firsts, ["a"])
-    segments = leading.mapInPandas(_segment_rows, "ch long, cg long, h long, g long, d long, th int, s long, n int, lead int, data binary")
+    firsts = _firsts(spans.select("h", "g", "a", "d", "v", "s"), ["h", "g"], "a")
+    gone = [_later(spans.select("h", "g", "d", "v", "s", "n"), firsts, ["h", "g"])]
+    leading = _leading(spans.select("d", "v", "s", "n", "off", "data"), firsts, ["a"])
+    segments = leading.mapInPandas(_segment_rows, "ch long, cg long, h long, g long, d long, v long, s long, n int, lead int, data binary")
     segments = materialize(segments, "segments")
     discard(spans, firsts)
     # most cores stand in one place only
@@ -340,16 +362,22 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     contested = materialize(segments.join(cores, ["ch", "cg"], "left_semi"), "contested")
     discard(segments, cores)
     keys = ["ch", "cg", "h", "g"]
-    firsts = _firsts(contested.select(*keys, "d", "th", "s"), keys)
-    gone.append(_later(contested.select(*keys, "d", "th", "s", "n"), firsts, keys))
-    # a span has several segments at one place, so the core is part of it
-    leading = contested.join(_several(firsts), [*keys, "d", "th", "s"], "left_semi")
-    ordered = leading.select("ch", "cg", "d", "th", "s", "n", "lead", "data").repartition("ch", "cg").sortWithinPartitions("ch", "cg")
-    gone.append(materialize(ordered.mapInPandas(_sorted_rows, "d long, th int, b long, e long"), "ranges"))
+    firsts = _firsts(contested.select(*keys, "d", "v", "s"), keys)
+    gone.append(_later(contested.select(*keys, "d", "v", "s", "n"), firsts, keys))
+    sizes = materialize(firsts.groupBy("ch", "cg").agg(F.count("*").alias("kinds")).where("kinds > 1"), "core-sizes")
+    # a span has several segments at one place, so the core is part of the key
+    wanted = firsts.join(sizes, ["ch", "cg"]).select(*keys, "first.d", "first.v", "first.s", "kinds")
+    leading = contested.join(wanted, [*keys, "d", "v", "s"])
+    ordered = leading.where(F.col("kinds") <= MOST_SEGMENTS).select("ch", "cg", "d", "v", "s", "n", "lead", "data").repartition("ch", "cg").sortWithinPartitions("ch", "cg")
+    gone.append(materialize(ordered.mapInPandas(_sorted_rows, "d long, v long, b long, e long"), "ranges"))
+    if not sizes.where(F.col("kinds") > MOST_SEGMENTS).isEmpty():
+        windows = leading.where(F.col("kinds") > MOST_SEGMENTS).select("d", "v", "s", "n", "lead", "data")
+        windows = materialize(windows.mapInPandas(_window_rows, "h long, g long, d long, v long, s long, n int"), "windows")
+        gone.append(_later(windows, _firsts(windows.select("h", "g", "d", "v", "s"), ["h", "g"]), ["h", "g"]))
     discard(contested, firsts)
-    ranges = gone[0].unionByName(gone[1]).unionByName(gone[2]).groupBy("d", "th").agg(F.collect_list(F.struct("b", "e")).alias("ranges"))
-    notes = ranges.withColumn("copy", F.lit(False)).unionByName(copies.select("d", "th", F.lit(None).cast("array<struct<b:bigint,e:bigint>>").alias("ranges"), F.lit(True).alias("copy")))
-    last = rows.join(notes, ["d", "th"], "left").select("d", "text", "copy", "ranges")
+    ranges = reduce(DataFrame.unionByName, gone).groupBy("d", "v").agg(F.collect_list(F.struct("b", "e")).alias("ranges"))
+    notes = ranges.withColumn("copy", F.lit(False)).unionByName(copies.select("d", "v", F.lit(None).cast("array<struct<b:bigint,e:bigint>>").alias("ranges"), F.lit(True).alias("copy")))
+    last = rows.join(notes, ["d", "v"], "left").select("d", "text", "copy", "ranges")
     final = last.mapInPandas(_final, "d long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return final.select(F.when(F.col("d") != NO_DOC, F.col("d")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 

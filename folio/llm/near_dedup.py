@@ -2,8 +2,8 @@
 
 1. Each document's set of 5-word shingles is hashed; the K smallest hashes are its sketch. Documents with equal sets
    are one class, handled by its smallest doc_id from there on.
-2. Inverted lists of retained values: sketches of a linked pair share half their values or more (at the threshold
-   they share about 0.9), so the pair meets in the list of at least one of the K / 2 + 1 rarest values of either.
+2. Inverted lists of retained values: sketches of a linked pair share LEAST_SHARED values of K or more (at the threshold
+   about 27 of 32), so the pair meets in the list of at least one of the K - LEAST_SHARED + 1 rarest values of either.
    Only these rarest values are listed: values of passages that many documents share stay out of the lists.
 3. Lists of up to SHORT_LIST members give all their pairs. Members of longer ones are listed anew by the rarest values
    of their full sets, as few as a linked pair must share one of. Each such member has U values that no other member
@@ -33,26 +33,44 @@ from folio.llm.common import given_id, held_id, materialize, read_table
 SHINGLE = 5
 K = 32
 PERCENT = 85
-#: estimates below this are over five deviations from the threshold
-LEAST_ESTIMATE = 0.5
+#: a pair at the threshold has fewer of the K least values of its union in common with a probability of 8e-13
+LEAST_SHARED = 10
+LEAST_ESTIMATE = LEAST_SHARED / K
+#: words whose hashes a worker remembers
+MOST_WORDS = 1 << 20
 SHORT_LIST = 8
 #: parts of the hash space in which shared values are counted
 BLOCKS = 32
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+class _Words(dict):
+    """64-bit hashes of words, remembered within bounds."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        self[word] = out = xxhash.xxh3_64_intdigest(word, 1)
+        return out
+
+
+_words = _Words()
+
+
 def shingle_hashes(text: str | None) -> np.ndarray:
-    """Sorted distinct 63-bit hashes of the text's shingles; of the whole word sequence where it is shorter."""
+    """Sorted distinct 63-bit hashes of the text's shingles; of the whole word sequence where it is shorter.
+
+    Each word is hashed by its bytes; a shingle's hash is made of its words' hashes, their order and their number.
+    """
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
         return np.empty(0, np.int64)
-    data = np.frombuffer(b" ".join(words), np.uint8)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    end = np.cumsum(size + 1) - 1
-    start = end - size
+    each = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     n = min(SHINGLE, len(words))
-    h = hashing.mix(hashing.spans(hashing.prefix(data), start[: len(words) - n + 1], end[n - 1 :]))
-    return np.unique((h >> np.uint64(1)).astype(np.int64))
+    h = np.full(len(words) - n + 1, n, np.uint64)
+    for k in range(n):
+        h = h * np.uint64(hashing.BASE) + each[k : len(words) - n + 1 + k]
+    return np.unique((hashing.mix(h) >> np.uint64(1)).astype(np.int64))
 
 
 def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,8 +133,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     Two documents are linked if 100 * intersection >= percent * union of their shingle sets; a component's id is the
     smallest id in it. Texts that are null, empty or without words have no shingles and are linked with nothing.
     Rows that share an id are one node and get the same component. Rows with a null id are linked with nothing, have
-    a null component and are kept. An empty table gives no rows. Other columns are ignored. Hashes have 63 bits and
-    stand for the shingles; sets are compared whole.
+    a null component and are kept. An empty table gives no rows. Other columns are ignored. Hashes of 63 bits stand for
+    shingles, of 128 for whole sets; sets are compared whole. Candidates come from sketches: see LEAST_SHARED.
     """
     rows = docs.select(held_id(id_col), F.col(text_col).alias("text"))
     sketched = rows.mapInPandas(_sketched, "doc_id long, n_shingles long, set_id string, sketch array<long>")
@@ -124,7 +142,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     linked = sketched.where("doc_id IS NOT NULL AND set_id IS NOT NULL")
     reps = linked.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     reps = materialize(reps, "classes")
-    lists = materialize(_rarest(reps, "sketch", "n - greatest(1, (n + 1) div 2) + 1").select("v", "rep"), "lists")
+    lists = materialize(_rarest(reps, "sketch", f"n - greatest(1, {LEAST_SHARED} * n div {K}) + 1").select("v", "rep"), "lists")
     met = materialize(lists.select("rep").distinct(), "met")
     whole = rows.select(F.col("doc_id").alias("rep"), "text").join(met, "rep", "left_semi")
     sets = materialize(whole.mapInPandas(_full_sets, "rep long, hashes array<long>"), "sets")
@@ -151,16 +169,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     while True:
         now = lists.join(roots, lists["rep"] == roots["node"], "left").select("v", "rep", "n", "u", "blocks", F.coalesce("root", "rep").alias("c"))
         now = materialize(now, "now")
+        # what is known of a list goes into a small table of its own, so that no task needs all of a long list's members
         one = now.groupBy("v").agg(F.count("*").alias("m"), F.min(F.struct("u", "c")).alias("low"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-        mixed = now.join(one.where(f"c0 < c1 AND m > {done}").select("v", "low"), "v")
-        other = mixed.where("c <> low.c").groupBy("v").agg(F.min("u").alias("u2"))
+        one = materialize(one.where(f"c0 < c1 AND m > {done}").select("v", "low"), "lists-open")
+        if one.isEmpty():
+            break
+        other = materialize(now.join(one, "v").where("c <> low.c").groupBy("v").agg(F.min("u").alias("u2")), "lists-second")
         # the best that a member can still meet is the least u outside its component
-        open_ = mixed.join(other, "v").where(f"100 * (n - u) >= {percent} * (n + if(c = low.c, u2, low.u))").select("v", "rep", "n", "u", "blocks", "c")
-        open_ = materialize(open_, "open-lists")
+        best = now.join(one.join(other, "v"), "v").where(f"100 * (n - u) >= {percent} * (n + if(c = low.c, u2, low.u))")
+        open_ = materialize(best.select("v", "rep", "n", "u", "blocks", "c"), "open-lists")
         if open_.isEmpty():
             break
         rank = F.row_number().over(W.partitionBy("v").orderBy("u", F.xxhash64("rep"), "rep"))
-        leads = now.withColumn("_r", rank).where(f"_r <= {pivots}").where(f"_r > {done}")
+        leads = now.join(one.select("v"), "v", "left_semi").withColumn("_r", rank).where(f"_r <= {pivots}").where(f"_r > {done}")
         leads = leads.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"), F.col("blocks").alias("bb"), F.col("c").alias("cb"))
         # no pair has more in common than the lesser of its counts in each part
         most = "aggregate(zip_with(blocks, bb, (x, y) -> least(x, y)), 0, (s, x) -> s + x)"

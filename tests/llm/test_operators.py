@@ -75,6 +75,14 @@ def test_near_duplicates_are_those_of_brute_force(make, seed, groups, each):
     assert all(got[i].n_shingles == len(shingles(t)) for i, t in rows)
 
 
+def test_words_that_a_power_of_two_polynomial_confuses_stay_apart(make):
+    """Sequences of Thue and Morse and their complements have equal polynomial hashes modulo 2^64, whatever the base."""
+    bits = [bin(k).count("1") & 1 for k in range(4096)]
+    rows = [(k, "".join("ab"[b ^ k & 1] for b in bits[: 1024 << k // 2])) for k in range(6)]
+    got = near_dedup.near_duplicates(make([(i, t, "en", "s") for i, t in rows])).collect()
+    assert all(r.kept and r.component_id == r.doc_id for r in got)
+
+
 def test_near_duplicates_of_hard_rows(hard, empty):
     rows = near_dedup.near_duplicates(hard).collect()
     assert ids(rows) == HARD_IDS
@@ -447,7 +455,10 @@ def repeats(rows, n=100):
     return out
 
 
-def test_repeated_bytes_are_those_of_brute_force(make):
+@pytest.mark.parametrize("most", [substring_dedup.MOST_SEGMENTS, 2])
+def test_repeated_bytes_are_those_of_brute_force(make, monkeypatch, most):
+    """With cores sorted by workers, and with nearly all dealt out window by window."""
+    monkeypatch.setattr(substring_dedup, "MOST_SEGMENTS", most)
     rng, parts = random.Random(12), texts(12, 12, size=(20, 40))
     rows = []
     for k in range(60):
@@ -459,6 +470,23 @@ def test_repeated_bytes_are_those_of_brute_force(make):
     assert got == repeats(rows)
 
 
+def test_repeats_of_texts_whose_hashes_share_their_low_bits(spark, make):
+    """Among texts with one passage and different ends, the first two whose 64-bit hashes agree in the low 31 bits."""
+    passage = " ".join(texts(77, 1, size=(70, 70)))[:419]
+    hashed = spark.range(200_000).selectExpr("id", f"xxhash64('{passage} tail number ' || id) & 2147483647 AS h")
+    pair = hashed.groupBy("h").agg({"id": "min", "*": "count"}).where("`count(1)` > 1").orderBy("min(id)").first()
+    a, b = (r.id for r in hashed.where(f"h = {pair.h}").orderBy("id").limit(2).collect())
+    rows = [(k, f"{passage} tail number {k}") for k in (a, b)]
+    got = {r.doc_id: tuple(r)[1:] for r in substring_dedup.repeated_bytes(make([(i, t, "en", "s") for i, t in rows])).collect()}
+    assert got == repeats(rows) and got[b][1] > 400
+
+
+def test_repeats_of_texts_that_share_an_id(make):
+    shared, other = texts(31, 2, size=(60, 60))
+    got = substring_dedup.repeated_bytes(make([(1, shared, "en", "s"), (1, shared + " end", "en", "s"), (1, "short", "en", "s"), (2, other, "en", "s"), (3, shared.encode()[:99].decode(errors="ignore"), "en", "s")])).collect()
+    assert sorted((r.doc_id, r.n_removed > 0) for r in got) == [(1, False), (1, False), (1, True), (2, False), (3, False)]
+
+
 def test_suffix_sort_is_the_plain_sort():
     rng = np.random.default_rng(3)
     text = rng.integers(97, 99, 4000).astype(np.uint8)

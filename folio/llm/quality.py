@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import SPACE, materialize, read_table, source_key
 
-#: metric: the least spread (same unit) that the upper fence allows for
-METRICS = {"m_symbols": 5, "m_dup_lines": 10, "m_repeats": 10, "m_stutter": 5, "m_word_len": 5, "m_upper": 5}
-FENCE = 4
-MIN_GROUP = 100
+#: metric: (HIGH, TAIL); the upper fence is the HIGH-th percentile plus TAIL times its distance from the median, so
+#: that no more than 100 - HIGH percent of a group lie above it. Measures that most texts have none of take a higher one.
+METRICS = {"m_symbols": (90, 3), "m_dup_lines": (98, 1), "m_repeats": (98, 1), "m_stutter": (90, 3), "m_word_len": (90, 3), "m_upper": (90, 3)}
+#: metrics that have a lower fence too: as the upper one, from the (100 - HIGH)-th percentile down
+BOTH_TAILS = ("m_word_len", "m_upper")
+MIN_GROUP = 20
 #: stands for all languages; keys of languages begin with a or b
 ALL = "*"
 
@@ -58,47 +60,51 @@ def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _metrics() -> dict[str, Column]:
-    """Whole numbers: percent of words, lines or characters; tenths of a character for the word length."""
-    return {
-        "m_symbols": F.expr("100 * n_symbols div greatest(n_words, 1)"),
-        "m_dup_lines": F.expr("100 * n_dup_lines div greatest(n_lines, 1)"),
-        "m_repeats": F.expr("100 * n_repeat_words div greatest(n_words, 1)"),
-        "m_stutter": F.expr("100 * n_stutter div greatest(n_words, 1)"),
-        "m_word_len": F.expr("10 * word_chars div greatest(n_words, 1)"),
-        "m_upper": F.expr("100 * n_upper div greatest(word_chars, 1)"),
+    """Bins of whole numbers per 10,000 words, lines or characters; for the word length, thousandths of a character.
+
+    A bin is named by its least number and is 1/64 of that wide, so all that is compared later has this resolution.
+    """
+    shares = {
+        "m_symbols": "10000 * n_symbols div greatest(n_words, 1)",
+        "m_dup_lines": "10000 * n_dup_lines div greatest(n_lines, 1)",
+        "m_repeats": "10000 * n_repeat_words div greatest(n_words, 1)",
+        "m_stutter": "10000 * n_stutter div greatest(n_words, 1)",
+        "m_word_len": "1000 * word_chars div greatest(n_words, 1)",
+        "m_upper": "10000 * n_upper div greatest(word_chars, 1)",
     }
+    width = "greatest(length(bin({0})) - 7, 0)"
+    return {m: F.expr(f"shiftleft(shiftright({v}, {width.format(v)}), {width.format(v)})") for m, v in shares.items()}
 
 
 def sketch(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Log-linear histograms (keys, metric, bin, n): a quantile sketch with a relative error of 1/64, merged by adding n."""
     stacked = ", ".join(f"'{m}', {m}" for m in METRICS)
-    long = rows.select(*keys, F.expr(f"stack({len(METRICS)}, {stacked}) AS (metric, v)"))
-    width = F.greatest(F.length(F.bin("v")) - 7, F.lit(0))
-    return long.withColumn("_e", width).groupBy(*keys, "metric", F.expr("shiftleft(shiftright(v, _e), _e)").alias("bin")).agg(F.count("*").alias("n"))
+    long = rows.select(*keys, F.expr(f"stack({len(METRICS)}, {stacked}) AS (metric, bin)"))
+    return long.groupBy(*keys, "metric", "bin").agg(F.count("*").alias("n"))
 
 
 def fences(sketched: DataFrame, keys: list[str]) -> DataFrame:
-    """Per keys: the rows and each metric's upper fence, q3 + FENCE * max(q3 - q1, least spread)."""
+    """Per keys: the rows, each metric's upper fence (_max) and, for BOTH_TAILS, its lower one (_min)."""
     by = W.partitionBy(*keys, "metric")
     cum = sketched.select(*keys, "metric", "bin", F.sum("n").over(by.orderBy("bin")).alias("c"), F.sum("n").over(by).alias("t"))
-    q = cum.groupBy(*keys, "metric").agg(
-        F.max("t").alias("rows"),
-        F.min(F.when(4 * F.col("c") >= F.col("t"), F.col("bin"))).alias("q1"),
-        F.min(F.when(4 * F.col("c") >= 3 * F.col("t"), F.col("bin"))).alias("q3"),
-    )
-    least = F.coalesce(*[F.when(F.col("metric") == m, F.lit(v)) for m, v in METRICS.items()])
-    upper = F.col("q3") + FENCE * F.greatest(F.col("q3") - F.col("q1"), least)
-    return q.groupBy(*keys).agg(F.max("rows").alias("rows"), *[F.max(F.when(F.col("metric") == m, upper)).alias(f"{m}_max") for m in METRICS])
+    high, tail = (F.coalesce(*[F.when(F.col("metric") == m, F.lit(v[k])) for m, v in METRICS.items()]) for k in (0, 1))
+    least = lambda percent: F.min(F.when(100 * F.col("c") >= percent * F.col("t"), F.col("bin")))
+    q = cum.groupBy(*keys, "metric").agg(F.max("t").alias("rows"), least(100 - high).alias("lo"), least(F.lit(50)).alias("mid"), least(high).alias("hi"))
+    upper, lower = F.col("hi") + tail * (F.col("hi") - F.col("mid")), F.col("lo") - tail * (F.col("mid") - F.col("lo"))
+    of = lambda m, x, name: F.max(F.when(F.col("metric") == m, x)).alias(name)
+    limits = [of(m, upper, f"{m}_max") for m in METRICS] + [of(m, lower, f"{m}_min") for m in BOTH_TAILS]
+    return q.groupBy(*keys).agg(F.max("rows").alias("rows"), *limits)
 
 
 def adaptive_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Base counts of every text, the base verdict and the adaptive one.
 
     Each (language, source) has mergeable quantile sketches of six measures; a document that no base rule fails is
-    rejected if a measure lies above its group's upper fence. Groups under MIN_GROUP rows use the sketches merged
+    rejected if a measure lies above its group's upper fence, or below the lower one of those that have it. Fences come
+    from the group's own quantiles (see METRICS); bins are compared, not the numbers in them. Groups under MIN_GROUP rows use the sketches merged
     over their language, and those under it the sketches merged over all. Null languages and sources are groups of
     their own. Null and empty texts count 0 words, fail the base rules and stay out of the sketches, as do all rows
-    that fail these. Repeated rows give repeated rows. An empty table gives no rows. Other columns are ignored.
+    that fail these. Repeated rows give repeated rows; a null id stays null. An empty table gives no rows. Other columns are ignored.
     Equality of 8-word windows is decided on 64-bit hashes within one text.
     """
     keyed = docs.select(F.col(id_col), F.col(text_col), source_key(F.col(lang_col)).alias("_lang"), source_key(F.col(source_col)).alias("_source"))
@@ -108,7 +114,7 @@ def adaptive_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     fine = materialize(sketch(rows.where(~F.col("base_failed")), ["_lang", "_source"]), "quality-sketch")
     merged = fine.groupBy("_lang", "metric", "bin").agg(F.sum("n").alias("n"))
     total = merged.groupBy("metric", "bin").agg(F.sum("n").alias("n")).withColumn("_lang", F.lit(ALL))
-    names = [f"{m}_max" for m in METRICS]
+    names = [f"{m}_max" for m in METRICS] + [f"{m}_min" for m in BOTH_TAILS]
     # one small row per language and one for all, which every row gets beside its own
     levels = fences(merged.unionByName(total), ["_lang"]).withColumnRenamed("rows", "_lang_rows")
     overall = [F.max(F.when(F.col("_lang") == ALL, F.col(c))).over(W.partitionBy()).alias(f"_a{c}") for c in names]
@@ -116,7 +122,8 @@ def adaptive_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pick = lambda c: F.when(F.col("rows") >= MIN_GROUP, F.col(c)).when(F.col("_lang_rows") >= MIN_GROUP, F.col(f"_l{c}")).otherwise(F.col(f"_a{c}"))
     limits = fences(fine, ["_lang", "_source"]).join(levels, "_lang")
     limits = materialize(limits.select("_lang", "_source", *[pick(c).alias(c) for c in names]), "quality-limits")
-    above = F.greatest(*[F.coalesce((F.col(m) > F.col(f"{m}_max")).cast("int"), F.lit(0)) for m in METRICS]) == 1
+    outside = [F.col(m) > F.col(f"{m}_max") for m in METRICS] + [F.col(m) < F.col(f"{m}_min") for m in BOTH_TAILS]
+    rejected = F.greatest(*[F.coalesce(x.cast("int"), F.lit(0)) for x in outside]) == 1
     return rows.join(limits, ["_lang", "_source"], "left").select(
         "doc_id",
         "n_words",
@@ -125,7 +132,7 @@ def adaptive_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "n_dup_lines",
         "n_repeat_words",
         "base_failed",
-        (~F.col("base_failed") & ~above).alias("kept"),
+        (~F.col("base_failed") & ~rejected).alias("kept"),
     )
 
 
@@ -135,23 +142,27 @@ def op7_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     metric = {
-        "m_symbols": "100 * n_symbols // greatest(n_words, 1)",
-        "m_dup_lines": "100 * n_dup_lines // greatest(n_lines, 1)",
-        "m_repeats": "100 * n_repeat_words // greatest(n_words, 1)",
-        "m_stutter": "100 * n_stutter // greatest(n_words, 1)",
-        "m_word_len": "10 * word_chars // greatest(n_words, 1)",
-        "m_upper": "100 * n_upper // greatest(word_chars, 1)",
+        "m_symbols": "10000 * n_symbols // greatest(n_words, 1)",
+        "m_dup_lines": "10000 * n_dup_lines // greatest(n_lines, 1)",
+        "m_repeats": "10000 * n_repeat_words // greatest(n_words, 1)",
+        "m_stutter": "10000 * n_stutter // greatest(n_words, 1)",
+        "m_word_len": "1000 * word_chars // greatest(n_words, 1)",
+        "m_upper": "10000 * n_upper // greatest(word_chars, 1)",
     }
-    stacked = " UNION ALL ".join(f"SELECT lk, sk, '{m}' AS metric, {METRICS[m]} AS least, {e} AS v FROM base WHERE NOT base_failed" for m, e in metric.items())
+    bin_ = "((v >> greatest(length(bin(v)) - 7, 0)::BIGINT) << greatest(length(bin(v)) - 7, 0)::BIGINT)"
+    structs = ", ".join(f"{{'metric': '{m}', 'high': {METRICS[m][0]}, 'tail': {METRICS[m][1]}, 'both_tails': {m in BOTH_TAILS}, 'v': {e}}}" for m, e in metric.items())
 
     def fence(keys: str, name: str) -> str:
         on = f"{keys}, " if keys else ""
+        reach = lambda percent: f"min(bin) FILTER (WHERE 100 * c >= {percent} * t)"
         return f"""{name} AS (
-  SELECT {on}metric, max(t) AS rows, min(bin) FILTER (WHERE 4 * c >= 3 * t) + {FENCE} * greatest(min(bin) FILTER (WHERE 4 * c >= 3 * t) - min(bin) FILTER (WHERE 4 * c >= t), max(least)) AS upper
-  FROM (SELECT {on}metric, bin, max(least) AS least, sum(count(*)) OVER (PARTITION BY {on}metric ORDER BY bin) AS c, sum(count(*)) OVER (PARTITION BY {on}metric) AS t FROM binned GROUP BY {on}metric, bin)
-  GROUP BY {on}metric)"""
+  SELECT *, hi + tail * (hi - mid) AS upper, CASE WHEN both_tails THEN lo - tail * (mid - lo) END AS lower FROM (
+    SELECT {on}metric, tail, both_tails, max(t) AS rows, {reach("high")} AS hi, {reach(50)} AS mid, {reach("(100 - high)")} AS lo
+    FROM (SELECT {on}metric, high, tail, both_tails, bin, sum(count(*)) OVER (PARTITION BY {on}metric ORDER BY bin) AS c, sum(count(*)) OVER (PARTITION BY {on}metric) AS t
+      FROM binned WHERE NOT base_failed GROUP BY {on}metric, high, tail, both_tails, bin)
+    GROUP BY {on}metric, tail, both_tails))"""
 
-    above = " OR ".join(f"(f.metric = '{m}' AND {e} > CASE WHEN f.rows >= {MIN_GROUP} THEN f.upper WHEN l.rows >= {MIN_GROUP} THEN l.upper ELSE a.upper END)" for m, e in metric.items())
+    pick = lambda c: f"CASE WHEN f.rows >= {MIN_GROUP} THEN f.{c} WHEN l.rows >= {MIN_GROUP} THEN l.{c} ELSE a.{c} END"
     return rf"""
 WITH words AS (
   SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS i FROM documents
@@ -171,13 +182,15 @@ WITH words AS (
     len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
     coalesce(n_words, 0) < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * coalesce(n_words, 0) AS base_failed
   FROM documents JOIN lined USING (doc_id) LEFT JOIN counted USING (doc_id)
-), stacked AS ({stacked}
 ), binned AS (
-  SELECT *, (v >> greatest(length(bin(v)) - 7, 0)::BIGINT) << greatest(length(bin(v)) - 7, 0)::BIGINT AS bin FROM stacked
-), {fence("lk, sk", "fine")}, {fence("lk", "by_lang")}, {fence("", "overall")}
-SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT EXISTS (SELECT 1 FROM fine f JOIN by_lang l USING (lk, metric) JOIN overall a USING (metric) WHERE f.lk = b.lk AND f.sk = b.sk AND ({above})) AS kept
-FROM base b"""
+  SELECT doc_id, lk, sk, base_failed, m.high, m.tail, m.both_tails, m.metric, {bin_} AS bin
+  FROM (SELECT *, m.v AS v FROM (SELECT *, unnest([{structs}]) AS m FROM base))
+), {fence("lk, sk", "fine")}, {fence("lk", "by_lang")}, {fence("", "overall")}, outside AS (
+  SELECT DISTINCT b.doc_id FROM binned b JOIN fine f USING (lk, sk, metric) JOIN by_lang l USING (lk, metric) JOIN overall a USING (metric)
+  WHERE b.bin > {pick("upper")} OR b.bin < {pick("lower")}
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM outside) AS kept
+FROM base"""
 
 
 ORACLE = {"op7_adaptive_quality": _oracle()}

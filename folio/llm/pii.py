@@ -1,9 +1,11 @@
 """Personal data: base patterns, and identifiers found by bootstrapped lexical contexts.
 
-Base spans (e-mail, ip, card, phone) are the seeds. Everything identifier-like, seed or not, has contexts: the words
-before it and around it. That is each token with a digit or an @, each run of groups of digits on a line, and each
-address with a spelt at. Spark keeps the bipartite graph of contexts and instances (hashes of the identifiers) and
-scores it in rounds: a context's confidence for a kind is the mean score of its distinct instances, an unknown
+Base spans (e-mail, ip, card, phone) are the seeds. Everything identifier-like, seed or not, has contexts. That is each
+token with a digit or an @, each run of groups of digits on a line, and each address with a spelt at. A context is the
+identifier's class (address, digits, mixed) and one to three words before it, alone, with the word behind it or with the
+identifier's shape: the wide ones are sure, the narrow ones general. Spark keeps the bipartite graph of contexts and instances (hashes of the identifiers) and
+scores it in rounds: a context's confidence for a kind is the score of its distinct instances over their number, where
+unknown ones count half and 1 is the most; an unknown
 instance's score is the noisy-or of the accepted contexts it stands in; instances with high scores are seeds of the
 next round. Unknown identifiers in accepted contexts become spans of that kind.
 """
@@ -25,7 +27,9 @@ from folio.llm.common import fresh, given_id, held_id, materialize, read_table
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
-LEAST_CONFIDENCE = 0.8
+LEAST_CONFIDENCE = 0.75
+#: what an instance of no known kind counts in a context, against one of another kind
+UNKNOWN = 0.5
 LEAST_SEEDS = 5
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -35,6 +39,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_LETTER = re.compile(r"[^\W\d_]")
 _TOKEN = re.compile(r"\S+")
 _EDGE = "\"'()[]{}<>.,;:!?*#$%&|"
 #: no base kind has more
@@ -87,6 +92,11 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return out
 
 
+def _shape(word: str) -> str:
+    """Runs of letters and of digits each as one."""
+    return re.sub(r"[0-9]+", "0", re.sub(r"[^\W\d_]+", "a", word))
+
+
 def _core(text: str, s: int, e: int) -> tuple[int, int]:
     """The span without the marks around it, but with a bracket whose other half is inside."""
     word = text[s:e]
@@ -133,7 +143,7 @@ def _spelt(text: str, tokens: list[tuple[int, int]], starts: list[int]) -> Itera
 def candidates(text: str | None, base: list[tuple[int, int, int]]) -> list[dict]:
     """Identifiers with their contexts: every base span, and what else is identifier-like and overlaps none.
 
-    Of those with the same start, the longest alone has the context of the words before.
+    Of those with the same start, the longest alone has the contexts of the words before.
     """
     if not text or not (base or "@" in text or _DIGIT.search(text) or _AT.search(text)):
         return []
@@ -166,9 +176,13 @@ def candidates(text: str | None, base: list[tuple[int, int, int]]) -> list[dict]
         after = bisect_right(starts, e - 1)
         lead = text[tokens[at][0] : s].lower()
         one, two = norm(at - 1), norm(at - 2)
-        patterns = [f"{two} {one} {lead}_ {norm(after)}"]
+        word, one, two = text[s:e], f"{one} {lead}_", f"{two} {one} {lead}_"
+        kind = "0" if not _LETTER.search(word) else "@" if "@" in word or _AT.search(word) else "a"
+        patterns = [f"{kind}|{two} {norm(after)}", f"{kind}|{one} {norm(after)}"]
         if k >= 0 or longest[s] == e:
-            patterns.append(f"{norm(at - 3)} {two} {one} {lead}_")
+            patterns += [f"{kind}|{norm(at - 3)} {two}", f"{kind}|{two}", f"{kind}|{one}{_shape(word)}"]
+            # a label that the identifier is joined to, as in `tel=`
+            patterns += [f"{kind}|{lead}_"] if _LETTER.search(lead) else []
         out.append({"s": s, "e": e, "i": xxhash.xxh3_64_intdigest(text[s:e]) >> 1, "k": k, "p": patterns})
     return out
 
@@ -189,13 +203,14 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Accepted contexts (p, kind, confidence) of the graph (p, i, k): k is a seed's kind, -1 for unknown."""
     edges = materialize(edges.groupBy("p", "i").agg(F.max("k").alias("k")), "contexts")
-    sizes = edges.groupBy("p").agg(F.count("*").alias("n"))
-    sizes = materialize(sizes.where(f"n >= {LEAST_SEEDS}"), "context-sizes")
+    sizes = edges.groupBy("p").agg(F.count("*").alias("n"), F.count_if(F.col("k") < 0).alias("unknown"))
+    sizes = sizes.where(f"n >= {LEAST_SEEDS}").select("p", (F.col("n") - (1 - UNKNOWN) * F.col("unknown")).alias("n"))
+    sizes = materialize(sizes, "context-sizes")
     seeds = edges.where("k >= 0").select("i", F.col("k").alias("kind"), F.lit(1.0).alias("score")).distinct()
     accepted = None
     for _ in range(rounds):
         scored = edges.join(seeds, "i").groupBy("p", "kind").agg(F.sum("score").alias("score"), F.count("*").alias("m"))
-        accepted = scored.where(f"m >= {LEAST_SEEDS}").join(sizes, "p").withColumn("confidence", F.col("score") / F.col("n"))
+        accepted = scored.where(f"m >= {LEAST_SEEDS}").join(sizes, "p").withColumn("confidence", F.least(F.lit(1.0), F.col("score") / F.col("n")))
         accepted = materialize(accepted.where(f"confidence >= {LEAST_CONFIDENCE}").select("p", "kind", "confidence"), "accepted-contexts")
         if accepted.isEmpty():
             break
@@ -224,6 +239,20 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
+def hidden_recall(docs: DataFrame, fifths: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(kind, hidden, found): how many distinct seeds of a seeded fifth (or more), treated as unknown, contexts bring back.
+
+    A measure of how far the patterns reach, per place in KINDS. Without seeds there are no rows.
+    """
+    rows = docs.select(held_id(id_col), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    each = rows.mapInPandas(_scan, _SCAN).select(F.explode("candidates").alias("c")).select("c.i", "c.k", F.explode("c.p").alias("p"))
+    edges = materialize(each.withColumn("was", F.col("k")).withColumn("k", F.when(F.col("i") % 5 < fifths, -1).otherwise(F.col("k"))), "hidden-seeds")
+    accepted = bootstrap(edges.select("p", "i", "k"))
+    found = edges.join(accepted, "p").where("k < 0").groupBy("i").agg(F.max_by("kind", F.struct("confidence", F.col("kind"))).alias("guess"))
+    hidden = edges.where("was >= 0 AND k < 0").select("i", F.col("was").alias("kind")).distinct()
+    return hidden.join(found, "i", "left").groupBy("kind").agg(F.count("*").alias("hidden"), F.count_if(F.col("guess") == F.col("kind")).alias("found"))
+
+
 def span_text(spans: str) -> Column:
     names = ", ".join(f"'{k}'" for k in KINDS)
     return F.expr(f"array_join(transform({spans}, x -> concat_ws(':', array({names})[x.k], x.s, x.e)), ',')")

@@ -232,6 +232,73 @@ def test_contexts_find_identifiers_of_several_tokens(make):
         pii.candidates(unit * 20_000, [])
 
 
+PLACES = ["call me at {} today", "my number is {}, bye", "phone: {}", "write to {} soon", "mail {} for more", "contact={}", "paid with {} on monday", "card no. {}", "host {} is up", "from {} port 22"]
+
+
+def planted(seed, n):
+    """Texts with one identifier each in one of a few places, among words of their own."""
+    rng, out = random.Random(seed), []
+    for k, w in enumerate(texts(seed, n, size=(4, 12))):
+        place, own = rng.randrange(len(PLACES)), w.split()
+        stem = f"4{rng.randint(10**13, 10**14 - 1)}"
+        x = [f"+1 (555) {rng.randint(100, 999)}-{rng.randint(1000, 9999)}"] * 3 + [f"{own[0]}{k}@mail{k % 9}.example".replace("é", "e").replace("ü", "u")] * 3
+        x += [next(stem + d for d in "0123456789" if pii.luhn(stem + d))] * 2 + [f"10.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{k % 256}"] * 2
+        out.append((k, " ".join([*own[:2], PLACES[place].format(x[place]), *own[2:]]), "en", "s"))
+    return out
+
+
+def test_hidden_seeds_come_back(make):
+    got = {r.kind: (r.hidden, r.found) for r in pii.hidden_recall(make(planted(41, 500))).collect()}
+    assert set(got) == {0, 1, 2, 3} and all(found >= 0.9 * hidden >= 9 for hidden, found in got.values()), got
+    assert pii.hidden_recall(make([(1, "no seeds", "en", "s")])).count() == 0
+
+
+def plain_bootstrap(edges):
+    """bootstrap() by dictionaries."""
+    known = {}
+    for p, i, k in edges:
+        known[p, i] = max(known.get((p, i), -1), k)
+    size = Counter()
+    for (p, _), k in known.items():
+        size[p] += pii.UNKNOWN if k < 0 else 1
+    given = {(i, k): 1.0 for (_, i), k in known.items() if k >= 0}
+    seeds = dict(given)
+    for _ in range(pii.ROUNDS):
+        scored, many = Counter(), Counter()
+        for p, i in known:
+            for k in range(4):
+                if (i, k) in seeds:
+                    scored[p, k] += seeds[i, k]
+                    many[p, k] += 1
+        accepted = {(p, k): min(1, x / size[p]) for (p, k), x in scored.items() if many[p, k] >= pii.LEAST_SEEDS and x / size[p] >= pii.LEAST_CONFIDENCE}
+        miss = {}
+        for (p, i), k0 in known.items():
+            for k in range(4):
+                if k0 < 0 and (p, k) in accepted:
+                    miss[i, k] = miss.get((i, k), 1.0) * (1 - accepted[p, k])
+        seeds = dict(given)
+        for key, x in miss.items():
+            if 1 - x >= pii.LEAST_CONFIDENCE:
+                seeds[key] = seeds.get(key, 0) + 1 - x
+    return accepted
+
+
+def test_added_spans_are_those_of_brute_force(make):
+    rows = planted(43, 150) + [(500 + k, PLACES[k % 10].format(x) + " and so on", "en", "s") for k, x in enumerate(["555 010 2000", "jane@localhost", "12-34-56", "2024", "jane (at) mail.example", "v1.2.3"] * 5)]
+    scans = {i: (pii.base_spans(t), pii.candidates(t, pii.base_spans(t))) for i, t, _, _ in rows}
+    accepted = plain_bootstrap([(p, c["i"], c["k"]) for _, found in scans.values() for c in found for p in c["p"]])
+    want = {}
+    for i, (base, found) in scans.items():
+        added = []
+        for c in found:
+            best = max(((x, k) for p in c["p"] for k in range(4) if (x := accepted.get((p, k)))), default=None) if c["k"] < 0 else None
+            if best:
+                added.append((best[1], c["s"], c["e"]))
+        want[i] = sorted(base + added)
+    got = {r.doc_id: [(x.k, x.s, x.e) for x in r.spans] for r in pii.find_personal_data(make(rows)).collect()}
+    assert got == want and sum(map(len, want.values())) > sum(len(b) for b, _ in scans.values())
+
+
 def test_masking_of_hard_rows(hard, empty):
     rows = pii.mask(hard).collect()
     assert ids(rows) == HARD_IDS and rows[0].asDict().keys() == hard.first().asDict().keys()
@@ -424,6 +491,20 @@ def test_quality_counts_and_adaptive_verdicts(make):
     assert not got[500].kept and got[501].base_failed and not got[501].kept and not got[503].kept and not got[504].kept
 
 
+def test_quality_fences_come_from_the_group(make):
+    """What one group has plenty of is an outlier in another; each measure's rejection is its own."""
+    clean = texts(10, 480, size=(60, 80))
+    stop = lambda t, n: t + " " + " ".join(["#"] * n)
+    rows = [(k, t if k % 2 else stop(t, k % 5), "en", "plain" if k % 2 else "marked") for k, t in enumerate(clean)]
+    again = " ".join(clean[0].split()[:9])
+    rows += [(900, stop(clean[1], 3), "en", "plain"), (901, stop(clean[2], 3), "en", "marked"), (902, clean[3] + " " + again + " x " + again, "en", "plain")]
+    rows += [(903, clean[4] + "\n" + clean[5] + "\n" + clean[4].split()[0] + "\n" + clean[4].split()[0], "en", "plain"), (904, " ".join("ab" for _ in range(30)) + " " + clean[6], "en", "plain")]
+    got = {r.doc_id: r for r in quality.adaptive_quality(make(rows)).collect()}
+    assert not any(got[k].base_failed for k in (900, 901, 902, 903))
+    assert [got[k].kept for k in (900, 901, 902, 903)] == [False, True, False, False]
+    assert sum(got[k].kept for k in range(480)) >= 0.97 * 480
+
+
 def test_sketches_merge(spark, make):
     rows = quality._measured(make([(k, t, "en", "s") for k, t in enumerate(texts(11, 50))]).selectExpr("doc_id", "text", "'e' AS _lang", "'s' AS _source"), "doc_id", "text").withColumns(quality._metrics())
     parts = [quality.sketch(rows.where(f"doc_id % 2 = {k}"), ["_lang"]) for k in (0, 1)]

@@ -25,20 +25,23 @@ SEED = 23
 
 
 @lru_cache(1)
-def _letters() -> np.ndarray:
-    """The lower-case code of every letter or mark, 32 for other code points."""
-    out = np.full(sys.maxunicode + 1, 32, np.uint32)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """The lower-case code of every letter or mark, 32 for other code points; which of them are letters (category L)."""
+    out, letter = np.full(sys.maxunicode + 1, 32, np.uint32), np.zeros(sys.maxunicode + 1, np.bool_)
     for c in range(sys.maxunicode + 1):
-        if unicodedata.category(chr(c))[0] in "LM":
+        category = unicodedata.category(chr(c))[0]
+        letter[c] = category == "L"
+        if category in "LM":
             low = chr(c).lower()
             out[c] = ord(low) if len(low) == 1 else c
-    return out
+    return out, letter
 
 
 def presence(text: str | None) -> np.ndarray | None:
     """Which hashed n-grams (1 to 3 characters, any non-letter a blank) the whole text has; None without a letter."""
-    codes = _letters()[np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)]
-    if not (codes != 32).any():
+    points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes, letter = (table[points] for table in _letters())
+    if not letter.any():
         return None
     codes = np.concatenate([[32], codes, [32]]).astype(np.uint32)
     codes = codes[np.concatenate([[True], (codes[1:] != 32) | (codes[:-1] != 32)])]

@@ -18,7 +18,7 @@ from folio.llm.common import given_id, held_id, materialize, read_table
 UNIT = 192
 RATE = 8000
 FRAME, HOP = 192, 96
-FAN_OUT = 3
+PER_FRAME, FAN_OUT, ZONE = 3, 3, 1 << 16
 MOST_FRAMES = 4096
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 
@@ -39,30 +39,40 @@ def from_wav(media: bytes) -> bytes:
 
 
 def spectral_peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Frames whose strongest bin (without the lowest two) is no weaker than the neighbours', and that bin."""
+    """Frames and bins of the peaks, in order: bins stronger than both neighbours and no weaker than the same bin in the
+    frames beside theirs, with half the frame's greatest level at least; of each frame the PER_FRAME strongest. The lowest two bins and the last have none."""
     n = max(0, (len(samples) - FRAME) // HOP + 1)
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP] if n else np.empty((0, FRAME), np.uint8)
-    best, power = np.empty(n, np.int64), np.empty(n + 2, np.float32)
-    power[0] = power[-1] = -1
-    for a in range(0, n, MOST_FRAMES):  # long inputs in blocks, so that memory is bounded
-        part = (frames[a : a + MOST_FRAMES].astype(np.float32) - 128) * _WINDOW
-        spectrum = np.fft.rfft(part, axis=1)[:, 2:]
-        strength = spectrum.real**2 + spectrum.imag**2
-        at = strength.argmax(axis=1)
-        best[a : a + len(at)] = at + 2
-        power[a + 1 : a + 1 + len(at)] = np.round(np.log1p(strength[np.arange(len(at)), at]), 3)
-    time = np.flatnonzero((power[1:-1] >= power[:-2]) & (power[1:-1] >= power[2:]))
-    return time, best[time]
+    time, bins = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for a in range(0, n, MOST_FRAMES):  # long inputs in blocks with a frame more on both sides, so that memory is bounded
+        b = min(a + MOST_FRAMES, n)
+        lo, hi = max(a - 1, 0), min(b + 1, n)
+        part = (frames[lo:hi].astype(np.float32) - 128) * _WINDOW
+        spectrum = np.fft.rfft(part, axis=1)
+        s = np.round(np.log1p(spectrum.real**2 + spectrum.imag**2), 3)
+        s = np.pad(s, ((lo == a, hi == b), (0, 0)), constant_values=-1)
+        own = s[1:-1, 2:-1]
+        peak = (own > s[1:-1, 1:-2]) & (own > s[1:-1, 3:]) & (own >= s[:-2, 2:-1]) & (own >= s[2:, 2:-1])
+        peak &= 2 * own >= own.max(axis=1, keepdims=True)
+        level = np.where(peak, own, -1)
+        best = np.argsort(-level, axis=1, kind="stable")[:, :PER_FRAME]
+        best.sort(axis=1)
+        at, k = np.nonzero(np.take_along_axis(level, best, 1) >= 0)
+        time.append(a + at)
+        bins.append(best[at, k] + 2)
+    return np.concatenate(time), np.concatenate(bins)
 
 
 def fingerprint(samples: np.ndarray) -> np.ndarray:
-    """Pairs of a peak and each of the next FAN_OUT: time << 24 | bin << 16 | next bin << 8 | distance (255 at most)."""
-    time, best = spectral_peaks(samples)
-    codes = []
+    """Time-coded pairs of a peak and each of the next FAN_OUT within ZONE frames, ascending: time << 32 | bin << 24 |
+    next bin << 16 | distance. A single peak gives its time and bin, none an empty array."""
+    time, bins = spectral_peaks(samples)
+    codes = [np.empty(0, np.int64)]
     for k in range(1, FAN_OUT + 1):
-        gap = np.minimum(time[k:] - time[:-k], 255)
-        codes.append(time[:-k] << 24 | best[:-k] << 16 | best[k:] << 8 | gap)
-    return np.sort(np.concatenate(codes)) if len(time) > 1 else time << 24 | best << 16
+        gap = time[k:] - time[:-k]
+        code = time[:-k] << 32 | bins[:-k] << 24 | bins[k:] << 16 | gap
+        codes.append(code[gap < ZONE])
+    return np.sort(np.concatenate(codes)) if len(time) > 1 else time << 32 | bins << 24
 
 
 def _stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,7 +110,10 @@ def store_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def audio_features(media: DataFrame) -> DataFrame:
-    """What is read back from each stored WAV: payload digests and the time-coded fingerprint array."""
+    """What is read back from each stored WAV: payload digests and the time-coded fingerprint array.
+
+    Rows are those of store_audio: a null id stays null, repeated rows give repeated rows, an empty table gives none.
+    """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, fingerprint array<long>"
     held = media.withColumn("doc_id", held_id("doc_id"))
     return held.mapInPandas(_featured, schema).withColumn("doc_id", given_id())
@@ -109,4 +122,4 @@ def audio_features(media: DataFrame) -> DataFrame:
 def op9_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = audio_features(store_audio(read_table(spark, sf_dir, "documents")))
     feature = F.concat_ws("-", F.size("fingerprint"), F.md5(F.array_join(F.col("fingerprint").cast("array<string>"), ",")))
-    return found.withColumn("feature", feature).drop("fingerprint")
+    return found.withColumn("feature", feature)

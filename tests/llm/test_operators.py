@@ -620,13 +620,50 @@ def test_fingerprints_see_tones():
     t = np.arange(4000)
     tone = lambda f: (128 + 60 * np.sin(2 * np.pi * f * t / 8000) * (1 + 0.3 * np.sin(t / 300))).astype(np.uint8)
     low, high = media.fingerprint(tone(500)), media.fingerprint(tone(2000))
-    assert set((low >> 16 & 255).tolist()) == {12} and set((high >> 16 & 255).tolist()) == {48}
+    assert set((low >> 24 & 255).tolist()) == {12} and set((high >> 24 & 255).tolist()) == {48}
     assert len(media.fingerprint(np.full(192, 32, np.uint8))) <= 1
 
 
+def plain_fingerprint(samples):
+    """Loops over frames and bins; the transform is the definition's sum."""
+    n, k = max(0, (len(samples) - 192) // 96 + 1), np.arange(97)[:, None] * np.arange(192)[None, :]
+    turn, window, peaks = np.exp(-2j * np.pi * k / 192), 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(192) / 191), []
+    s = [np.round(np.log1p(np.abs(turn @ ((samples[96 * f : 96 * f + 192].astype(float) - 128) * window)) ** 2), 3) for f in range(n)]
+    for f in range(n):
+        near = [s[g] for g in (f - 1, f + 1) if 0 <= g < n]
+        found = [(-s[f][b], b) for b in range(2, 96) if s[f][b] > s[f][b - 1] and s[f][b] > s[f][b + 1] and all(s[f][b] >= x[b] for x in near) and 2 * s[f][b] >= s[f][2:96].max()]
+        peaks += [(f, b) for b in sorted(b for _, b in sorted(found)[:3])]
+    if len(peaks) < 2:
+        return [f << 32 | b << 24 for f, b in peaks]
+    return sorted(f << 32 | a << 24 | b << 16 | g - f for i, (f, a) in enumerate(peaks) for g, b in peaks[i + 1 : i + 4] if g - f < 65536)
+
+
+def test_fingerprints_are_those_of_brute_force(monkeypatch):
+    monkeypatch.setattr(media, "MOST_FRAMES", 7)
+    for k, t in enumerate(["", "x", *texts(15, 12, size=(40, 400))]):
+        data = t.encode()
+        samples = np.frombuffer(data + b" " * (-len(data) % 192 if data else 192), np.uint8)
+        got, want = set(media.fingerprint(samples).tolist()), set(plain_fingerprint(samples))
+        # the two transforms round differently now and then
+        assert len(got ^ want) <= 0.02 * len(want), k
+        assert len(want) > 20 or k < 2
+
+
 # --- 10
 
 
+def test_kernel_is_that_of_whole_n_grams():
+    given = texts(16, 40, size=(3, 60))
+    grams = [{x[i : i + n] for x in [f" {t.lower()} "] for n in (1, 2, 3) for i in range(len(x) - n + 1)} for t in given]
+    bits = np.stack([langid.presence(t) for t in given])
+    exact = np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in grams] for a in grams])
+    assert np.abs(langid.kernel(bits, bits) - exact).max() < 0.03
+
+
+def test_marks_alone_are_no_letters():
+    assert langid.presence("\u0301\u0302 1") is None and langid.presence("\u0301a") is not None
+
+
 def test_languages(make, hard, empty):
     sample = {"en": "the house and the garden were that for with her", "de": "das haus und der garten waren für mit ihr nicht", "fr": "la maison et le jardin étaient pour avec elle que"}
     rng = random.Random(13)

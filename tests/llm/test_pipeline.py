@@ -7,11 +7,12 @@ from pathlib import Path
 
 import duckdb
 import pytest
+import xxhash
 
 import corpus_pipeline
-from folio.llm import near_dedup, quality
+from folio.llm import near_dedup, pii, quality, sp_dropout
 from folio.llm.registry import ORACLE, QUERIES
-from tests.llm.test_operators import components, texts
+from tests.llm.test_operators import components, plain_bootstrap, texts
 from tests.test_queries import rows
 
 DATA = "/root/testdata/sf0.001"
@@ -64,6 +65,37 @@ def test_every_stage_works_on_what_was_kept(spark):
     assert ids.count() == mixed.count() and ids.columns == ["doc_id", "ids"]
 
 
+def plain_pieces(model, text, doc_id, copy):
+    return tuple(model.encode(text, doc_id, xxhash.xxh64(text.encode(), seed=42).intdigest() - 2**64 * (xxhash.xxh64(text.encode(), seed=42).intdigest() >> 63), copy).tolist())
+
+
+@needs_data
+def test_run_gives_the_rows_of_brute_force(spark, duck):
+    """Quality and mixing from SQL, groups, spans and pieces from plain Python."""
+    rows = {r[0]: r for r in duck.sql("SELECT doc_id, text, lang, source FROM documents").fetchall()}
+    kept = [i for i, ok in duck.sql(f"SELECT doc_id, kept FROM ({ORACLE['op7_adaptive_quality']})").fetchall() if ok]
+    group = components([(i, rows[i][1]) for i in sorted(kept)])
+    scans = {i: (base := pii.base_spans(rows[i][1]), pii.candidates(rows[i][1], base)) for i in kept if group[i] == i}
+    accepted = plain_bootstrap([(p, c["i"], c["k"]) for _, found in scans.values() for c in found for p in c["p"]])
+    masked = []
+    for i, (base, found) in scans.items():
+        spans = [{"k": k, "s": s, "e": e} for k, s, e in base]
+        for c in found:
+            best = max(((x, k) for p in c["p"] for k in range(4) if (x := accepted.get((p, k)))), default=None) if c["k"] < 0 else None
+            spans += [{"k": best[1], "s": c["s"], "e": c["e"]}] if best else []
+        text = rows[i][1]
+        for x in sorted(spans, key=lambda x: -x["s"]):
+            text = text[: x["s"]] + f"[{pii.KINDS[x['k']].upper()}]" + text[x["e"] :]
+        masked.append((i, text, rows[i][3]))
+    mix = duckdb.connect()
+    mix.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    mix.executemany("INSERT INTO documents VALUES (?, ?, ?)", masked)
+    times = {i: (2 * taken + size) // (2 * size) for i, size, taken in mix.sql(f"SELECT doc_id, size, taken FROM ({ORACLE['op6_golden_mix']}) WHERE size > 0").fetchall()}
+    model = sp_dropout.Model(sp_dropout.default_model())
+    want = sorted((i, plain_pieces(model, text, i, copy)) for i, text, _ in masked for copy in range(times.get(i, 0)))
+    assert sorted((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, DATA).collect()) == want
+
+
 def test_pipeline_of_hard_rows(spark, hard, empty):
     for docs in (hard, empty):
         for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -15,6 +15,7 @@ from folio.plans.site import SitePlan
 from folio.session import local_session, ship
 from folio.sources import config
 from folio.sources.urls import parse_skip_list, read_lines
+from folio.storage import materialize
 
 VERSION = "0.1.0"
 FETCHED = "url string, final_url string, html string, status_code int, error string"
@@ -55,7 +56,8 @@ def read_fetched(spark: SparkSession, path: str) -> DataFrame:
 def extract(spark: SparkSession, settings: config.Settings, fetched: DataFrame) -> DataFrame:
     """Write the site's documents; gives the run's outcome counts."""
     plan = SitePlan(settings)
-    rows = fetched.withColumn("pos", F.monotonically_increasing_id())
+    # written down once: the numbers are used twice, and another scan may number rows otherwise
+    rows = materialize(fetched.withColumn("pos", F.monotonically_increasing_id()), "fetched")
     skip = parse_skip_list(read_lines(spark, settings.skip_urls)) if settings.skip_urls else None
     results = plan.plan(rows.join(plan.discover(rows.select("pos", "url"), skip).select("pos"), "pos", "left_semi")).cache()
     pages = documents.ordered(results.where("status = 'done'").select("url", "title", "markdown", "api_version"))

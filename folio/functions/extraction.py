@@ -63,7 +63,7 @@ class Extractor:
         description, method = None, "css_selector"
         node = self._selected(root)
         size = len(node.text(" ", strip=True)) if node else 0
-        if not node or not size or size < min(self.least, 100):
+        if not node or not size or size < self.least:
             for method, way in (("trafilatura", by_density), ("readability", by_paragraphs)):
                 node = way(self._allowed(_copy(root)))
                 if node is not None:

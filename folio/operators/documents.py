@@ -8,6 +8,7 @@ file, for those who need one file.
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -15,12 +16,32 @@ from pyspark.sql import functions as F
 
 from folio.functions import text, urls
 from folio.operators.links import rewrite_links
+from folio.storage import materialize
 
 
 def ordered(pages: DataFrame, by: str = "url") -> DataFrame:
-    """Adds pos, 1 for the first URL of a site by code point; `site` is the column that tells sites apart, if any."""
-    keys = ["site"] if "site" in pages.columns else []
-    return pages.withColumn("pos", F.row_number().over(W.partitionBy(*keys).orderBy(by)))
+    """Adds pos, 1 for the first URL of a site by code point; `site` is the column that tells sites apart, if any.
+
+    URLs alone are ranked, without bodies: range-partitioned, counted by partition and numbered within it. A page gets
+    its URL's rank by an equi-join; pages with the same URL follow each other in any order.
+    """
+    keys = ["site", by] if "site" in pages.columns else [by]
+    counted = pages.groupBy(*keys).agg(F.count("*").alias("_n"))
+    ranged = materialize(counted.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "url-ranges")
+    # one number a partition
+    parts = ranged.groupBy("_part").agg(F.sum("_n").alias("_n")).agg(F.sort_array(F.collect_list(F.struct("_part", "_n"))).alias("_parts"))
+    parts = parts.select(F.posexplode("_parts").alias("_at", "_p"), "_parts")
+    offsets = parts.select(F.col("_p._part").alias("_part"), F.expr("aggregate(slice(_parts, 1, _at), 0L, (s, x) -> s + x._n)").alias("_offset"))
+    upto = W.partitionBy("_part").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+    placed = ranged.join(F.broadcast(offsets), "_part").withColumn("_first", F.col("_offset") + F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    if len(keys) > 1:
+        placed = placed.join(placed.groupBy("site").agg(F.min("_first").alias("_site_first")), "site").withColumn("_first", F.col("_first") - F.col("_site_first"))
+    placed = placed.select(*[F.col(k).alias(f"_{k}") for k in keys], "_first", "_n")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    joined = pages.join(placed, same)
+    # only pages that share a URL have to be numbered among themselves
+    own = F.when(F.col("_n") > 1, F.row_number().over(W.partitionBy(*keys).orderBy(by))).otherwise(F.lit(1))
+    return joined.withColumn("pos", (F.col("_first") + own).cast("int")).drop("_first", "_n", *[f"_{k}" for k in keys])
 
 
 def _title(page: DataFrame) -> Column:
@@ -115,7 +136,8 @@ def write_files(files: DataFrame, folder: str) -> None:
 
     Bodies go from executors to files; none passes through the driver.
     """
-    last = files.groupBy("path").agg(F.max_by("body", "pos").alias("body"))
+    last = files.groupBy("path").agg(F.max("pos").alias("pos"))
+    last = files.join(last, ["path", "pos"]).select("path", "body")
 
     def write(rows) -> None:
         from pathlib import Path

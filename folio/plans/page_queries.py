@@ -50,14 +50,14 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, u, b = F.col("title"), F.col("url"), F.col("body")
     n = F.col("page_id")
     parts = [
-        F.lit("# "), t, F.lit("\n\n\n\n​"), t, F.lit("\n[ ]("), u, F.lit(") [  "), F.left(b, F.lit(30)), F.lit("]("), u, F.lit(")word   x\n##\n\n"), F.left(b, n % 900),
+        F.lit("# "), t, F.lit("\n\n\n\n​"), t, F.lit("\n[ ]("), u, F.lit(") [  "), F.left(b, F.lit(30)), F.lit("]("), u, F.lit(")word   x\n##\n\n"), b,
         F.lit("\n# "), t, F.lit("\n# Other \U0001f4c1\n"), F.repeat(F.concat(F.lit("- ["), t, F.lit("]("), u, F.lit(")\n")), (n % 9).cast("int")), F.lit("---\n    four  spaces\n"),
         F.when(n % 5 == 0, F.lit("see /api/v3/users\n")).otherwise(""), F.when(n % 11 == 0, F.lit("Please sign in")).otherwise(""),
     ]
     return with_text(spark, sf_dir).withColumn("draft", F.concat(*parts))
 
 
-_DRAFTS = f"""{_TEXT}, drafts AS (SELECT *, '# ' || title || chr(10) || chr(10) || chr(10) || chr(10) || chr(8203) || title || chr(10) || '[ ](' || url || ') [  ' || left(body, 30) || '](' || url || ')word   x' || chr(10) || '##' || chr(10) || chr(10) || left(body, page_id % 900)
+_DRAFTS = f"""{_TEXT}, drafts AS (SELECT *, '# ' || title || chr(10) || chr(10) || chr(10) || chr(10) || chr(8203) || title || chr(10) || '[ ](' || url || ') [  ' || left(body, 30) || '](' || url || ')word   x' || chr(10) || '##' || chr(10) || chr(10) || body
   || chr(10) || '# ' || title || chr(10) || '# Other ' || chr(128193) || chr(10) || repeat('- [' || title || '](' || url || ')' || chr(10), page_id % 9) || '---' || chr(10) || '    four  spaces' || chr(10)
   || CASE WHEN page_id % 5 = 0 THEN 'see /api/v3/users' || chr(10) ELSE '' END || CASE WHEN page_id % 11 = 0 THEN 'Please sign in' ELSE '' END AS draft FROM texts)"""
 
@@ -82,13 +82,21 @@ def _any(x: str, options: list[str]) -> str:
     return "(" + " OR ".join(f"contains({x}, {S.quoted(o)})" for o in options) + ")"
 
 
+def _notice() -> Column:
+    """What a page behind a login might say, of lengths around the gate's; every third has none of its phrases."""
+    said = F.element_at(F.array(*map(F.lit, _SAID)), (F.col("page_id") % 3 + 1).cast("int"))
+    return F.concat(F.repeat(F.concat("title", F.lit(" ")), (F.col("page_id") % 23).cast("int")), said)
+
+
+_SAID = ["Please Sign In", "members: LOGIN REQUIRED", "welcome back"]
+_NOTICE = "repeat(title || ' ', page_id % 23) || CASE page_id % 3 WHEN 0 THEN 'Please Sign In' WHEN 1 THEN 'members: LOGIN REQUIRED' ELSE 'welcome back' END"
 _LOW = f"lower({_HTML})"
 _SCALARS: dict[str, tuple[Callable[[], Column], str]] = {
     "page_title": (lambda: F.col("title"), "title"),
     "article_text": (lambda: F.col("body"), "body"),
     "page_title_clean": (lambda: text.clean_title(F.concat("title", F.lit(" - part | "), "title")), S.clean_title("title || ' - part | ' || title")),
     "anchor": (lambda: text.anchor(F.col("title")), S.anchor("title")),
-    "login_gate": (lambda: text.is_login_gate(F.right("draft", F.lit(530) - F.col("page_id") % 60)), f"length(right(draft, 530 - page_id % 60)) < {C.LOGIN_LENGTH} AND {_any('lower(right(draft, 530 - page_id % 60))', C.LOGIN_PHRASES)}"),
+    "login_gate": (lambda: text.is_login_gate(_notice()), f"length({_NOTICE}) < {C.LOGIN_LENGTH} AND {_any(f'lower({_NOTICE})', C.LOGIN_PHRASES)}"),
     "category_page": (lambda: text.is_category_page(F.col("draft")), f"len({_LINES}) > 0 AND len({_LINKS}) / len({_LINES}) > 0.7"),
     "api_version": (
         lambda: text.api_version(F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat("url", F.lit("/api/"), (F.col("page_id") % 4).cast("string"), F.lit(".1/x"))), F.col("draft")),

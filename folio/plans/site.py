@@ -38,7 +38,7 @@ class SitePlan:
         """
         ok = F.col("status_code").between(200, 399) & (F.coalesce("error", F.lit("")) == "")
         good = fetched.withColumn("requested", F.col("url")).withColumn("url", F.coalesce(F.when(F.col("final_url") != "", F.col("final_url")), F.col("url")))
-        done = P.page_status(P.format_pages(P.extract_pages(good.where(ok), self.extractor(detected))))
+        done = P.page_status(P.format_pages(P.extract_pages(P.spread(good.where(ok)), self.extractor(detected))))
         message = F.coalesce(F.when(F.col("error") != "", F.col("error")), F.concat(F.lit("HTTP "), F.col("status_code").cast("string")))
         failed = good.where(~F.coalesce(ok, F.lit(False))).withColumns({"status": F.lit("error"), "reason": text.error_category(F.col("status_code"), message, F.lit("fetch"))})
         return done.unionByName(failed, allowMissingColumns=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from urllib.parse import urlsplit
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,13 +37,13 @@ def fallback_sitemaps(base_url: str) -> list[str]:
 
 
 def first_readable(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, xml) of the first path that can be read; none of them gives no rows."""
+    """(path, xml) of the first path that is there; none of them gives no rows. Other errors of the store are raised."""
     for path in paths:
         try:
             found = spark.read.text(path, wholetext=True).select(F.lit(path).alias("path"), F.col("value").alias("xml"))
             found.head(1)
             return found
-        except Exception:  # noqa: BLE001, S112  whatever the store says of a path it can't read
+        except AnalysisException:  # not there, or in a store that this session has no file system for
             continue
     return spark.createDataFrame([], "path string, xml string")
 

@@ -5,20 +5,20 @@ An event is a page: its type says how the page ended, its value the seconds it t
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import constants as C
-from folio.functions import text
-from folio.functions.openapi import fields_table as fields_table_text
-from folio.functions.openapi import oauth_lines
+from folio.functions import openapi, text
+from folio.operators import pages as P
 from folio.operators import patterns, summary
 from folio.plans import sql as S
 from folio.plans.page_queries import with_text
 from folio.plans.url_queries import ROWS as _ROWS
-from folio.plans.url_queries import url_rows
+from folio.plans.url_queries import read_pages, url_rows
 from folio.sources import urls as sources
 
 _TIMINGS = f"""timings AS (SELECT event_id AS pos, 'http://h.example/' || event_type || '/' || user_id AS url, ts, user_id,
@@ -230,18 +230,74 @@ def list_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.select("name", "requires_js", F.size("content_selectors").cast("long").alias("content"), F.size("remove_selectors").cast("long").alias("remove"), "wait_time_ms")
 
 
-_FIELDS = [{"name": "id", "type": "integer", "required": True, "description": "The a|b id", "example": None}, {"name": "tag", "type": "", "required": False, "description": "", "example": "x|y"}]
+_PIPED = "replace(p_name, ' ', '|')"
 
 
 @_query(
-    "SELECT * FROM (VALUES (1, '| Field | Type | Description |' || chr(10) || '|-------|------|-------------|' || chr(10) || '| `id` | integer | The a\\|b id **(required)** |'), "
-    "(2, '| Field | Type | Description | Example |' || chr(10) || '|-------|------|-------------|---------|' || chr(10) || '| `id` | integer | The a\\|b id **(required)** |  |' || chr(10) || '| `tag` |  |  | `x\\|y` |')) t(n, markdown)"
+    f"""WITH f AS (SELECT p_partkey, p_partkey % 4 AS n, p_size % 2 = 0 AS shown, p_size, '| `' || p_partkey || '` | ' || p_brand || ' | ' || replace({_PIPED}, '|', '\\|') || CASE WHEN p_size > 25 THEN ' **(required)**' ELSE '' END || ' |' AS one,
+  '| `size` |  |  |' AS two, '| `kind` | string | ' || p_type || ' |' AS three FROM part)
+SELECT p_partkey, CASE WHEN n = 0 THEN '' ELSE '| Field | Type | Description |' || CASE WHEN shown AND n > 1 THEN ' Example |' ELSE '' END || chr(10) || '|-------|------|-------------|' || CASE WHEN shown AND n > 1 THEN '---------|' ELSE '' END
+  || chr(10) || one || CASE WHEN shown AND n > 1 THEN '  |' ELSE '' END || CASE WHEN n > 1 THEN chr(10) || two || CASE WHEN shown THEN ' `' || p_size || '\\|' || n || '` |' ELSE '' END ELSE '' END
+  || CASE WHEN n > 2 THEN chr(10) || three || CASE WHEN shown THEN '  |' ELSE '' END ELSE '' END END AS markdown FROM f"""
 )
 def fields_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n, fields_table_text(_FIELDS[:n])) for n in (1, 2)], "n int, markdown string")
+    """Up to three fields of each part; every other part has an example."""
+    part, n = spark.read.parquet(f"{sf_dir}/part.parquet"), F.col("p_partkey") % 4
+    field = lambda *x: F.struct(*[c.alias(k) for c, k in zip(x, ("name", "type", "required", "description", "example"), strict=True)])
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    fields = F.array(
+        field(F.col("p_partkey").cast("string"), F.col("p_brand"), F.col("p_size") > 25, F.expr(_PIPED), none),
+        field(F.lit("size"), F.lit(""), no, F.lit(""), F.when(F.col("p_size") % 2 == 0, F.concat(F.col("p_size").cast("string"), F.lit("|"), n.cast("string")))),
+        field(F.lit("kind"), F.lit("string"), no, F.col("p_type"), none),
+    )
+    return part.select("p_partkey", openapi.fields_table_of(F.slice(fields, F.lit(1), n.cast("int"))).alias("markdown"))
 
 
-@_query("SELECT * FROM (VALUES ('- **Authorization URL:** http://h/a'), ('- **Token URL:** http://h/t')) t(line)")
+@_query(
+    """SELECT page_id, unnest(list_filter(['- **Authorization URL:** ' || CASE WHEN page_id % 3 > 0 THEN url || '/auth' END, '- **Token URL:** ' || CASE WHEN page_id % 2 = 0 THEN url END,
+  '- **Token URL:** ' || CASE WHEN page_id % 5 = 0 THEN 'http://other/' || page_id END], lambda x: x IS NOT NULL)) AS line FROM pages WHERE page_id % 7 > 0"""
+)
 def oauth_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flows = '{"authorizationCode": {"authorizationUrl": "http://h/a", "tokenUrl": "http://h/t"}, "scopes": []}'
-    return spark.createDataFrame([(x,) for x in oauth_lines(flows)], "line string")
+    """Two flows for each page, with some of their URLs; every seventh text is no JSON."""
+    n, none = F.col("page_id"), F.lit(None).cast("string")
+    own = F.struct(F.when(n % 3 > 0, F.concat("url", F.lit("/auth"))).otherwise(none).alias("authorizationUrl"), F.when(n % 2 == 0, F.col("url")).alias("tokenUrl"), F.lit("x").alias("scope"))
+    other = F.struct(F.when(n % 5 == 0, F.concat(F.lit("http://other/"), n.cast("string"))).alias("tokenUrl"))
+    flows = F.when(n % 7 > 0, F.to_json(F.struct(own.alias("authorizationCode"), other.alias("password")))).otherwise("flows: none")
+    return read_pages(spark, sf_dir).select("page_id", F.explode(openapi.oauth_lines_of(flows)).alias("line"))
+
+
+def _templated(part: DataFrame, template: str) -> Column:
+    """The template with each $column of the table in its place; $$ is a line end."""
+    pieces = re.split(r"(\$\w+|\$\$)", template)
+    return F.concat(*[F.lit("\n") if x == "$$" else F.col(x[1:]).cast("string") if x[:1] == "$" else F.lit(x) for x in pieces if x])
+
+
+def _templated_sql(template: str) -> str:
+    pieces = re.split(r"(\$\w+|\$\$)", template)
+    return " || ".join("chr(10)" if x == "$$" else x[1:] if x[:1] == "$" else S.quoted(x) for x in pieces if x)
+
+
+_PAGE = """<h2>Part $p_partkey</h2><script>no()</script><p>Of <b>$p_brand</b>, <i>kind</i> <a href="/t/$p_size">$p_type</a>.</p><ul><li>size $p_size<li>last</ul><ol><li>one<li>two</ol><blockquote><p>said</p></blockquote>
+<pre><code class="language-python">x = $p_size$$y = 2</code></pre><p>run <code>go $p_partkey</code></p><table><tr><th>key<th>size</tr><tr><td>$p_partkey<td>$p_size|<ul><li>x<li>y</ul></tr><tr><td>a|b<td>c</tr></table><svg><title>no</title></svg><img src="i$p_size.png" alt="$p_brand"><a href="/c"><h3>Card $p_size</h3><p>about</p></a>"""
+_MARKDOWN = """## Part $p_partkey$$$$Of **$p_brand**, *kind* [$p_type](/t/$p_size).$$$$- size $p_size$$- last$$$$1. one$$2. two$$$$> said$$$$```python$$x = $p_size$$y = 2$$```$$$$run `go $p_partkey`$$$$| key | size |$$| --- | --- |$$| $p_partkey | - x<br>- y |$$| a\\|b | c |$$$$![$p_brand](i$p_size.png)$$- **[Card $p_size](/c)** - about"""
+_API_PAGE = """<h1 class="openapi__heading">Get $p_partkey</h1><pre class="openapi__method-endpoint"><span class="badge">get</span><h2>/parts/$p_partkey</h2></pre><p>Gives one $p_brand.</p><p>short</p>
+<details class="openapi-markdown__details response"><summary>Schema</summary><ul><li class="openapi-schema__list-item"><strong class="openapi-schema__property">size</strong><span class="openapi-schema__name">integer</span><span class="openapi-schema__required">required</span><p>about $p_size|</p></li>
+<li class="openapi-schema__list-item"><strong class="openapi-schema__property">box$p_size</strong><p>Holds</p><ul><li class="openapi-schema__list-item"><strong class="openapi-schema__property">in</strong><p>$p_type</p><strong>Example:</strong> <code>$p_size</code></li></ul></li></ul></details>
+<div role="tabpanel"><div class="openapi-schema__list-item"><strong class="openapi-schema__property">other$p_partkey</strong></div></div>
+<div class="openapi-security__details"><div class="openapi-security__summary-header">Auth: $p_brand</div><pre><span><strong>name:</strong> key$p_size</span></pre></div><div class="openapi-tabs__code-container"><div data-tab-label="requests"><code>get($p_partkey)</code></div></div>"""
+_API_MARKDOWN = """# Get $p_partkey$$$$**GET** `/parts/$p_partkey`$$$$Gives one $p_brand.$$$$## Response Schema$$$$| Field | Type | Description | Example |$$|-------|------|-------------|---------|$$| `size` | integer | about $p_size\\| **(required)** |  |$$| `box$p_size` | object | Holds | `$p_size` |$$$$### box$p_size object$$$$| Field | Type | Description | Example |$$|-------|------|-------------|---------|$$| `in` |  | $p_type | `$p_size` |$$$$## Response Schema$$$$| Field | Type | Description |$$|-------|------|-------------|$$| `other$p_partkey` |  |  |$$$$## Authorization$$$$**Auth: $p_brand**$$$$- **name:** key$p_size$$$$## Example$$$$```python$$get($p_partkey)$$```$$$$"""
+
+
+@_query(f"SELECT p_partkey, {_templated_sql(_MARKDOWN)} AS markdown FROM part")
+def markdown_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of each part with one of every element that has a rule of its own."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return P.spread(part.select("p_partkey", _templated(part, _PAGE).alias("html"))).select("p_partkey", P.markdown_of("html").alias("markdown"))
+
+
+@_query(f"SELECT p_partkey, 'Get ' || p_partkey AS title, {_templated_sql(_API_MARKDOWN)} AS markdown FROM part")
+def openapi_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An API page of each part: endpoint, sections, an object, a panel, authorization and a captured tab."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    found = P.spread(part.select("p_partkey", _templated(part, _API_PAGE).alias("html"))).select("p_partkey", P.openapi_of("html").alias("s"))
+    return found.select("p_partkey", "s.title", "s.markdown")

@@ -81,6 +81,15 @@ def test_extraction_falls_back_and_gates():
     assert short["method"] == "beautifulsoup" and short["text"] == "" and short["node"].html() == ""
 
 
+def test_selected_content_needs_the_configured_length():
+    """An article over 100 characters but under the least length gives way to the next method."""
+    rest = "".join(f"<p>{LONG}{k}</p>" for k in range(6))
+    page = f"<body><article><p>{LONG[:150].ljust(150, 'x')}</p></article><div>{rest}</div></body>"
+    assert Extractor().extract(page)["method"] == "css_selector"
+    found = Extractor(least=400).extract(page)
+    assert found["method"] == "trafilatura" and len(found["text"]) >= 400
+
+
 def test_switches():
     page = f"<body><p>{LONG}<a href=x>l</a><table><tr><td>cell</table>{LONG}</p></body>"
     found = Extractor(include_tables=False, include_links=False).extract(page)

@@ -113,8 +113,13 @@ def markdown_path(path: str) -> str:
 
 
 def write_single(blocks: DataFrame, path: str, *order: str) -> str:
+    """One Markdown file of the ordered blocks."""
+    return write_file(blocks, markdown_path(path), *order)
+
+
+def write_file(blocks: DataFrame, target: str, *order: str) -> str:
     """One file of the ordered blocks: Spark writes the parts, which are then appended one to another."""
-    spark, target = blocks.sparkSession, markdown_path(path)
+    spark = blocks.sparkSession
     parts = f"{target}.parts"
     write_blocks(blocks, parts, *order)
     jvm, place, fs = _hadoop(spark, parts)
@@ -162,6 +167,17 @@ def failed_urls(results: DataFrame) -> DataFrame:
     return results.where("status = 'error'").select("url")
 
 
+def write_failed(results: DataFrame, output: str, at: datetime) -> str | None:
+    """The failed URLs beside the output, under two comment lines; no file if none failed. It can serve as a skip list."""
+    failed = failed_urls(results)
+    if failed.isEmpty():
+        return None
+    head = [(0, "# Failed URLs of this run"), (1, f"# {at.isoformat()}")]
+    lines = results.sparkSession.createDataFrame(head, "pos int, block string").unionByName(failed.select(F.lit(2).alias("pos"), F.col("url").alias("block")))
+    folder = output.rpartition("/")[0] or "."
+    return write_file(lines, f"{folder}/.failed-urls.txt", "pos", "block")
+
+
 def output_size(spark: SparkSession, folder: str) -> tuple[int, int]:
     """Markdown files right in the folder, and their bytes."""
     jvm, place, fs = _hadoop(spark, f"{folder}/*.md")

@@ -2,7 +2,7 @@
 
 Fetching itself is an ingest connector: `pages` is registered as a Python data source whose partitions are batches of
 URLs, as many as may be in flight at once. Here it reads files that a fetcher left (one JSON object per line with url,
-final_url, status_code, html, error, retry_after); a network fetcher implements `Fetcher.fetch` instead.
+final_url, status_code, html, error, retry_after).
 """
 
 from __future__ import annotations

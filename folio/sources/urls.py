@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import text, urls
+from folio.storage import shared_path
 
 #: Where a site's sitemap may be
 SITEMAP_PATHS = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap/"]
@@ -61,14 +62,15 @@ def parse_skip_list(lines: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, line) of a text file, in file order."""
+    """(pos, line) of a text file, in file order. Spark's readers pass over names that begin with a dot or an underscore,
+    as the list of failed URLs does; such a file is read from a copy in the shared folder."""
+    if path.rsplit("/", 1)[-1].startswith((".", "_")):
+        path = _plainly_named(spark, path)
     return spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
 
 
-def discoverer(mode: str) -> str:
-    """The function that serves a discovery mode."""
-    known = {"sitemap": "parse_sitemaps", "crawl": "crawl", "manual": "parse_list"}
-    if mode not in known:
-        raise ValueError(f"unknown discovery mode: {mode}")
-    return known[mode]
-
+def _plainly_named(spark: SparkSession, path: str) -> str:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(shared_path(spark, "lines"))
+    jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf)
+    return target.toString()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text, urls
 from folio.operators import documents, links, summary, urlset
-from folio.sources import config, fetch
+from folio.sources import config, fetch, http
 from folio.sources import urls as sources
 
 URLS = [
@@ -131,7 +131,7 @@ def test_lists_and_sitemap_fallback(spark, tmp_path):
     assert [r.url for r in sources.parse_sitemaps(docs).collect()] == ["http://h/z"]
     assert sources.fallback_sitemaps("https://h:1/x")[0] == "https://h:1/sitemap.xml"
     with pytest.raises(ValueError, match="unknown"):
-        sources.discoverer("rss")
+        http.discoverer("rss")
 
 
 def test_settings_round_trip(tmp_path):

@@ -1,4 +1,4 @@
-"""python -m folio extract URL [--fetched PAGES] ... | list-patterns | --version"""
+"""python -m folio extract URL [--fetched PAGES] ... | probe URL | list-patterns | --version"""
 
 from __future__ import annotations
 
@@ -26,6 +26,7 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("-V", "--version", action="version", version=VERSION)
     commands = out.add_subparsers(dest="command", required=True)
     commands.add_parser("list-patterns")
+    commands.add_parser("probe").add_argument("url")
     run = commands.add_parser("extract")
     run.add_argument("url")
     run.add_argument("--fetched", help="JSON lines or Parquet of fetched pages; without them pages are discovered and fetched")
@@ -112,6 +113,11 @@ def main(argv: list[str] | None = None) -> None:
         return
     spark = SparkSession.getActiveSession() or local_session()
     ship(spark)
+    if args.command == "probe":
+        settings = config.Settings(args.url)
+        found = http.probe(spark, args.url, http.fetcher(settings)).select("final_url", "length", "trailing_slash", "pattern", "needs_js").first()
+        print(*[f"{k}: {v}" for k, v in found.asDict().items()], sep="\n")
+        return
     settings = settings_of(args)
     print(*extract(spark, settings, read_fetched(spark, args.fetched) if args.fetched else fetch_site(spark, settings)), sep="\n")
 

@@ -75,6 +75,27 @@ def _answered() -> Column:
     return F.col("status_code").between(200, 299) & (F.coalesce("error", F.lit("")) == "")
 
 
+def probe(spark: SparkSession, base_url: str, fetch: Fetch) -> DataFrame:
+    """The base URL's fetched page, one row, with its length, whether its final URL ends in a slash, the site's
+    framework and whether it seems to need a browser. A page that fails is an error."""
+    page = materialize(fetch(spark.createDataFrame([(base_url,)], "url string")), "probe")
+    row = page.select("status_code", "error").first()
+    if row.error or not 200 <= row.status_code < 400:
+        raise RuntimeError(f"{base_url}: {row.error or f'HTTP {row.status_code}'}")
+    about = {"length": F.length("html"), "trailing_slash": F.col("final_url").endswith("/"), "pattern": text.pattern_name(F.col("final_url"), F.col("html"))}
+    return page.withColumns({**about, "needs_js": text.needs_js(F.col("html"))})
+
+
+def reusing(fetch: Fetch, probed: DataFrame) -> Fetch:
+    """A fetch that takes the probe's page as it is where it is asked for."""
+    pages = probed.select(*[c.split()[0] for c in SCHEMA.split(", ")])
+
+    def run(found: DataFrame) -> DataFrame:
+        return fetch(found.join(pages.select("url"), "url", "left_anti")).unionByName(pages.join(found.select("url"), "url", "left_semi"))
+
+    return run
+
+
 def sitemap_tree(spark: SparkSession, base_url: str, fetch: Fetch, deepest: int = DEEPEST_SITEMAP) -> DataFrame:
     """(url, title, priority, depth, pos) of all pages in a site's sitemaps: those that robots.txt names, else those
     at the usual places, and what indexes lead to, level by level, each document once.

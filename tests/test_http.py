@@ -99,6 +99,24 @@ def test_crawl_live(spark, site):
     assert [(r.url[len(site) :], r.depth) for r in rows] == [("/docs", 0), ("/docs/a", 1), ("/docs/b", 1), ("/docs/c", 2)]
 
 
+def test_probe(spark, site):
+    asked = []
+
+    def fetch(found):
+        asked.extend(r.url for r in found.select("url").collect())
+        return http.http_fetch(settings(site))(found)
+
+    probed = http.probe(spark, f"{site}/docs", fetch)
+    row = probed.first()
+    assert (row.final_url, row.trailing_slash, row.pattern, row.needs_js) == (f"{site}/docs", False, None, False)
+    assert row.length == len(row.html) > 300
+    found = spark.createDataFrame([(f"{site}/docs",), (f"{site}/docs/a",)], "url string")
+    assert {r.url: r.status_code for r in http.reusing(fetch, probed)(found).collect()} == {f"{site}/docs": 200, f"{site}/docs/a": 200}
+    assert asked == [f"{site}/docs", f"{site}/docs/a"]
+    with pytest.raises(RuntimeError, match="HTTP 404"):
+        http.probe(spark, f"{site}/none", fetch)
+
+
 def test_manual_needs_a_file(spark):
     with pytest.raises(ValueError, match="file of URLs"):
         http.discoverer("manual")(spark, settings("http://h"), None)

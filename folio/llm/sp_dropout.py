@@ -214,7 +214,7 @@ class Model:
         return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> str:
-        data = b"".join(map(self.data.__getitem__, ids.tolist()))
+        data = b"".join(map(self.data.__getitem__, np.asarray(ids).tolist()))
         return data[1:].decode("utf-8", "surrogatepass")
 
 

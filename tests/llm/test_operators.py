@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from folio.llm import langid, media, mixing, near_dedup, pii, quality, range_coder, sharding, sp_dropout, substring_dedup, token_files
 from folio.llm.common import shared_path
@@ -386,6 +387,28 @@ def test_dropout_is_drawn_per_occurrence(make, pieces):
     assert len(set(model.encode("z" * 100_000, k).tobytes() for k in range(3))) == 3
 
 
+def test_new_units_are_segmented_in_lockstep(pieces):
+    rng, model = random.Random(5), sp_dropout.Model(pieces, 0.3)
+    units = list({u for t in [*texts(9, 30), "x².y à 中 \ud800 ééé " + "z" * 90, "international representation"] for u in model.units.findall("▁" + t.replace(" ", "▁"))})
+    skips = [sum(1 << k for k in range(100) if rng.random() < 0.3) for _ in units]
+    nodes = model._segments(units, skips)
+    for u, s, n in zip(units, skips, nodes, strict=True):
+        ids = model.pool[model.first[n] : model.first[n] + model.size[n]]
+        assert (model.taken[n], ids.tobytes()) == model.segment(u, s)
+    keys = np.array([rng.randrange(2**64) for _ in range(200)], np.uint64)
+    assert all(sp_dropout.drawn(keys, k).tolist() == [xxhash.xxh3_64_intdigest(x.to_bytes(8, "little"), k) >> 32 for x in keys.tolist()] for k in (0, 1, 5, 300))
+
+
+def test_a_batch_is_cut_as_its_rows_are(pieces, monkeypatch):
+    rows = [(t, k, -k, k % 3) for k, t in enumerate([*texts(10, 30), None, "", "▁ a▁b ▁", "\x00 \U0001f600", "z" * 3000, "é" * 70 + " x"])]
+    whole = [x.tolist() for x in sp_dropout.Model(pieces).encode_many(rows)]
+    monkeypatch.setattr(sp_dropout, "AT_ONCE", 50)
+    monkeypatch.setattr(sp_dropout, "MOST_NODES", 100)
+    small = sp_dropout.Model(pieces)
+    assert [x.tolist() for x in small.encode_many(rows)] == whole and len(small.unit) < 300
+    assert [small.encode(*r).tolist() for r in rows] == whole
+
+
 def test_pieces_of_hard_rows(hard, empty, pieces):
     rows = sp_dropout.decode_pieces(sp_dropout.encode_pieces(hard, pieces), pieces).collect()
     assert ids(rows) == HARD_IDS

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.storage import discard, materialize, release, shared_path
 
-__all__ = ["discard", "fresh", "given_id", "held_id", "hex_number", "materialize", "read_table", "release", "running_totals", "shared_path", "shuffle_key", "source_key"]
+__all__ = ["claim", "discard", "fresh", "given_id", "held_id", "hex_number", "materialize", "read_table", "release", "running_totals", "shared_path", "shuffle_key", "source_key"]
 
 SPACE = r"\x20\x09-\x0D"
 
@@ -17,6 +20,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def claim(operator: str, forget: Callable[[], None] = lambda: None) -> None:
+    """Called by each operator's functions in a Python worker: what other operators remember there is forgotten.
+
+    Spark hands workers on from stage to stage, so without this the caches of all stages add up in each of them.
+    `forget` empties this operator's own, once another one claims the worker.
+    """
+    if others := [x for x in _kept if x != operator]:
+        import pyarrow as pa
+
+        for x in others:
+            _kept.pop(x)()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    _kept[operator] = forget
+
+
 NO_ID = -(2**63)
 
 

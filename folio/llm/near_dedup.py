@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.llm import hashing
-from folio.llm.common import given_id, held_id, materialize, read_table
+from folio.llm.common import claim, given_id, held_id, materialize, read_table
 
 SHINGLE = 5
 K = 32
@@ -37,7 +37,7 @@ PERCENT = 85
 LEAST_SHARED = 10
 LEAST_ESTIMATE = LEAST_SHARED / K
 #: words whose hashes a worker remembers
-MOST_WORDS = 1 << 20
+MOST_WORDS = 1 << 18
 SHORT_LIST = 8
 #: parts of the hash space in which shared values are counted
 BLOCKS = 32
@@ -74,6 +74,7 @@ def shingle_hashes(text: str | None) -> np.ndarray:
 
 
 def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    claim("near_dedup", _words.clear)
     for pdf in batches:
         sets = [shingle_hashes(t) for t in pdf["text"]]
         yield pd.DataFrame(
@@ -87,6 +88,7 @@ def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    claim("near_dedup", _words.clear)
     for pdf in batches:
         yield pd.DataFrame({"rep": pdf["rep"], "hashes": [shingle_hashes(t) for t in pdf["text"]]})
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from folio.llm.common import fresh, given_id, held_id, materialize, read_table
+from folio.llm.common import claim, fresh, given_id, held_id, materialize, read_table
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -188,6 +188,7 @@ def candidates(text: str | None, base: list[tuple[int, int, int]]) -> list[dict]
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    claim("pii")
     for pdf in batches:
         base = [base_spans(t) for t in pdf["text"]]
         yield pd.DataFrame(

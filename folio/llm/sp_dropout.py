@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import given_id, held_id, read_table
+from folio.llm.common import claim, given_id, held_id, read_table
 
 BLANK = "▁"
 DROPOUT = 0.1
@@ -411,6 +411,7 @@ def encode_pieces(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: in
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("sp_dropout", model.cache_clear)
         bpe, copies = model(path, dropout, seed), Counter()
         for pdf in batches:
             for a in range(0, len(pdf), 256):
@@ -430,6 +431,7 @@ def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_pieces, ids_crc32, text): the texts of ids that encode_pieces gave, with any dropout and seed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("sp_dropout", model.cache_clear)
         bpe = model(path)
         for pdf in batches:
             ids = pdf["ids"]

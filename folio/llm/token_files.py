@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import range_coder
-from folio.llm.common import given_id, held_id, read_table, running_totals, shared_path
+from folio.llm.common import claim, given_id, held_id, read_table, running_totals, shared_path
 
 MAGIC, VERSION = b"FSEG", 1
 BLOCK_IDS = 8192
@@ -122,6 +122,7 @@ def unpack_segment(data: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
 def _segments(path: str, end_id: int):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, place, names, docs, held = TaskContext.get().partitionId(), 0, [], [], 0
+        claim("token_files", encoder.cache_clear)
         encode = encoder(path)
 
         def flush() -> pd.DataFrame:
@@ -144,6 +145,7 @@ def _segments(path: str, end_id: int):
 
 
 def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    claim("token_files", encoder.cache_clear)
     for pdf in batches:
         for part, place, data in zip(pdf["part"], pdf["place"], pdf["data"], strict=True):
             names, docs = unpack_segment(data)

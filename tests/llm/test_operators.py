@@ -9,10 +9,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
-from folio.llm import langid, media, mixing, near_dedup, pii, quality, range_coder, sharding, sp_dropout, substring_dedup, token_files
+from folio.llm import common, langid, media, mixing, near_dedup, pii, quality, range_coder, sharding, sp_dropout, substring_dedup, token_files
 from folio.llm.common import shared_path
 from tests.llm.conftest import HARD_IDS, ids
 
@@ -94,6 +95,19 @@ def test_near_duplicates_of_hard_rows(hard, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_a_worker_forgets_what_other_operators_kept(pieces):
+    """As the pipeline's stages follow each other in one Python worker."""
+    batch = pd.DataFrame({"doc_id": [1], "text": ["one two three four five six"], "text_key": [1]})
+    common.claim("sp_dropout", sp_dropout.model.cache_clear)
+    sp_dropout.model(pieces).encode("one two three")
+    assert len(list(near_dedup._sketched(iter([batch])))) == 1
+    assert sp_dropout.model.cache_info().currsize == 0 and len(near_dedup._words) == 6
+    list(near_dedup._sketched(iter([batch])))
+    assert len(near_dedup._words) == 6  # its own stay from task to task
+    list(pii._scan(iter([batch])))
+    assert not near_dedup._words
+
+
 # --- 2
 
 

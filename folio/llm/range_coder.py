@@ -1,14 +1,15 @@
 """Adaptive context-mixing range coder for token ids, many blocks in lockstep.
 
-Blocks are independent: each starts from an empty model. The next id is predicted by order 2 and order 1 (the id that
-followed most of late in the context, with a count) and by order 0 (frequencies of whole ids). How far each order is
-trusted is mixed by adaptive counts for each pair of the two candidates' counts. An id that is neither candidate is
-coded by order 0, whose table is dealt anew from the block's counts as it grows; one that the table doesn't hold yet
-by an escape and a fixed prior that falls with the id, since tokenizers number pieces by merge rank. All blocks of a
-call advance by one id per step, as numpy vectors over the blocks.
-
-The range coder keeps 48 bits; it puts out 16 bits at a time, at most once per coded symbol. A put-out digit may hold
-a carry (17 bits), which is passed on at the end.
+The blocks of a call share one model, which starts empty. The next id is predicted by order 2 and order 1 (each context
+keeps one candidate and how often it came) and by order 0 (frequencies of whole ids). Of the two candidates the one that
+came more often is tried; how far it is trusted is mixed by adaptive counts for each pair of the two contexts' shares. An
+id that isn't the candidate is coded by order 0; one that order 0 doesn't know yet by an escape and a fixed prior that
+falls with the id, since tokenizers number pieces by merge rank. All blocks advance by one id per step, as numpy vectors
+over the blocks. The model stands still within a round of steps (1, 1, 2, 4, ... then REFRESH) and then learns all its ids
+at once, so it is small, stays in the processor's cache, and the encoder looks up a whole round together.
+
+The range coder keeps 48 bits; it puts out 24 bits at a time, at most once per coded symbol. A put-out digit may hold
+a carry (25 bits), which is passed on at the end.
 """
 
 from __future__ import annotations
@@ -16,236 +17,239 @@ from __future__ import annotations
 import numpy as np
 
 MOST_IDS = 1 << 16
-TABLE1, TABLE2 = 1 << 12, 1 << 13
-#: a candidate's count is at most STATES - 1; 0 is no candidate
-STATES = 8
-#: counts of a mixing context are halved above this; with a step of MIX_STEP
-MIX_LIMIT, MIX_STEP = 1 << 12, 24
-#: slots of the order-0 table, which is dealt anew after FIRST ids, then twice as many, in the end every REFRESH ids
-SLOTS, FIRST, REFRESH = 1 << 14, 32, 1024
-_TOP = np.int64(1 << 32)
+CONTEXTS2 = 1 << 18
+#: a block has fewer ids than half of this
+LONGEST = 1 << 14
+#: a context's share of hits, in this many steps; 0 is no candidate
+SHARES = 16
+#: slots of the order-0 table, and steps of a round in the end
+SLOT_BITS, REFRESH = 17, 512
+SLOTS = 1 << SLOT_BITS
+#: of 1 << HIT_BITS, what a candidate gets at most
+HIT_BITS, MOST_HIT = 12, (1 << 12) - (1 << 6)
+_TOP = 1 << 24
 _FIRST = np.int64(1 << 48)
-#: the prior of ids that a block hasn't seen, out of _PRIOR_SUM: falling as 1 / (id + 16)
-_PRIOR_SUM = 1 << 20
-_prior = 1 + ((_PRIOR_SUM - MOST_IDS) * (1 / (np.arange(MOST_IDS) + 16)) / (1 / (np.arange(MOST_IDS) + 16)).sum()).astype(np.int64)
-_prior[0] += _PRIOR_SUM - _prior.sum()
+#: the prior of ids that the model hasn't seen, out of 1 << _PRIOR_BITS: falling as 1 / (id + 16)
+_PRIOR_BITS = 20
+_prior = 1 + (((1 << _PRIOR_BITS) - MOST_IDS) * (1 / (np.arange(MOST_IDS) + 16)) / (1 / (np.arange(MOST_IDS) + 16)).sum()).astype(np.int64)
+_prior[0] += (1 << _PRIOR_BITS) - _prior.sum()
 _PRIOR_START = np.cumsum(_prior) - _prior
 
 
-def _dealt(step: int) -> bool:
-    """Whether the order-0 table is dealt anew before this step."""
-    return step >= FIRST and (step % REFRESH == 0 or step < REFRESH and step & (step - 1) == 0)
+def _rounds(steps: int) -> list[tuple[int, int]]:
+    ends = [0, *(1 << k for k in range(REFRESH.bit_length())), *range(2 * REFRESH, steps + REFRESH, REFRESH)]
+    return [(a, min(b, steps)) for a, b in zip(ends, ends[1:], strict=False) if a < steps]
 
 
-class _Model:
-    """The state of n blocks; rows are blocks. Only the first `live` of them go on."""
+class _Order:
+    """One candidate for each of n contexts: `best` is its share of hits << 16 | id."""
 
     def __init__(self, n: int) -> None:
-        self.rows = np.arange(n)
-        # entries: id << 3 | count; -8 is empty
-        self.order1 = np.full(n * TABLE1, -8, np.int32)
-        self.order2 = np.full(n * TABLE2, -8, np.int32)
-        self.mix = np.tile(np.array([1, 1, 62], np.int64), n * STATES * STATES)
-        # order 0: a block's ids are numbered from 1 as the table is dealt; 0 is the escape
-        self.number = np.zeros(n * MOST_IDS, np.uint16)
-        self.known = np.zeros(n, np.int64)
-        self.name = np.zeros((n, 1), np.int32)
-        self.count = np.zeros((n, 1), np.int64)
-        self.last = np.zeros(n, np.int64)
-        self.mark = np.zeros(n, np.int64)
-        self.shrink(n)
-        self.refresh(np.empty((0, n), np.uint16))
-
-    def shrink(self, live: int) -> None:
-        self.live = live
-        rows = self.rows[:live]
-        self.base1, self.base2, self.base_mix = rows * TABLE1, rows * TABLE2, rows * (STATES * STATES)
-        self.last, self.mark = self.last[:live], self.mark[:live]
-
-    def refresh(self, ids: np.ndarray) -> None:
-        """Count the ids (steps x live blocks) that came since, and deal SLOTS among the known ids by their counts: one
-        at least to each, and to the escape what those seen once would get."""
-        live = self.live
-        place = (self.rows[:live] * MOST_IDS + ids).ravel()
-        new = np.unique(place[self.number[place] == 0])
-        owner, id_ = new // MOST_IDS, new % MOST_IDS
-        many = np.bincount(owner, minlength=live)
-        self.number[new] = self.known[owner] + 1 + np.arange(len(new)) - np.repeat(np.cumsum(many) - many, many)
-        known = self.known[:live] = self.known[:live] + many
-        used = int(known.max(initial=0)) + 1
-        grown = max(0, used - self.name.shape[1])
-        self.name, self.count = np.pad(self.name, ((0, 0), (0, grown))), np.pad(self.count, ((0, 0), (0, grown)))
-        self.name[owner, self.number[new]] = id_
-        room = self.name.shape[1]
-        at = place // MOST_IDS * room + self.number[place]
-        self.count[:live] += np.bincount(at, minlength=live * room).reshape(live, room)
-        count = self.count[:live, :used]
-        total, once = count.sum(1), np.maximum((count == 1).sum(1), 1)
-        escape = np.where(total > 0, np.maximum(SLOTS // 64, once * (SLOTS - known) // (total + once)), SLOTS)
-        rest = np.where(total > 0, SLOTS - escape - known, 0)
-        upto = np.cumsum(count, 1) * rest[:, None] // np.maximum(total, 1)[:, None] + np.minimum(np.arange(used), known[:, None])
-        self.end = upto + escape[:, None]
-        self.start = np.concatenate([np.zeros((live, 1), np.int64), self.end[:, :-1]], 1)
-
-    def symbols(self) -> None:
-        """By slot, the number of its id: what a decoder needs beside the table."""
-        sizes = (self.end - self.start).ravel()
-        self.symbol = np.repeat(np.tile(np.arange(self.end.shape[1], dtype=np.uint16), len(self.end)), sizes)
-
-    def look(self) -> None:
-        """The candidates of each block and the counts by which they are mixed."""
-        mark = self.last * 40503
-        self.at1 = (mark >> 4 & TABLE1 - 1) + self.base1
-        self.at2 = (mark + 5 * self.mark >> 3 & TABLE2 - 1) + self.base2
-        self.mark = mark
-        self.e1, self.e2 = self.order1[self.at1], self.order2[self.at2]
-        self.s1, self.s2 = self.e1 & 7, self.e2 & 7
-        self.c1, self.c2 = self.e1 >> 3, self.e2 >> 3
-        self.ctx = 3 * (self.base_mix + (self.s2 << 3 | self.s1))
-        self.f2, self.f1, rest = self.mix[self.ctx], self.mix[self.ctx + 1], self.mix[self.ctx + 2]
-        self.f21 = self.f2 + self.f1
-        self.rest, self.total = rest, self.f21 + rest
-
-    def learn(self, ids: np.ndarray, slot: np.ndarray, size: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """slot: 0 the order-2 candidate, 1 the order-1 candidate, 2 neither; size: its count."""
-        self.mix[self.ctx + slot] = size + MIX_STEP
-        if self.total.max() > MIX_LIMIT:
-            at = self.ctx[self.total > MIX_LIMIT]
-            for k in range(3):
-                self.mix[at + k] = (self.mix[at + k] + 1) >> 1
-        fresh = ids << 3 | 1
-        for order, at, e, s, hit in ((self.order1, self.at1, self.e1, self.s1, hit1), (self.order2, self.at2, self.e2, self.s2, hit2)):
-            # another id takes one from the candidate's count, and its place once that is used up
-            order[at] = np.where(hit, e + (s < STATES - 1), np.where(s > 1, e - 1, fresh))
-        self.last = ids
+        self.best = np.zeros(n, np.int32)
+        self.hits, self.tries = np.zeros(n, np.int32), np.zeros(n, np.int32)
+
+    def learn(self, context: np.ndarray, ids: np.ndarray) -> None:
+        n = len(self.best)
+        self.tries += np.bincount(context, minlength=n).astype(np.int32)
+        named = self.best & (MOST_IDS - 1)
+        named[self.best == 0] = -1
+        self.hits += np.bincount(context[named[context] == ids], minlength=n).astype(np.int32)
+        # a candidate that came less than once in eight times gives way to the context's latest id
+        latest = np.full(n, -1, np.int32)
+        latest[context] = ids
+        weak = (latest >= 0) & (self.hits < self.tries / 8)
+        self.hits[weak], self.tries[weak] = 0, 0
+        named[weak] = latest[weak]
+        share = 1 + (SHARES - 2) * (2 * self.hits.astype(np.int64) + 1) // (2 * self.tries.astype(np.int64) + 4)
+        self.best = np.where(named >= 0, share << 16 | named, 0).astype(np.int32)
+
+
+class _Model:
+    def __init__(self) -> None:
+        self.order1, self.order2 = _Order(MOST_IDS), _Order(CONTEXTS2)
+        self.mix = np.tile(np.array([[1], [4]], np.int64), SHARES * SHARES)
+        self.count = np.zeros(MOST_IDS, np.int64)
+        self._deal()
+
+    def _deal(self) -> None:
+        """Deal SLOTS among the known ids by their counts: one at least to each, and to the escape what those seen once
+        would get."""
+        known, total = np.count_nonzero(self.count), int(self.count.sum())
+        escape = SLOTS
+        if total:
+            once = max(np.count_nonzero(self.count == 1), 1)
+            escape = max(SLOTS >> 12, once * (SLOTS - known) // (total + once))
+        self.size = self.count * max(SLOTS - escape - known, 0) // max(total, 1) + (self.count > 0)
+        self.escape = SLOTS - int(self.size.sum())
+        self.start = self.escape + np.cumsum(self.size) - self.size
+        hits, tries = self.mix
+        self.hit = np.minimum((hits << HIT_BITS) // tries, MOST_HIT)
+        self.hit.reshape(SHARES, SHARES)[0, 0] = 0
+
+    def symbols(self) -> np.ndarray:
+        """By slot, its id (0 in the escape's slots): what a decoder needs beside the table."""
+        return np.repeat(np.arange(-1, MOST_IDS).clip(0).astype(np.uint16), np.append(self.escape, self.size))
+
+    def learn(self, ids: np.ndarray, last: np.ndarray, context2: np.ndarray) -> None:
+        """A round's ids, each with the id before it and its order-2 context."""
+        candidate, trust = self.predict(self.order1.best[last], self.order2.best[context2])
+        hit = (candidate == ids) & (trust > 0)
+        n = SHARES * SHARES
+        self.mix += np.stack([np.bincount(trust[hit], minlength=n), np.bincount(trust, minlength=n)])
+        self.count += np.bincount(ids[~hit], minlength=MOST_IDS)
+        self.order1.learn(last, ids)
+        self.order2.learn(context2, ids)
+        self._deal()
+
+    @staticmethod
+    def predict(best1: np.ndarray, best2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The candidate, and the pair of shares by which it is trusted."""
+        return np.maximum(best1, best2) & (MOST_IDS - 1), (best1 >> 16) * SHARES + (best2 >> 16)
+
+
+def _context2(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    # the sum stays below 2 ** 31
+    return (last * 20251 + before * 12345 >> 3) & (CONTEXTS2 - 1)
+
+
+def _sorted(sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort([-s for s in sizes], kind="stable")
+    return order, np.array([sizes[k] for k in order])
+
+
+def _live(sizes: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """How many blocks still go on at each step."""
+    return np.searchsorted(-sizes, -steps, "left")
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """The coded bytes of each block of ids below MOST_IDS (a block has fewer than SLOTS // 2 of them); results in the blocks' order."""
-    order = np.argsort([-len(b) for b in blocks], kind="stable")
-    sizes = np.array([len(blocks[k]) for k in order])
+    """The coded bytes of each block of ids below MOST_IDS (a block has fewer than LONGEST // 2 of them); results in the blocks' order."""
     if not len(blocks):
         return []
-    if 2 * sizes[0] > SLOTS:
+    order, sizes = _sorted([len(b) for b in blocks])
+    if 2 * sizes[0] > LONGEST:
         raise ValueError(f"a block of {sizes[0]} ids is too long")
     n, steps = len(blocks), int(sizes[0])
-    ids = np.zeros((steps, n), np.uint16)
+    # two rows of zeros stand before the first ids
+    ids = np.zeros((steps + 2, n), np.int32)
     for k, o in enumerate(order):
-        ids[: sizes[k], k] = blocks[o]
-    model, low, width = _Model(n), np.zeros(n, np.int64), np.full(n, _FIRST)
+        ids[2 : 2 + sizes[k], k] = blocks[o]
+    model, low, width = _Model(), np.zeros(n, np.int64), np.full(n, _FIRST)
     room = 2 * steps + 8
     digits = np.zeros(n * room, np.int32)
     cursor = np.arange(n) * room
-
-    def put(at: np.ndarray | slice, start: np.ndarray, size: np.ndarray, total: np.ndarray | int) -> None:
-        r = width[at] // total
-        low[at] += r * start
-        width[at] = r = r * size
-        if (which := np.flatnonzero(r < _TOP)).size:
-            which = which if isinstance(at, slice) else at[which]
-            digits[cursor[which]] = low[which] >> 32
-            cursor[which] += 1
-            low[which] = (low[which] & (_TOP - 1)) << 16
-            width[which] <<= 16
-
-    every, since = slice(0, n), 0
-    for t in range(steps):
-        if sizes[every.stop - 1] <= t:
-            model.shrink(int(np.searchsorted(-sizes, -t, "left")))
-            every = slice(0, model.live)
-        if _dealt(t):
-            model.refresh(ids[since:t, every])
-            since = t
-        model.look()
-        x = ids[t, every].astype(np.int64)
-        hit2, hit1 = model.c2 == x, model.c1 == x
-        slot = np.where(hit2, 0, np.where(hit1, 1, 2))
-        start = np.where(hit2, 0, np.where(hit1, model.f2, model.f21))
-        size = np.where(hit2, model.f2, np.where(hit1, model.f1, model.rest))
-        put(every, start, size, model.total)
-        if (out := np.flatnonzero(slot == 2)).size:
-            named = x[out]
-            number = model.number[out * MOST_IDS + named]
-            start = model.start[out, number]
-            put(out, start, model.end[out, number] - start, SLOTS)
-            if (escaped := np.flatnonzero(number == 0)).size:
-                named = named[escaped]
-                put(out[escaped], _PRIOR_START[named], _prior[named], _PRIOR_SUM)
-        model.learn(x, slot, size, hit2, hit1)
-    for _ in range(3):
-        digits[cursor] = low >> 32
-        cursor += 1
-        low = (low & (_TOP - 1)) << 16
-    filled, digits = cursor - np.arange(n) * room, digits.reshape(n, room)
-    for j in range(room - 1, 0, -1):
-        digits[:, j - 1] += digits[:, j] >> 16
-    words = (digits & 0xFFFF).astype("<u2")
-    out_bytes: list[bytes] = [b""] * n
+    low_bits = _TOP - 1
+
+    def carry_on(which: np.ndarray) -> None:
+        at, old = cursor[which], low[which]
+        digits[at] = old >> 24
+        cursor[which] = at + 1
+        low[which] = (old & low_bits) << 24
+        width[which] <<= 24
+
+    for a, b in _rounds(steps):
+        live = _live(sizes, np.arange(a, b))
+        m = int(live[0])
+        x, last, context2 = ids[a + 2 : b + 2, :m], ids[a + 1 : b + 1, :m], _context2(ids[a + 1 : b + 1, :m], ids[a:b, :m])
+        candidate, trust = model.predict(model.order1.best[last], model.order2.best[context2])
+        part = model.hit[trust]
+        hit = (candidate == x) & (part > 0)
+        start, size = model.start[x], model.size[x]
+        escaped = ~hit & (size == 0)
+        any_escaped = escaped.any(1)
+        start[escaped], size[escaped] = 0, model.escape
+        for t, go in enumerate(live.tolist()):
+            w, l = width[:go], low[:go]
+            h = hit[t, :go]
+            bound = (w >> HIT_BITS) * part[t, :go]
+            r = w - bound >> SLOT_BITS
+            l += np.where(h, 0, bound + r * start[t, :go])
+            w[:] = np.where(h, bound, r * size[t, :go])
+            carry_on(np.flatnonzero(w < _TOP))
+            if any_escaped[t]:
+                at = np.flatnonzero(escaped[t, :go])
+                named = x[t, at]
+                r = width[at] >> _PRIOR_BITS
+                low[at] += r * _PRIOR_START[named]
+                width[at] = r = r * _prior[named]
+                carry_on(at[r < _TOP])
+        if b < steps:
+            if live[-1] < m:
+                there = np.arange(m) < live[:, None]
+                model.learn(x[there], last[there], context2[there])
+            else:
+                model.learn(x.ravel(), last.ravel(), context2.ravel())
+    for _ in range(2):
+        carry_on(np.arange(n))
+    filled, digits = cursor - np.arange(n) * room, digits.reshape(n, room)[:, : int((cursor - np.arange(n) * room).max())]
+    for j in range(digits.shape[1] - 1, 0, -1):
+        digits[:, j - 1] += digits[:, j] >> 24
+    out: list[bytes] = [b""] * n
     for k, o in enumerate(order):
-        out_bytes[o] = words[k, : filled[k]].tobytes()
-    return out_bytes
+        out[o] = digits[k, : filled[k]].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    return out
 
 
 def decode(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    """The ids of each block, given how many it has."""
-    order = np.argsort([-s for s in sizes], kind="stable")
-    many = np.array([sizes[k] for k in order])
+    """The ids of each block, given how many it has: all blocks of one call of encode, in their order."""
     if not len(coded):
         return []
+    order, many = _sorted(sizes)
     n, steps = len(coded), int(many[0])
-    room = max(len(c) for c in coded) // 2 + 4
-    words = np.zeros((n, room), np.uint16)
+    room = max(len(c) for c in coded) // 3 + 4
+    words = np.zeros((n, room), np.int32)
     for k, o in enumerate(order):
-        w = np.frombuffer(coded[o], "<u2")
-        words[k, : len(w)] = w
-    first = words[:, :3].astype(np.int64)
-    code = first[:, 0] << 32 | first[:, 1] << 16 | first[:, 2]
+        w = np.zeros((len(coded[o]) // 3, 4), np.uint8)
+        w[:, :3] = np.frombuffer(coded[o], np.uint8, 3 * len(w)).reshape(-1, 3)
+        words[k, : len(w)] = w.view("<u4").ravel()
+    code = words[:, 0].astype(np.int64) << 24 | words[:, 1]
     words = words.ravel()
-    model, width, cursor = _Model(n), np.full(n, _FIRST), np.arange(n) * room + 3
-    model.symbols()
-    ids = np.zeros((steps, n), np.uint16)
-
-    def take(at: np.ndarray | slice, r: np.ndarray, start: np.ndarray, size: np.ndarray | int) -> None:
-        code[at] -= r * start
-        width[at] = r = r * size
-        if (which := np.flatnonzero(r < _TOP)).size:
-            which = which if isinstance(at, slice) else at[which]
-            code[which] = code[which] << 16 | words[cursor[which]]
-            cursor[which] += 1
-            width[which] <<= 16
-
-    every, since = slice(0, n), 0
-    for t in range(steps):
-        if many[every.stop - 1] <= t:
-            model.shrink(int(np.searchsorted(-many, -t, "left")))
-            every = slice(0, model.live)
-        if _dealt(t):
-            model.refresh(ids[since:t, every])
-            model.symbols()
-            since = t
-        model.look()
-        r = width[every] // model.total
-        v = np.minimum(code[every] // r, model.total - 1)
-        hit2, other = v < model.f2, v >= model.f21
-        slot = np.where(hit2, 0, np.where(other, 2, 1))
-        start = np.where(hit2, 0, np.where(other, model.f21, model.f2))
-        size = np.where(hit2, model.f2, np.where(other, model.rest, model.f1))
-        take(every, r, start, size)
-        x = np.where(hit2, model.c2, model.c1).astype(np.int64)
-        if (out := np.flatnonzero(other)).size:
-            r = width[out] // SLOTS
-            number = model.symbol[out * SLOTS + np.minimum(code[out] // r, SLOTS - 1)]
-            start = model.start[out, number]
-            take(out, r, start, model.end[out, number] - start)
-            x[out] = model.name[out, number]
-            if (escaped := out[number == 0]).size:
-                r = width[escaped] // _PRIOR_SUM
-                named = np.searchsorted(_PRIOR_START, np.minimum(code[escaped] // r, _PRIOR_SUM - 1), "right") - 1
-                take(escaped, r, _PRIOR_START[named], _prior[named])
-                x[escaped] = named
-        model.learn(x, slot, size, hit2, model.c1 == x)
-        ids[t, every] = x
+    model, width, cursor = _Model(), np.full(n, _FIRST), np.arange(n) * room + 2
+    ids = np.zeros((steps + 2, n), np.int32)
+
+    def carry_on(which: np.ndarray) -> None:
+        at = cursor[which]
+        code[which] = code[which] << 24 | words.take(at, mode="clip")
+        cursor[which] = at + 1
+        width[which] <<= 24
+
+    for a, b in _rounds(steps):
+        live = _live(many, np.arange(a, b))
+        best1, best2, parts, starts, named_by, escape = model.order1.best, model.order2.best, model.hit, model.start, model.symbols(), model.escape
+        slot_sizes = model.size
+        for t, go in zip(range(a, b), live.tolist(), strict=True):
+            w, c = width[:go], code[:go]
+            last = ids[t + 1, :go]
+            candidate, trust = model.predict(best1.take(last), best2.take(_context2(last, ids[t, :go])))
+            bound = (w >> HIT_BITS) * parts.take(trust)
+            hit = c < bound
+            rest = c - bound
+            r = w - bound >> SLOT_BITS
+            # all below 2 ** 48, so a floating-point quotient is cut to the exact whole number
+            slot = (rest / r).astype(np.int64)
+            x = named_by.take(slot, mode="clip").astype(np.int32)
+            start, size = starts.take(x), slot_sizes.take(x)
+            out = np.flatnonzero((slot < escape) > hit)
+            if out.size:
+                start[out], size[out] = 0, escape
+            c[:] = np.where(hit, c, rest - r * start)
+            w[:] = np.where(hit, bound, r * size)
+            carry_on(np.flatnonzero(w < _TOP))
+            if out.size:
+                r = width[out] >> _PRIOR_BITS
+                named = np.searchsorted(_PRIOR_START, np.minimum(code[out] // r, (1 << _PRIOR_BITS) - 1), "right") - 1
+                code[out] -= r * _PRIOR_START[named]
+                width[out] = r = r * _prior[named]
+                x[out] = named
+                carry_on(out[r < _TOP])
+            ids[t + 2, :go] = np.where(hit, candidate, x)
+        if b < steps:
+            x, last, before = (ids[a + k : b + k, : live[0]] for k in (2, 1, 0))
+            if live[-1] < live[0]:
+                there = np.arange(live[0]) < live[:, None]
+                x, last, before = x[there], last[there], before[there]
+            model.learn(x.ravel(), last.ravel(), _context2(last, before).ravel())
     out_ids: list[np.ndarray] = [np.empty(0, np.uint16)] * n
     for k, o in enumerate(order):
-        out_ids[o] = ids[: many[k], k].copy()
+        out_ids[o] = ids[2 : 2 + many[k], k].astype(np.uint16)
     return out_ids

@@ -1,4 +1,4 @@
-"""Token-id files: segments of whole documents, coded in independent, checksummed blocks.
+"""Token-id files: segments of whole documents, coded in checksummed blocks that share one model per segment.
 
 A segment (one binary value, little-endian):
   "FSEG" | version u32 | documents u32 | blocks u32 | doc ids i64 each | ids per document u32 each | blocks
@@ -9,13 +9,18 @@ documents ascend.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +28,21 @@ from pyspark.sql import functions as F
 from folio.llm import range_coder
 from folio.llm.common import claim, given_id, held_id, read_table, running_totals, shared_path
 
-MAGIC, VERSION = b"FSEG", 1
-BLOCK_IDS = 8192
+MAGIC, VERSION = b"FSEG", 2
+BLOCK_IDS = 4096
 SEGMENT_IDS = 1 << 23
 END_ID = 2
-MOST_WORDS = 400_000
+MOST_WORDS = 800_000
+#: texts encoded at once: at most so many, and so many bytes or one text
+BATCH_TEXTS, BATCH_BYTES = 2048, 1 << 24
+#: units that are remembered, and the longest piece that is cut into them
+MOST_UNITS, LONGEST_CUT = 1 << 17, 256
+_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+_OF_UNITS = re.compile(f" ?[{_LETTER}0-9{_MARK}]+(?:\n[{_LETTER}0-9{_MARK}]+)*")
+_UNIT = re.compile(f" ?[{_LETTER}]+| ?[0-9]+| ?[{_MARK}]+|\n")
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: the characters by which byte-level vocabularies spell bytes
+_BYTE_LEVEL = {b: chr(b) if b in _SHOWN else chr(256 + sum(x not in _SHOWN for x in range(b))) for b in range(256)}
 _HEAD, _BLOCK = struct.Struct("<4sIII"), struct.Struct("<IIII")
 
 
@@ -37,6 +52,9 @@ class Encoder:
     Byte-level BPE never joins across a single space between two other characters, so a text is cut there and each
     distinct piece goes through the tokenizer once. A text with any other run of white space beside a space, or with
     an added token's own spelling in it, is encoded whole. Ids have 16 bits in the files, so a tokenizer with more is refused.
+
+    Where the tokenizer has the common byte-level pattern and nothing else around its model, a piece of Latin letters,
+    digits and ASCII marks but the apostrophe is cut as that pattern does, and goes to the model at once.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,35 +64,91 @@ class Encoder:
         if (size := self.tokenizer.get_vocab_size()) > range_coder.MOST_IDS:
             raise ValueError(f"a tokenizer of {size} ids; token files hold {range_coder.MOST_IDS}")
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, pieces: list[str]) -> Iterator[bytes]:
-        for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
-            yield np.array(x.ids, "<u2").tobytes()
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
-        cut, whole = [], []
-        for k, text in enumerate(texts):
-            parts = text.split(" ")
-            if any(x in text for x in self.added):
-                parts = []
-                whole.append(k)
-            elif len(parts) > 1 and all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
-                parts[1:] = [" " + p for p in parts[1:]]
-            else:
-                parts = [text] if len(parts) == 1 else []
-                whole += [] if parts else [k]
-            cut.append(parts)
-        known = self.known
-        new = list({p for parts in cut for p in parts if p not in known})
-        for a in range(0, len(new), 4096):
-            known.update(zip(new[a : a + 4096], self._encode(new[a : a + 4096]), strict=True))
-        out = [b"".join([known[p] for p in parts]) for parts in cut]
-        for k, ids in zip(whole, self._encode([texts[k] for k in whole]), strict=True):
-            out[k] = ids
-        return [np.frombuffer(x, "<u2") for x in out]
+        spec = json.loads(self.tokenizer.to_str())
+        before = spec["pre_tokenizer"] or {}
+        plain = not any(spec[x] for x in ("normalizer", "post_processor", "truncation", "padding"))
+        self.by_model = plain and before.get("type") == "ByteLevel" and before.get("use_regex") is True and before.get("add_prefix_space") is False
+        self.forget()
+
+    def forget(self) -> None:
+        # a word after a space stands under itself, a text's first word under itself with a space before it; the numbers
+        # of words are from 1
+        self.known: dict[str, int] = {}
+        self.start, self.many, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint16)
+        self.units: dict[str, bytes] = {}
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(x.ids, np.uint16).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _encode_words(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces, each a word or a space and a word."""
+        if not self.by_model:
+            return self._encode(pieces)
+        cut = [_UNIT.findall(p) if len(p) <= LONGEST_CUT and _OF_UNITS.fullmatch(p) else None for p in pieces]
+        units = self.units
+        if len(units) > MOST_UNITS:
+            units.clear()
+        if new := list({u for x in cut if x for u in x if u not in units}):
+            tokenize = self.tokenizer.model.tokenize
+            # a text of a byte a character, each shown as the vocabulary spells it; none of the units holds a NUL
+            spelt = "\0".join(new).encode().decode("latin-1").translate(_BYTE_LEVEL).split(_BYTE_LEVEL[0])
+            units.update(zip(new, [array("H", [x.id for x in tokenize(y)]).tobytes() for y in spelt], strict=True))
+        others = iter(self._encode([p for p, x in zip(pieces, cut, strict=True) if x is None]))
+        return [next(others) if x is None else units[x[0]] if len(x) == 1 else b"".join([units[u] for u in x]) for x in cut]
+
+    def _learn(self, words: list[str]) -> None:
+        got = []
+        for a in range(0, len(words), 4096):
+            got += self._encode_words([w[1:] if w[0] == " " else " " + w for w in words[a : a + 4096]])
+        self.known.update(zip(words, range(len(self.many), len(self.many) + len(words)), strict=True))
+        many = np.fromiter(map(len, got), np.int64, len(got)) // 2
+        self.start = np.append(self.start, len(self.ids) + np.cumsum(many) - many)
+        self.many = np.append(self.many, many)
+        self.ids = np.append(self.ids, np.frombuffer(b"".join(got), np.uint16))
+
+    def __call__(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        if len(self.known) > MOST_WORDS or len(self.ids) > 8 * MOST_WORDS:
+            self.forget()
+        texts = pa.array(texts, pa.large_string())
+        if not len(texts):
+            return []
+        parts = pc.split_pattern(texts, " ")
+        sizes = pc.list_value_length(parts).to_numpy()
+        first = np.cumsum(sizes) - sizes
+        flat = parts.flatten()
+        coded = flat.dictionary_encode()
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy()
+        codes[first] = len(words) + np.arange(len(texts))
+        words += [" " + w for w in flat.take(pa.array(first)).to_pylist()]
+        whole = np.zeros(len(texts), bool)
+        for x in self.added:
+            whole |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        number = np.fromiter([self.known.get(w, 0) for w in words], np.int32, len(words))
+        new = number == 0
+        apart = np.zeros(len(words), bool)
+        for k in np.flatnonzero(new).tolist():
+            w = words[k][words[k][:1] == " " :]
+            apart[k] = not w or w != w.strip()
+        if apart.any():
+            whole |= np.add.reduceat(apart[codes], first, dtype=np.int64) > 0
+        if whole.any():
+            codes = codes[np.repeat(~whole, sizes)]
+            sizes = np.where(whole, 0, sizes)
+        new &= np.bincount(codes, minlength=len(words)) > 0
+        if new.any():
+            at = np.flatnonzero(new).tolist()
+            self._learn(list(dict.fromkeys([words[k] for k in at])))
+            number[at] = [self.known[words[k]] for k in at]
+        start, many = self.start[number][codes], self.many[number][codes]
+        upto = np.append(0, np.cumsum(many))
+        ids = self.ids[np.repeat(start - upto[:-1], many) + np.arange(upto[-1])]
+        out = np.split(ids, upto[np.cumsum(sizes)[:-1]])
+        at = np.flatnonzero(whole)
+        for a in range(0, len(at), 512):
+            some = at[a : a + 512]
+            for k, got in zip(some.tolist(), self._encode(texts.take(pa.array(some)).to_pylist()), strict=True):
+                out[k] = np.frombuffer(got, np.uint16)
+        return out
 
 
 @lru_cache(2)
@@ -119,19 +193,30 @@ def unpack_segment(data: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
     return doc_ids, np.split(ids, np.cumsum(sizes)[:-1]) if n_docs else []
 
 
+def _runs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cut rows of these many bytes into runs that are encoded at once."""
+    upto, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = int(np.searchsorted(upto, (upto[a - 1] if a else 0) + BATCH_BYTES, "right"))
+        b = max(min(b, a + BATCH_TEXTS), a + 1)
+        yield a, b
+        a = b
+
+
 def _segments(path: str, end_id: int):
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place, names, docs, held = TaskContext.get().partitionId(), 0, [], [], 0
         claim("token_files", encoder.cache_clear)
         encode = encoder(path)
 
-        def flush() -> pd.DataFrame:
-            return pd.DataFrame({"part": [part], "place": [place], "n_ids": [held], "data": [pack_segment(names, docs)]})
+        def flush() -> pa.RecordBatch:
+            row = {"part": part, "place": place, "n_ids": held, "data": pack_segment(names, docs)}
+            return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("place", pa.int32()), ("n_ids", pa.int64()), ("data", pa.binary())]))
 
-        for pdf in batches:
-            for a in range(0, len(pdf), 512):
-                rows = pdf.iloc[a : a + 512]
-                for name, ids in zip(rows["doc_id"], encode([t or "" for t in rows["text"]]), strict=True):
+        for batch in batches:
+            texts = batch.column("text").fill_null("")
+            for a, b in _runs(pc.binary_length(texts).to_numpy()):
+                for name, ids in zip(batch.column("doc_id")[a:b].to_pylist(), encode(texts[a:b]), strict=True):
                     names.append(name)
                     docs.append(np.append(ids, np.uint16(end_id)))
                     held += len(ids) + 1
@@ -170,7 +255,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = E
     gives an empty table of segments. Other columns are ignored.
     """
     rows = docs.select(held_id(id_col), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    rows.mapInPandas(_segments(tokenizer, end_id), "part int, place int, n_ids long, data binary").write.parquet(out)
+    rows.mapInArrow(_segments(tokenizer, end_id), "part int, place int, n_ids long, data binary").write.parquet(out)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

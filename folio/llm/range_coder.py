@@ -18,12 +18,12 @@ import numpy as np
 
 MOST_IDS = 1 << 16
 CONTEXTS2 = 1 << 18
-#: a block has fewer ids than half of this
+#: a block has at most half as many ids as this
 LONGEST = 1 << 14
 #: a context's share of hits, in this many steps; 0 is no candidate
 SHARES = 16
 #: slots of the order-0 table, and steps of a round in the end
-SLOT_BITS, REFRESH = 17, 512
+SLOT_BITS, REFRESH = 17, 256
 SLOTS = 1 << SLOT_BITS
 #: of 1 << HIT_BITS, what a candidate gets at most
 HIT_BITS, MOST_HIT = 12, (1 << 12) - (1 << 6)
@@ -123,7 +123,7 @@ def _live(sizes: np.ndarray, steps: np.ndarray) -> np.ndarray:
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """The coded bytes of each block of ids below MOST_IDS (a block has fewer than LONGEST // 2 of them); results in the blocks' order."""
+    """The coded bytes of each block of ids below MOST_IDS (a block has at most LONGEST // 2 of them); results in the blocks' order."""
     if not len(blocks):
         return []
     order, sizes = _sorted([len(b) for b in blocks])

@@ -10,7 +10,6 @@ documents ascend.
 from __future__ import annotations
 
 import json
-import re
 import struct
 import zlib
 from array import array
@@ -29,23 +28,29 @@ from folio.llm import range_coder
 from folio.llm.common import claim, given_id, held_id, read_table, running_totals, shared_path
 
 MAGIC, VERSION = b"FSEG", 2
-BLOCK_IDS = 4096
+BLOCK_IDS = 2048
 SEGMENT_IDS = 1 << 23
 END_ID = 2
-MOST_WORDS = 800_000
+MOST_WORDS = 900_000
 #: texts encoded at once: at most so many, and so many bytes or one text
 BATCH_TEXTS, BATCH_BYTES = 2048, 1 << 24
-#: units that are remembered, and the longest piece that is cut into them
-MOST_UNITS, LONGEST_CUT = 1 << 17, 256
+#: bytes of the longest piece that is cut into units
+LONGEST_CUT = 256
 _LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
-_OF_UNITS = re.compile(f" ?[{_LETTER}0-9{_MARK}]+(?:\n[{_LETTER}0-9{_MARK}]+)*")
-_UNIT = re.compile(f" ?[{_LETTER}]+| ?[0-9]+| ?[{_MARK}]+|\n")
+_OF_UNITS = rf"\A ?[{_LETTER}0-9{_MARK}]+(?:\n[{_LETTER}0-9{_MARK}]+)*\z"
+_UNIT = rf"( ?[{_LETTER}]+| ?[0-9]+| ?[{_MARK}]+|\n)"
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 #: the characters by which byte-level vocabularies spell bytes
 _BYTE_LEVEL = {b: chr(b) if b in _SHOWN else chr(256 + sum(x not in _SHOWN for x in range(b))) for b in range(256)}
 _HEAD, _BLOCK = struct.Struct("<4sIII"), struct.Struct("<IIII")
 
 
+def _gathered(ids: np.ndarray, start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """ids[a : a + n] of each start a and number n, one after the other."""
+    upto = np.cumsum(many)
+    return ids[np.repeat(start - upto + many, many) + np.arange(many.sum())]
+
+
 class Encoder:
     """A byte-level BPE tokenizer with a bounded cache of words.
 
@@ -75,36 +80,49 @@ class Encoder:
         # of words are from 1
         self.known: dict[str, int] = {}
         self.start, self.many, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint16)
-        self.units: dict[str, bytes] = {}
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.uint16).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _encode_words(self, pieces: list[str]) -> list[bytes]:
-        """The ids of pieces, each a word or a space and a word."""
-        if not self.by_model:
-            return self._encode(pieces)
-        cut = [_UNIT.findall(p) if len(p) <= LONGEST_CUT and _OF_UNITS.fullmatch(p) else None for p in pieces]
-        units = self.units
-        if len(units) > MOST_UNITS:
-            units.clear()
-        if new := list({u for x in cut if x for u in x if u not in units}):
-            tokenize = self.tokenizer.model.tokenize
-            # a text of a byte a character, each shown as the vocabulary spells it; none of the units holds a NUL
-            spelt = "\0".join(new).encode().decode("latin-1").translate(_BYTE_LEVEL).split(_BYTE_LEVEL[0])
-            units.update(zip(new, [array("H", [x.id for x in tokenize(y)]).tobytes() for y in spelt], strict=True))
-        others = iter(self._encode([p for p, x in zip(pieces, cut, strict=True) if x is None]))
-        return [next(others) if x is None else units[x[0]] if len(x) == 1 else b"".join([units[u] for u in x]) for x in cut]
-
-    def _learn(self, words: list[str]) -> None:
-        got = []
-        for a in range(0, len(words), 4096):
-            got += self._encode_words([w[1:] if w[0] == " " else " " + w for w in words[a : a + 4096]])
+        out = []
+        for a in range(0, len(pieces), 512):
+            out += [np.array(x.ids, np.uint16).tobytes() for x in self.tokenizer.encode_batch_fast(pieces[a : a + 512], add_special_tokens=False)]
+        return out
+
+    def _keep(self, words: list[str], many: np.ndarray, ids: np.ndarray) -> None:
         self.known.update(zip(words, range(len(self.many), len(self.many) + len(words)), strict=True))
-        many = np.fromiter(map(len, got), np.int64, len(got)) // 2
         self.start = np.append(self.start, len(self.ids) + np.cumsum(many) - many)
         self.many = np.append(self.many, many)
-        self.ids = np.append(self.ids, np.frombuffer(b"".join(got), np.uint16))
+        self.ids = np.append(self.ids, ids)
+
+    def _keep_coded(self, words: list[str], coded: list[bytes]) -> None:
+        self._keep(words, np.fromiter(map(len, coded), np.int64, len(coded)) // 2, np.frombuffer(b"".join(coded), np.uint16))
+
+    def _by_units(self, words: list[str], pieces: pa.Array) -> None:
+        """Remember these pieces, and the units that they are cut into, which are words too."""
+        parts = pc.split_pattern(pc.utf8_rtrim(pc.replace_substring_regex(pieces, _UNIT, "\\1\t"), "\t"), "\t")
+        coded = parts.flatten().dictionary_encode()
+        units, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        keys, known = [u[1:] if u[0] == " " else " " + u for u in units], self.known
+        if new := [u for u, key in zip(units, keys, strict=True) if key not in known]:
+            tokenize = self.tokenizer.model.tokenize
+            # a text of a byte a character, each shown as the vocabulary spells it; none of the units holds a tab
+            spelt = "\t".join(new).encode().decode("latin-1").translate(_BYTE_LEVEL).split(_BYTE_LEVEL[9])
+            got = [array("H", [x.id for x in tokenize(y)]).tobytes() for y in spelt]
+            self._keep_coded([key for key in keys if key not in known], got)
+        sizes = pc.list_value_length(parts).to_numpy()
+        several = sizes > 1
+        number = np.fromiter([known[key] for key in keys], np.int64, len(keys))[codes[np.repeat(several, sizes)]]
+        many = self.many[number]
+        ends = np.append(0, np.cumsum(many))[np.append(0, np.cumsum(sizes[several]))]
+        self._keep([words[k] for k in np.flatnonzero(several).tolist()], np.diff(ends), _gathered(self.ids, self.start[number], many))
+
+    def _learn(self, words: list[str], given: list[str]) -> None:
+        """Remember the ids of these pieces under these words."""
+        pieces, fit = pa.array(given, pa.large_string()), np.zeros(len(given), bool)
+        if self.by_model:
+            fit = pc.match_substring_regex(pieces, _OF_UNITS).to_numpy(zero_copy_only=False) & (pc.binary_length(pieces).to_numpy() <= LONGEST_CUT)
+            self._by_units([words[k] for k in np.flatnonzero(fit).tolist()], pieces.filter(pa.array(fit)))
+        others = np.flatnonzero(~fit).tolist()
+        self._keep_coded([words[k] for k in others], self._encode([given[k] for k in others]))
 
     def __call__(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         if len(self.known) > MOST_WORDS or len(self.ids) > 8 * MOST_WORDS:
@@ -119,7 +137,9 @@ class Encoder:
         coded = flat.dictionary_encode()
         words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy()
         codes[first] = len(words) + np.arange(len(texts))
-        words += [" " + w for w in flat.take(pa.array(first)).to_pylist()]
+        bare = words + flat.take(pa.array(first)).to_pylist()
+        after = len(words)
+        words += [" " + w for w in bare[after:]]
         whole = np.zeros(len(texts), bool)
         for x in self.added:
             whole |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
@@ -127,8 +147,7 @@ class Encoder:
         new = number == 0
         apart = np.zeros(len(words), bool)
         for k in np.flatnonzero(new).tolist():
-            w = words[k][words[k][:1] == " " :]
-            apart[k] = not w or w != w.strip()
+            apart[k] = not bare[k] or bare[k] != bare[k].strip()
         if apart.any():
             whole |= np.add.reduceat(apart[codes], first, dtype=np.int64) > 0
         if whole.any():
@@ -137,17 +156,14 @@ class Encoder:
         new &= np.bincount(codes, minlength=len(words)) > 0
         if new.any():
             at = np.flatnonzero(new).tolist()
-            self._learn(list(dict.fromkeys([words[k] for k in at])))
+            pieces = {words[k]: " " + bare[k] if k < after else bare[k] for k in at}
+            self._learn([*pieces], [*pieces.values()])
             number[at] = [self.known[words[k]] for k in at]
         start, many = self.start[number][codes], self.many[number][codes]
-        upto = np.append(0, np.cumsum(many))
-        ids = self.ids[np.repeat(start - upto[:-1], many) + np.arange(upto[-1])]
-        out = np.split(ids, upto[np.cumsum(sizes)[:-1]])
+        out = np.split(_gathered(self.ids, start, many), np.append(0, np.cumsum(many))[np.cumsum(sizes)[:-1]])
         at = np.flatnonzero(whole)
-        for a in range(0, len(at), 512):
-            some = at[a : a + 512]
-            for k, got in zip(some.tolist(), self._encode(texts.take(pa.array(some)).to_pylist()), strict=True):
-                out[k] = np.frombuffer(got, np.uint16)
+        for k, got in zip(at.tolist(), self._encode(texts.take(pa.array(at)).to_pylist()), strict=True):
+            out[k] = np.frombuffer(got, np.uint16)
         return out
 
 

@@ -200,7 +200,6 @@ def test_pieces_cut_by_units_encode_as_whole_texts(tokenizer, monkeypatch):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(token_files, "MOST_WORDS", 500)
-    monkeypatch.setattr(token_files, "MOST_UNITS", 50)
     encode, plain, rng = token_files.Encoder(tokenizer), Tokenizer.from_file(tokenizer), Random(5)
     parts = [*"  \n\taéÿ×ªµ'.,!-*\"<|²日😀\u00a0\u0301\0", "the", "Is", "'s", "12", "***", "x" * 300, ".\nThe", "<|endoftext|>"]
     for _ in range(8):

@@ -149,11 +149,17 @@ def backoff_seconds(attempt: Column, base: Column, header_seconds: Column, jitte
     return F.least(F.greatest(base * F.pow(F.lit(2.0), attempt) + jitter, F.coalesce(header_seconds, F.lit(0.0))), F.lit(60.0))
 
 
+def _tenths(size: Column, bits: int) -> Column:
+    """size / 2^bits to one decimal, halves to the even digit as C's printf has it; Java's takes them up."""
+    rest = size % 2**bits
+    return (F.shiftright(size, bits) * 10 + F.rint(rest * 10 / 2**bits)) / 10
+
+
 def format_size(size: Column) -> Column:
     return (
         F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
-        .when(size < 1024 * 1024, F.format_string("%.1f KB", size / 1024))
-        .otherwise(F.format_string("%.1f MB", size / (1024 * 1024)))
+        .when(size < 1024 * 1024, F.format_string("%.1f KB", _tenths(size, 10)))
+        .otherwise(F.format_string("%.1f MB", _tenths(size, 20)))
     )
 
 

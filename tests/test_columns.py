@@ -79,6 +79,13 @@ def test_versions(spark):
     assert [r[0] for r in df.select(text.api_version(F.col("u"), F.col("m"))).collect()] == ["vV2", "v1.0", "v7", None]
 
 
+def test_sizes_at_halves_go_to_the_even_digit(spark):
+    sizes = [0, 1023, 1024, 1280, 1792, 2304, 12544, 1048575, 2**20, 5 * 2**18, 7 * 2**18, 2**20 + 2**18 + 1, 943 * 2**20 + 2**18, 2**31, 2**50 + 2**18]
+    want = [f"{n} B" if n < 1024 else f"{n / 1024:.1f} KB" if n < 2**20 else f"{n / 2**20:.1f} MB" for n in sizes]
+    assert column(spark, map(str, sizes), lambda v: text.format_size(v.cast("long"))) == want
+    assert column(spark, ["x" * 1280], lambda v: text.format_size(F.length(v))) == ["1.2 KB"]
+
+
 def test_url_sets(spark):
     found = spark.createDataFrame([(0, "http://h/a/"), (1, "http://h/a#x"), (2, "http://h/b.png"), (3, "http://h/c"), (4, "http://h/d")], "pos int, url string")
     skip = spark.createDataFrame([("http://h/c/",)], "url string")

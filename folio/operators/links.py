@@ -88,10 +88,11 @@ def crawl(links: DataFrame, start: str, max_depth: int = 3, max_pages: int = 0,
 
 
 def link_targets(pages: DataFrame) -> DataFrame:
-    """(url, href, path, target): each written link whose page was written too, and that page's file."""
+    """(url, href, path, target): each written link whose page was written too, and that page's file; once for pages of
+    the same URL."""
     keys = pages.groupBy(urls.match_key(F.col("url")).alias("_key")).agg(F.max_by(urls.output_path(F.col("url")), F.col("pos")).alias("target"))
     found = pages.select("url", urls.output_path(F.col("url")).alias("path"), F.explode(F.array_distinct(F.regexp_extract_all("markdown", F.lit(LINK), F.lit(2)))).alias("href"))
-    open_ = found.where(~F.col("href").rlike("^(#|mailto:|tel:)")).withColumn("_to", resolve(F.col("url"), F.col("href")))
+    open_ = found.where(~F.col("href").rlike("^(#|mailto:|tel:)")).distinct().withColumn("_to", resolve(F.col("url"), F.col("href")))
     inside = open_.where((urls.authority(F.col("_to")) == "") | (urls.authority(F.col("_to")) == urls.authority(F.col("url"))))
     return inside.join(keys, urls.match_key(F.regexp_replace("_to", "#.*$", "")) == keys["_key"]).select("url", "href", "path", "target", "_to")
 

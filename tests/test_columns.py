@@ -112,6 +112,13 @@ def test_links_are_rewritten(spark):
     assert got["http://h/a/one"] == "[n](../b/two.md#s) [self](#x) [away](http://e/q) ![i](one.md) [gone](/none)"
 
 
+def test_links_of_equal_urls_are_given_once(spark):
+    rows = [("http://h/a", k, "[own](http://h/a) [other](b)") for k in (1, 2)] + [("http://h/b", 3, "")]
+    pages = spark.createDataFrame(rows, "url string, pos int, markdown string")
+    assert sorted((r.url, r.href, r.target) for r in links.link_targets(pages).collect()) == [("http://h/a", "b", "b.md"), ("http://h/a", "http://h/a", "a.md")]
+    assert [r.body for r in links.rewrite_links(pages).where("pos < 3").collect()] == ["[own](a.md) [other](b.md)"] * 2
+
+
 def test_combined_document_and_site_files(spark, tmp_path):
     rows = [("http://h/b", None, "text", None), ("http://h/a", "A", "# A\nbody", "v1")]
     pages = documents.ordered(spark.createDataFrame(rows, "url string, title string, markdown string, api_version string"))

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.functions import text, urls
 from folio.operators.links import rewrite_links
@@ -23,9 +24,11 @@ def ordered(pages: DataFrame, by: str = "url") -> DataFrame:
     """Adds pos, 1 for the first URL of a site by code point; `site` is the column that tells sites apart, if any.
 
     URLs alone are ranked, without bodies: range-partitioned, counted by partition and numbered within it. A page gets
-    its URL's rank by an equi-join; pages with the same URL follow each other in any order.
+    its URL's rank by an equi-join; pages with the same URL follow each other by `page_id`, or where there is none by
+    what else they have, so that a page has the same pos wherever the plan is run again.
     """
     keys = ["site", by] if "site" in pages.columns else [by]
+    then = ["page_id"] if "page_id" in pages.columns else [f.name for f in pages.schema if f.name not in keys and isinstance(f.dataType, T.AtomicType)]
     counted = pages.groupBy(*keys).agg(F.count("*").alias("_n"))
     ranged = materialize(counted.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "url-ranges")
     # one number a partition
@@ -40,7 +43,7 @@ def ordered(pages: DataFrame, by: str = "url") -> DataFrame:
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     joined = pages.join(placed, same)
     # only pages that share a URL have to be numbered among themselves
-    own = F.when(F.col("_n") > 1, F.row_number().over(W.partitionBy(*keys).orderBy(by))).otherwise(F.lit(1))
+    own = F.when(F.col("_n") > 1, F.row_number().over(W.partitionBy(*keys).orderBy(*(then or keys)))).otherwise(F.lit(1))
     return joined.withColumn("pos", (F.col("_first") + own).cast("int")).drop("_first", "_n", *[f"_{k}" for k in keys])
 
 

@@ -119,6 +119,15 @@ def test_links_of_equal_urls_are_given_once(spark):
     assert [r.body for r in links.rewrite_links(pages).where("pos < 3").collect()] == ["[own](a.md) [other](b.md)"] * 2
 
 
+def test_equal_urls_are_numbered_by_page(spark):
+    rows = [(k, f"http://h/{k % 3}", f"t{k:02}") for k in range(60)]
+    want = {title: pos for pos, (_, title) in enumerate(sorted((url, title) for _, url, title in rows), 1)}
+    for seed in (1, 2):
+        pages = spark.createDataFrame(rows, "page_id long, url string, title string").repartition(7).orderBy(F.rand(seed))
+        assert {r.title: r.pos for r in documents.ordered(pages).collect()} == want
+        assert {r.title: r.pos for r in documents.ordered(pages.drop("page_id")).collect()} == want
+
+
 def test_combined_document_and_site_files(spark, tmp_path):
     rows = [("http://h/b", None, "text", None), ("http://h/a", "A", "# A\nbody", "v1")]
     pages = documents.ordered(spark.createDataFrame(rows, "url string, title string, markdown string, api_version string"))

@@ -34,6 +34,14 @@ def test_scope_and_text():
     assert root.text(" ", strip=True) == "a 1 2 b& c©"
 
 
+def test_references_need_their_semicolon():
+    root = parse("<title>a = &quot</title><p>&quot;b&quot; &amp;c &ampd &copy2 &#39e &#39; &lt<i>&nosuch; x && y</i><a href='?a&lt=1&amp;b'>z</a><script>x&lt</script>")
+    assert root.find("title").text() == "a = &quot"
+    assert root.find("p").text() == "\"b\" &c &d &copy2 &#39e ' &lt&nosuch; x && yz"
+    assert root.find("a").attrs == {"href": "?a&lt=1&b"}
+    assert root.find("script").text() == "x&lt"
+
+
 def test_unsupported_selector_is_refused():
     with pytest.raises(ValueError, match="not supported"):
         parse("<p>").select("p:nth-child(2)")

@@ -272,6 +272,11 @@ def _templated(part: DataFrame, template: str) -> Column:
     return F.concat(*[F.lit("\n") if x == "$$" else F.col(x[1:]).cast("string") if x[:1] == "$" else F.lit(x) for x in pieces if x])
 
 
+def _rendered(part: DataFrame, template: str) -> DataFrame:
+    """(p_partkey, html): the parts are spread, not their pages, which are a hundred times as long."""
+    return P.spread(part.select("p_partkey", "p_brand", "p_type", "p_size")).select("p_partkey", _templated(part, template).alias("html"))
+
+
 def _templated_sql(template: str) -> str:
     pieces = re.split(r"(\$\w+|\$\$)", template)
     return " || ".join("chr(10)" if x == "$$" else x[1:] if x[:1] == "$" else S.quoted(x) for x in pieces if x)
@@ -292,12 +297,12 @@ _API_MARKDOWN = """# Get $p_partkey$$$$**GET** `/parts/$p_partkey`$$$$Gives one
 def markdown_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of each part with one of every element that has a rule of its own."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return P.spread(part.select("p_partkey", _templated(part, _PAGE).alias("html"))).select("p_partkey", P.markdown_of("html").alias("markdown"))
+    return _rendered(part, _PAGE).select("p_partkey", P.markdown_of("html").alias("markdown"))
 
 
 @_query(f"SELECT p_partkey, 'Get ' || p_partkey AS title, {_templated_sql(_API_MARKDOWN)} AS markdown FROM part")
 def openapi_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An API page of each part: endpoint, sections, an object, a panel, authorization and a captured tab."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    found = P.spread(part.select("p_partkey", _templated(part, _API_PAGE).alias("html"))).select("p_partkey", P.openapi_of("html").alias("s"))
+    found = _rendered(part, _API_PAGE).select("p_partkey", P.openapi_of("html").alias("s"))
     return found.select("p_partkey", "s.title", "s.markdown")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from folio.functions import openapi
+from folio.functions import dom, openapi
 from folio.functions.dom import parse
 from folio.functions.extraction import Extractor
 from folio.functions.markdown import html_to_markdown
@@ -42,6 +42,40 @@ def test_references_need_their_semicolon():
     assert root.find("script").text() == "x&lt"
 
 
+@pytest.mark.parametrize(
+    ("html", "plain"),
+    [
+        ('<!DOCTYPE html><DIV Class="X x" class="y" hidden>a &lt; b<br/><!-- c - d --><p>one<p>two</div><script>x()</script>tail &am', True),
+        ("<title>t</title><ul><li>a<li>b</ul></p><i/>x", True),
+        ("", True),
+        ("<p class=x>a", False),
+        ("<p>a < b", False),
+        ("<a href='x'>a</a>", False),
+        ("<!-- a--b -->x", False),
+        ("<script>'</p>'</script>x", False),
+        ('<a href="?a&amp;b">x</a>', False),
+    ],
+)
+def test_plain_pages_are_read_as_the_library_reads_them(html, plain):
+    def tree(n):
+        return n.name, list(n.attrs.items()), n.data, [tree(c) for c in n.children]
+
+    builder = dom._Builder()
+    builder.feed(html)
+    builder.close()
+    found = dom._plain(html)
+    assert (found is not None) == plain
+    assert tree(dom.parse(html)) == tree(builder.tree.done())
+
+
+def test_selectors_follow_changes_of_the_tree():
+    root = dom.parse('<div class="x"><p class="x y">a</p></div><p class="x">b</p><p role="tab">c</p>')
+    assert [n.name for n in root.select(".x")] == ["div", "p", "p"]
+    root.select_one("div").remove()
+    assert [n.text() for n in root.select(".x")] == ["b"] and root.select_one(".y") is None
+    assert [n.text() for n in root.select('.y, [role="tab"]')] == ["c"]
+
+
 def test_unsupported_selector_is_refused():
     with pytest.raises(ValueError, match="not supported"):
         parse("<p>").select("p:nth-child(2)")

@@ -61,3 +61,11 @@ def test_url_filter_reaches_the_scan(spark):
     plan = pages.where(F.col("url").startswith("http://")).select("url")._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(url,http://)" in plan
     assert "html" not in plan.split("ReadSchema")[1]
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["markdown_render", "openapi_render"])
+def test_parts_are_spread_before_their_pages_are_made(spark, name):
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    before, after = plan.split("Exchange", 1)
+    assert "<li" in before and "<li" not in after
